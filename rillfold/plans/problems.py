@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillfold.functions import streamid as si
 from rillfold.functions import timeuuid as tu
 from rillfold.operators import hotkeys
+from rillfold.operators import replay as replaying
 from rillfold.plans import ledger
 from rillfold.session import table
 from rillfold.sources.log import identified, micros_of
@@ -53,6 +54,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dropped_copies(spark, f"{d}/{LOG}.parquet")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return replaying.replay(table(spark, d, LOG)).select("pk", "ck", F.coalesce(F.col("v").cast("string"), F.lit("null")).alias("v"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rest = ledger.untaken(table(spark, d, LOG), table(spark, d, "cdc_streams"), table(spark, d, "task_runs"), "ks.simple")
     return rest.select(si.hex_id(F.col("stream_id")).alias("stream_id"), tu.from_parts(F.col("ticks"), F.col("low")).alias("cdc_time"), "batch_seq_no")
@@ -67,7 +72,7 @@ def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.from_attempts(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p4_found, p5_found, p5_ledger)}
 
 _UUID = 'replace(replace(replace(lower("cdc$time"), \'-\', \'\'), \'{\', \'\'), \'}\', \'\')'
 _TICKS = f"(('0x' || substr({_UUID}, 14, 3) || substr({_UUID}, 9, 4) || substr({_UUID}, 1, 8))::bigint)"
@@ -89,6 +94,16 @@ SQL = {
     "p2_found": f"""
         select delivery_id from (select delivery_id, row_number() over (partition by "cdc$stream_id", {_UUID}, "cdc$batch_seq_no" order by received_at, delivery_id) as k
         from simple_scylla_cdc_log) where k > 1""",
+    "p4_found": f"""
+        with l as (select distinct pk, ck, v, "cdc$deleted_v" as dv, "cdc$operation" as op, "cdc$stream_id" as s, {_UUID} as u, {_TICKS} as ticks, "cdc$batch_seq_no" as q from simple_scylla_cdc_log),
+          d as (select pk, null::bigint as lo, null::bigint as hi, ticks, q from l where op = 4
+            union all select pk, ck, ck, ticks, q from l where op = 3
+            union all select a.pk, a.ck::bigint + (a.op = 6)::int, b.ck::bigint - (b.op = 8)::int, b.ticks, b.q from l a join l b on a.pk = b.pk and a.s = b.s and a.u = b.u and b.q = a.q + 1 where a.op in (5, 6) and b.op in (7, 8)),
+          k as (select distinct pk, ck from l where op in (1, 2)),
+          g as (select k.pk, k.ck, max(struct_pack(t := d.ticks, q := d.q)) filter (d.ticks is not null) as gone from k left join d on d.pk = k.pk and coalesce(k.ck >= lo, true) and coalesce(k.ck <= hi, true) group by all),
+          w as (select l.pk, l.ck, max(struct_pack(t := ticks, q := q, v := v)) filter (v is not null or dv) as w, bool_or(op = 2) as i
+            from l join g on g.pk = l.pk and g.ck = l.ck where op in (1, 2) and (gone is null or struct_pack(t := ticks, q := q) > gone) group by 1, 2)
+        select pk, ck, coalesce((w.v)::varchar, 'null') as v from w where i or w.v is not null""",
     "p5_found": f"""
         with l as (select lower(hex("cdc$stream_id")) as s, {_UUID} as u, {_TICKS} as ticks, "cdc$batch_seq_no" as q, min(received_at) as arr
             from simple_scylla_cdc_log group by all),
