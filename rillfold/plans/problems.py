@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillfold.functions import streamid as si
 from rillfold.functions import timeuuid as tu
-from rillfold.operators import hotkeys
+from rillfold.operators import drift, hotkeys
 from rillfold.operators import replay as replaying
 from rillfold.plans import ledger
 from rillfold.session import table
@@ -54,6 +54,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dropped_copies(spark, f"{d}/{LOG}.parquet")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "change_schema"), table(spark, d, "raw_records")).select("table_name", "file_id", "change_kind", "column_name")
+
+
+def p3_union_schema(spark: SparkSession, d: str) -> DataFrame:
+    return drift.union_schema(table(spark, d, "change_schema"))
+
+
+def p3_changelog(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changelog(table(spark, d, "change_schema"), table(spark, d, "raw_records"))
+
+
+def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified_values(table(spark, d, "change_schema"), table(spark, d, "raw_records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return replaying.replay(table(spark, d, LOG)).select("pk", "ck", F.coalesce(F.col("v").cast("string"), F.lit("null")).alias("v"))
 
@@ -72,11 +88,26 @@ def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.from_attempts(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p4_found, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p3_found, p3_union_schema, p3_changelog, p3_unified, p4_found, p5_found, p5_ledger)}
 
 _UUID = 'replace(replace(replace(lower("cdc$time"), \'-\', \'\'), \'{\', \'\'), \'}\', \'\')'
 _TICKS = f"(('0x' || substr({_UUID}, 14, 3) || substr({_UUID}, 9, 4) || substr({_UUID}, 1, 8))::bigint)"
 
+_DRIFT = """
+        with h as (select distinct table_name, file_id, effective_at, lower(trim(column_name, '" ')) as name, replace(replace(upper(cdc_log_data_type), ' ', ''), 'VARCHAR', 'TEXT') as type, upper(base_table_column_kind) as kind from change_schema),
+          f as (select table_name, file_id, effective_at, lag(file_id) over w as before, lead(file_id) over w as after from (select distinct table_name, file_id, effective_at from h) window w as (partition by table_name order by effective_at)),
+          c as (select h.table_name, h.file_id, name, type, last_value(kind ignore nulls) over (partition by h.table_name, name order by h.effective_at) as kind, before, after from h join f using (file_id) where not starts_with(name, 'cdc$')),
+          d as (select coalesce(a.table_name, b.table_name) as table_name, coalesce(a.file_id, b.after) as file, coalesce(a.before, b.file_id) as before, coalesce(a.name, b.name) as name, a.name is null as gone, b.name is null as fresh, a.type as nt, b.type as ot, a.kind as nk, b.kind as ok
+            from (select * from c where before is not null) a full join (select * from c where after is not null) b on a.before = b.file_id and a.name = b.name),
+          b as (select file_id, row_key, min(record_no) as record_no from raw_records where json_valid(body) group by all),
+          v as (select file_id, row_key, lower(trim(k, '" ')) as name, json_extract_string(body, '$."' || replace(replace(k, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"') as v
+            from (select file_id, row_key, body, unnest(json_keys(body)) as k from b join raw_records using (file_id, row_key, record_no))),
+          p as (select g.table_name, g.file, g.before, g.name as o, n.name as n from d g join d n on g.table_name = n.table_name and g.file = n.file where g.gone and n.fresh and g.ok = n.nk),
+          m as (select p.table_name, p.file, o, n from p join v x on x.file_id = p.before and x.name = o join v y on y.file_id = p.file and y.name = n and y.row_key = x.row_key where x.v is not null and y.v is not null group by all having avg((x.v = y.v)::int) > 0.5),
+          report as (select table_name, file as file_id, unnest(case when fresh then ['added'] when gone then ['removed'] else list_filter([case when ot <> nt then 'retyped' end, case when ok <> nk then 'rekinded' end], lambda x: x is not null) end) as change_kind, name as column_name
+              from d where (file, name) not in (select file, o from m) and (file, name) not in (select file, n from m)
+            union all select table_name, file, 'renamed', n from m)"""
+
 SQL = {
     "p1_found": """
         select 'simple_scylla_cdc_log' as table_name, lower(hex("cdc$stream_id")) as key_value from simple_scylla_cdc_log
@@ -94,6 +125,11 @@ SQL = {
     "p2_found": f"""
         select delivery_id from (select delivery_id, row_number() over (partition by "cdc$stream_id", {_UUID}, "cdc$batch_seq_no" order by received_at, delivery_id) as k
         from simple_scylla_cdc_log) where k > 1""",
+    "p3_found": f"""{_DRIFT}
+        select table_name, file_id, change_kind, column_name from report""",
+    "p3_changelog": f"""{_DRIFT}
+        select r.table_name, file_id, column_name, change_kind, ot as old_type, nt as new_type, ok as old_kind, nk as new_kind, effective_at
+        from report r join d on d.table_name = r.table_name and d.file = r.file_id and d.name = r.column_name join f using (file_id)""",
     "p4_found": f"""
         with l as (select distinct pk, ck, v, "cdc$deleted_v" as dv, "cdc$operation" as op, "cdc$stream_id" as s, {_UUID} as u, {_TICKS} as ticks, "cdc$batch_seq_no" as q from simple_scylla_cdc_log),
           d as (select pk, null::bigint as lo, null::bigint as hi, ticks, q from l where op = 4
