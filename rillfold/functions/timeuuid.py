@@ -17,14 +17,19 @@ LOW_MIDDLE = "0000000000000000"
 
 
 def digits(text: Column) -> Column:
-    """The 32 lower-case hex digits of a UUID in any spelling (case, braces, hyphens, blanks)."""
-    plain = F.lower(F.translate(text, "{}- \t", ""))
-    return F.when(F.length(plain) == 32, plain)
+    """The 32 lower-case hex digits of a UUID in any spelling (case, braces, hyphens, blanks); null for other text.
 
+    The usual spelling is cut at its known places, which costs a fraction of `translate`.
+    """
+    plain = F.length(text) == 36
+    usual = F.concat(*[F.substring(text, p, n) for p, n in ((1, 8), (10, 4), (15, 4), (20, 4), (25, 12))])
+    d = F.lower(F.when(plain & (F.substring(text, 9, 1) == "-") & (F.substring(text, 24, 1) == "-"), usual).otherwise(F.translate(text, "{}- \t", "")))
+    return F.when((F.length(d) == 32) & F.unhex(d).isNotNull(), d)
 
-def _word(hex8: Column) -> Column:
-    """An unsigned 32-bit word from eight hex digits, as bigint."""
-    return F.conv(hex8, 16, 10).cast("bigint")
+
+def _word(hex_digits: Column) -> Column:
+    """An unsigned word of up to 15 hex digits, as bigint."""
+    return F.conv(hex_digits, 16, 10).cast("bigint")
 
 
 def ticks(text: Column) -> Column:
@@ -34,12 +39,12 @@ def ticks(text: Column) -> Column:
 
 def ticks_of_digits(d: Column) -> Column:
     """The tick count from normalised digits: time_hi without version, time_mid, time_low."""
-    return (_word(F.concat(F.substring(d, 14, 3), F.substring(d, 9, 4))) * F.lit(1 << 32)) + _word(F.substring(d, 1, 8))
+    return _word(F.concat(F.substring(d, 14, 3), F.substring(d, 9, 4), F.substring(d, 1, 8)))
 
 
 def low_word(d: Column) -> Column:
-    """The low 64 bits (clock sequence and node) of normalised digits, as signed bigint."""
-    return F.shiftleft(_word(F.substring(d, 17, 8)), 32).bitwiseOR(_word(F.substring(d, 25, 8)))
+    """The low 64 bits (clock sequence and node) of normalised digits, as 8 bytes."""
+    return F.unhex(F.substring(d, 17, 16))
 
 
 def canonical(text: Column) -> Column:
@@ -52,9 +57,9 @@ def hyphenated(d: Column) -> Column:
 
 
 def from_parts(tick: Column, low: Column) -> Column:
-    """Canonical text from a tick count and a signed low word."""
+    """Canonical text from a tick count and the 8 low bytes."""
     hi = F.lpad(F.lower(F.hex(tick)), 15, "0")
-    lo = F.lpad(F.lower(F.hex(low)), 16, "0")
+    lo = F.lower(F.hex(low))
     return F.concat(F.substring(hi, 8, 8), F.lit("-"), F.substring(hi, 4, 4), F.lit("-1"), F.substring(hi, 1, 3), F.lit("-"), F.substring(lo, 1, 4), F.lit("-"), F.substring(lo, 5, 12))
 
 

@@ -38,7 +38,7 @@ HOT, TARGET = 0.02, 0.005
 # Bits of `what`.
 WRITE, VALUE, INSERT, DELETE, COVER = 1, 2, 4, 8, 16
 
-SUMMARY = "pk int, ck int, w_ticks bigint, w_seq int, w_low bigint, v int, i_ticks bigint, i_seq int, d_ticks bigint, d_seq int"
+SUMMARY = "pk int, ck int, w_ticks bigint, w_seq int, w_low binary, v int, i_ticks bigint, i_seq int, d_ticks bigint, d_seq int"
 
 
 def row_changes(log: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def covers(log: DataFrame) -> DataFrame:
 
 def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The state machine, over rows sorted by partition key, chunk, position, deletions of many rows first, and sequence."""
-    schema = pa.schema([("pk", pa.int32()), ("ck", pa.int32()), ("w_ticks", pa.int64()), ("w_seq", pa.int32()), ("w_low", pa.int64()), ("v", pa.int32()), ("i_ticks", pa.int64()), ("i_seq", pa.int32()), ("d_ticks", pa.int64()), ("d_seq", pa.int32())])
+    schema = pa.schema([("pk", pa.int32()), ("ck", pa.int32()), ("w_ticks", pa.int64()), ("w_seq", pa.int32()), ("w_low", pa.binary()), ("v", pa.int32()), ("i_ticks", pa.int64()), ("i_seq", pa.int32()), ("d_ticks", pa.int64()), ("d_seq", pa.int32())])
     out: list[tuple] = []
     group = key = None
     active: list[tuple] = []
@@ -100,7 +100,7 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        columns = [batch.column(i).to_pylist() if batch.column(i).null_count else batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(batch.num_columns)]
+        columns = [batch.column(i).to_pylist() if batch.column(i).null_count or not pa.types.is_integer(batch.column(i).type) else batch.column(i).to_numpy().tolist() for i in range(batch.num_columns)]
         for pk, chunk, at, until, what, v, ticks, seq, low in zip(*columns):
             if (pk, chunk) != group:
                 if key is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillfold.functions import timeuuid as tu
 
 #: The columns that identify a log row, as `identified` names them.
-IDENTITY = ["stream_id", "ticks", "low", "batch_seq_no"]
+IDENTITY = ["ticks", "low", "batch_seq_no", "stream_id"]
 
 
 def micros_of(ts: Column) -> Column:
@@ -23,14 +23,19 @@ def identified(log: DataFrame, *extra: Column) -> DataFrame:
     stream, time or sequence number is null or unreadable have no identity and are left out.
     """
     d = F.col("__digits")
+    # Ticks come first: where an aggregation has to sort, they tell nearly all rows apart.
     return (
         log.select("*", tu.digits(F.col("`cdc$time`")).alias("__digits"))
         .where(F.col("__digits").isNotNull() & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull())
-        .select(F.col("`cdc$stream_id`").alias("stream_id"), tu.ticks_of_digits(d).alias("ticks"), tu.low_word(d).alias("low"), F.col("`cdc$batch_seq_no`").alias("batch_seq_no"), *extra)
-        .where(F.col("ticks").isNotNull() & F.col("low").isNotNull())
+        .select(tu.ticks_of_digits(d).alias("ticks"), tu.low_word(d).alias("low"), F.col("`cdc$batch_seq_no`").alias("batch_seq_no"), F.col("`cdc$stream_id`").alias("stream_id"), *extra)
     )
 
 
+def has_identity() -> Column:
+    """Whether a delivered copy has an identity, without computing it."""
+    return tu.digits(F.col("`cdc$time`")).isNotNull() & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull()
+
+
 def arrivals(log: DataFrame) -> DataFrame:
     """One row for each log row with `arrived_us`, the earliest arrival of its copies.
 

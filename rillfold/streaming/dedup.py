@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from rillfold.functions import timeuuid as tu
 from rillfold.session import shared_dir
-from rillfold.sources.log import IDENTITY, identified, micros_of
+from rillfold.sources.log import IDENTITY, has_identity, identified, micros_of
 
+#: Up to so many late identifiers (about 60 bytes each) are broadcast to look them up in the ledger; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
-LEDGER = "stream_id binary, ticks bigint, low bigint, batch_seq_no int, late boolean, arrived bigint, delivery_id bigint, batch bigint"
+LEDGER = "ticks bigint, low binary, batch_seq_no int, stream_id binary, late boolean, arrived bigint, delivery_id bigint, batch bigint"
 
 
 @dataclass(frozen=True)
@@ -60,13 +62,13 @@ def _pattern(path: str) -> str:
 
 
 def keyed_copies(log: DataFrame, delay_s: int) -> DataFrame:
-    """Identity, `late`, `expires_at` (the event-time column) and the rank of each copy."""
+    """Identity, `expires_at` (the event-time column; not the time of the event for a late copy) and the rank of each copy."""
     at = micros_of(F.col("received_at"))
     event = tu.micros(F.col("ticks"))
     horizon = F.col("arrived") - F.lit(delay_s * 1_000_000)
-    copies = identified(log, F.coalesce(at, F.lit(LAST)).alias("arrived"), F.coalesce(F.col("delivery_id"), F.lit(LAST)).alias("delivery_id"))
     late = (F.col("arrived") != LAST) & (horizon > event)
-    return copies.select(*IDENTITY, late.alias("late"), F.timestamp_micros(F.when(late, horizon).otherwise(event)).alias("expires_at"), F.struct("arrived", "delivery_id").alias("copy"))
+    copies = identified(log, F.coalesce(at, F.lit(LAST)).alias("arrived"), F.coalesce(F.col("delivery_id"), F.lit(LAST)).alias("delivery_id"))
+    return copies.select(*IDENTITY, F.timestamp_micros(F.when(late, horizon).otherwise(event)).alias("expires_at"), F.struct("arrived", "delivery_id").alias("copy"))
 
 
 def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, delay_s: int = 3 * 86400, max_bytes: int | None = 512 << 30, max_files: int | None = None) -> DedupRun:
@@ -81,12 +83,12 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
     seen = (
         keyed_copies(reader.parquet(_pattern(path)), delay_s)
         .withWatermark("expires_at", f"{delay_s + 1} seconds")
-        .groupBy(*IDENTITY, "late", "expires_at")
+        .groupBy(*IDENTITY, "expires_at")
         .agg(F.min("copy").alias("copy"))
     )
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.select(*IDENTITY, "late", F.col("copy.arrived").alias("arrived"), F.col("copy.delivery_id").alias("delivery_id")).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        batch.select(*IDENTITY, (F.unix_micros("expires_at") != tu.micros(F.col("ticks"))).alias("late"), F.col("copy.arrived").alias("arrived"), F.col("copy.delivery_id").alias("delivery_id")).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     with _conf(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000"}):
         query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(save).trigger(availableNow=True).start()
@@ -111,7 +113,11 @@ def superseded(ledger: DataFrame, one_batch: bool, straggling: DataFrame | None
     entries = ledger.select(*IDENTITY, "late", "arrived", "delivery_id")
     if straggling is not None:
         entries = entries.unionByName(straggling.select(*IDENTITY, F.lit(True).alias("late"), F.col("copy.arrived").alias("arrived"), F.col("copy.delivery_id").alias("delivery_id")))
-    contested = entries.join(entries.where("late").select(*IDENTITY).distinct(), IDENTITY, "left_semi") if one_batch and straggling is None else entries
+    contested = entries
+    if one_batch and straggling is None:
+        some = entries.where("late").select(*IDENTITY).distinct()
+        few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        contested = entries.join(F.broadcast(some) if few else some, IDENTITY, "left_semi")
     copy = F.struct("arrived", "delivery_id").alias("copy")
     best = contested.select(*IDENTITY, copy).groupBy(*IDENTITY).agg(F.min("copy").alias("best"), F.max("copy").alias("worst"))
     beaten = best.where(F.col("best.delivery_id") != F.col("worst.delivery_id")).select(*IDENTITY, "best")
@@ -133,8 +139,7 @@ def dropped_copies(spark: SparkSession, path: str, **options) -> DataFrame:
     named = ledger.select("delivery_id")
     if straggling is not None:
         named = named.unionByName(straggling.select(F.col("copy.delivery_id").alias("delivery_id")))
-    has_identity = log.select("delivery_id", F.col("`cdc$stream_id`"), F.col("`cdc$time`"), F.col("`cdc$batch_seq_no`"))
-    unnamed = identified(has_identity, F.col("delivery_id")).select("delivery_id").where("delivery_id is not null").join(named, "delivery_id", "left_anti")
+    unnamed = log.where(has_identity() & F.col("delivery_id").isNotNull()).select("delivery_id").join(named, "delivery_id", "left_anti")
     return unnamed.unionByName(superseded(ledger, run.batches == 1, straggling)).where(F.col("delivery_id") != LAST)
 
 
