@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillfold.llm import tokens
+from rillfold.llm import pack, tokens
 from rillfold.session import table
 
 
@@ -12,6 +12,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents").select("doc_id", "text"), "byte_bpe_50k")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids,)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_budgets"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_containers)}
 
 SQL: dict[str, str] = {}
