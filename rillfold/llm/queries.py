@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillfold.llm import pack, tokens
+from rillfold.llm import langid, pack, tokens
 from rillfold.session import table
 
 
@@ -16,6 +17,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_budgets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.wrong_labels(table(spark, d, "documents"), table(spark, d, "doc_langs"))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Each segment of each document, with language, confidence and letters."""
+    found = langid.detect(table(spark, d, "documents"), table(spark, d, "doc_langs"))
+    return found.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.language", "s.confidence", "s.letters")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p8_found, p8_segments)}
 
 SQL: dict[str, str] = {}
