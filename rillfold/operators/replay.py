@@ -22,6 +22,7 @@ no rows; columns beyond those named are ignored.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ LEAST, MOST = -(1 << 31), (1 << 31) - 1
 HOT, TARGET = 0.02, 0.005
 
 # Bits of `what`.
-WRITE, VALUE, INSERT, DELETE, COVER = 1, 2, 4, 8, 16
+WRITE, VALUE, INSERT, DELETE, COVER, IMAGE = 1, 2, 4, 8, 16, 32
 
 SUMMARY = "pk int, ck int, w_ticks bigint, w_seq int, w_low binary, v int, i_ticks bigint, i_seq int, d_ticks bigint, d_seq int"
 
@@ -173,3 +174,72 @@ def _merged(parts: DataFrame) -> DataFrame:
     kept = lambda c, a, b: F.when(F.col("d").isNull() | (F.struct(F.col(a), F.col(b)) > gone), F.col(c))
     newest = newest.withColumns({"w": kept("w", "w.w_ticks", "w.w_seq"), "i": kept("i", "i.i_ticks", "i.i_seq")})
     return newest.select("pk", "ck", "w.w_ticks", "w.w_seq", "w.w_low", "w.v", "i.i_ticks", "i.i_seq", "d.d_ticks", "d.d_seq")
+
+
+MISMATCH = "pk int, ck int, ticks bigint, seq int, low binary, expected int, actual int, found boolean"
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state machine again, for images: each is compared with the row as it was just before."""
+    schema = pa.schema([("pk", pa.int32()), ("ck", pa.int32()), ("ticks", pa.int64()), ("seq", pa.int32()), ("low", pa.binary()), ("expected", pa.int32()), ("actual", pa.int32()), ("found", pa.bool_())])
+    out: list[tuple] = []
+    group = key = None
+    active: list[tuple] = []
+    write = insert = applied = value = None
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(schema)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for pk, chunk, at, until, what, v, ticks, seq, low in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if (pk, chunk) != group:
+                group, key, active = (pk, chunk), None, []
+            if what == COVER:
+                insort(active, (ticks, seq, until))
+                continue
+            if at != key:
+                key, write, insert, applied, value = at, None, None, None, None
+                active = [t for t in active if t[2] >= key]
+            if (ticks, seq, low, what) == applied:
+                continue
+            applied = (ticks, seq, low, what)
+            if what & IMAGE:
+                k = bisect_left(active, (ticks, seq)) - 1
+                gone = active[k][:2] if k >= 0 else None
+                w = write if gone is None or (write is not None and write > gone) else None
+                i = insert if gone is None or (insert is not None and insert > gone) else None
+                actual = value if w is not None else None
+                if actual != v:
+                    out.append((pk, key, ticks, seq, low, v, actual, i is not None or actual is not None))
+                continue
+            if what == DELETE:
+                write, insert, value = None, None, None
+                continue
+            if what & INSERT:
+                insert = (ticks, seq)
+            if what & WRITE:
+                write, value = (ticks, seq), v if what & VALUE else None
+        if len(out) >= 20000:
+            yield flush()
+    yield flush()
+
+
+def image_mismatches(log: DataFrame) -> DataFrame:
+    """`MISMATCH`: pre-images whose value isn't that of the row before them. `found` tells whether the row existed.
+
+    The same partitioning and order as `replay`; partition keys that own much of the log are split by clustering key.
+    """
+    op = F.col("`cdc$operation`").cast("int")
+    images = identified(log.where((op == 0) & F.col("pk").isNotNull() & F.col("ck").isNotNull()), F.col("pk").cast("int").alias("pk"), F.col("ck").cast("bigint").alias("at"), F.col("v").cast("int").alias("v"))
+    probes = images.select("pk", "at", F.lit(None).cast("bigint").alias("until"), F.lit(IMAGE).alias("what"), "v", "ticks", F.col("batch_seq_no").alias("seq"), "low")
+    hot = [(int(k), n) for k, n in heavy_candidates(log.select("pk"), F.col("pk"), HOT) if k is not None]
+    total = log.count() if hot else 1
+    chunks = F.coalesce(*[F.when(F.col("pk") == k, F.lit(min(1024, max(2, round(n / (TARGET * total)))))) for k, n in hot], F.lit(1))
+    rows = row_changes(log).unionByName(probes).withColumn("chunk", F.pmod(F.xxhash64("at"), chunks).cast("int"))
+    tombs = covers(log).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    columns = ["pk", "chunk", "at", "until", "what", "v", "ticks", "seq", "low"]
+    ordered = rows.select(*columns).unionByName(tombs.select(*columns)).repartition("pk", "chunk").sortWithinPartitions("pk", "chunk", "at", F.col("what") != COVER, "ticks", "seq", F.col("what") == DELETE, "low")
+    return ordered.mapInArrow(_compared, MISMATCH)

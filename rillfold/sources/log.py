@@ -43,3 +43,50 @@ def arrivals(log: DataFrame) -> DataFrame:
     one row per map task. A log row none of whose copies has an arrival time has a null one.
     """
     return identified(log, micros_of(F.col("received_at")).alias("at")).groupBy(*IDENTITY).agg(F.min("at").alias("arrived_us"))
+
+
+def distinct_rows(log: DataFrame) -> DataFrame:
+    """The log with one row for each log row, under `IDENTITY` and short names.
+
+    Copies agree in what they say, so the greatest of each column is theirs; a null `end_of_batch` is false.
+    Copies are combined before the shuffle. Rows without identity are left out.
+    """
+    known = {"operation": "cdc$operation", "end_of_batch": "cdc$end_of_batch", "ttl": "cdc$ttl"}
+    delivery = {"delivery_id", "delivery_batch", "received_at", "cdc$stream_id", "cdc$time", "cdc$batch_seq_no"}
+    rest = {c.replace("cdc$", ""): c for c in log.columns if c not in delivery and c not in known.values()}
+    columns = {**known, **rest}
+    rows = identified(log, *[F.col(f"`{c}`").alias(n) for n, c in columns.items() if c in log.columns])
+    value = lambda n: F.coalesce(F.col(n), F.lit(False)) if n == "end_of_batch" or n.startswith("deleted_") and dict(rows.dtypes)[n] == "boolean" else F.col(n)
+    return rows.groupBy(*IDENTITY).agg(*[F.max(value(n)).alias(n) for n in rows.columns if n not in IDENTITY])
+
+
+def window_of(rows: DataFrame, start_ms: int, end_ms: int, strict: bool = False) -> DataFrame:
+    """Rows with `[start_ms, end_ms)`. strict also leaves out the smallest UUID of the first millisecond, as a reader by UUID bounds does."""
+    first, last = start_ms * 10000 + tu.EPOCH_TICKS, end_ms * 10000 + tu.EPOCH_TICKS
+    inside = (F.col("ticks") >= first) & (F.col("ticks") < last)
+    if strict:
+        inside &= (F.col("ticks") != first) | (F.lower(F.hex("low")) != tu.LOW_START)
+    return rows.where(inside)
+
+
+def after(rows: DataFrame, stream_hex: str, ticks: int) -> DataFrame:
+    """Rows after a change, streams first by signed bytes, then time by ticks alone."""
+    from rillfold.functions import streamid as si
+
+    hi, lo = si.order_keys(si.hex_id(F.col("stream_id")))
+    at_hi, at_lo = si.order_keys(F.lit(stream_hex))
+    return rows.where((hi > at_hi) | ((hi == at_hi) & ((lo > at_lo) | ((lo == at_lo) & (F.col("ticks") > ticks)))))
+
+
+def base_columns(log: DataFrame) -> DataFrame:
+    """Without the columns of the log itself."""
+    return log.select(*[F.col(f"`{c}`") for c in log.columns if not c.startswith("cdc$")])
+
+
+def meta_columns(log: DataFrame) -> DataFrame:
+    return log.select(*[F.col(f"`{c}`") for c in log.columns if c.startswith("cdc$")])
+
+
+def column_state(value: Column, deleted: Column) -> Column:
+    """`set`, `nulled` or `untouched`."""
+    return F.when(value.isNotNull(), "set").when(F.coalesce(deleted, F.lit(False)), "nulled").otherwise("untouched")
