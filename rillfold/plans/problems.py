@@ -54,6 +54,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.dropped_copies(spark, f"{d}/{LOG}.parquet")
 
 
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The delivery id of the one copy of each log row that stays."""
+    return dedup.deduplicated(spark, f"{d}/{LOG}.parquet").select("delivery_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "change_schema"), table(spark, d, "raw_records")).select("table_name", "file_id", "change_kind", "column_name")
 
@@ -88,7 +93,7 @@ def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.from_attempts(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p3_found, p3_union_schema, p3_changelog, p3_unified, p4_found, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p2_kept, p3_found, p3_union_schema, p3_changelog, p3_unified, p4_found, p5_found, p5_ledger)}
 
 _UUID = 'replace(replace(replace(lower("cdc$time"), \'-\', \'\'), \'{\', \'\'), \'}\', \'\')'
 _TICKS = f"(('0x' || substr({_UUID}, 14, 3) || substr({_UUID}, 9, 4) || substr({_UUID}, 1, 8))::bigint)"
@@ -125,6 +130,9 @@ SQL = {
     "p2_found": f"""
         select delivery_id from (select delivery_id, row_number() over (partition by "cdc$stream_id", {_UUID}, "cdc$batch_seq_no" order by received_at, delivery_id) as k
         from simple_scylla_cdc_log) where k > 1""",
+    "p2_kept": f"""
+        select delivery_id from (select delivery_id, row_number() over (partition by "cdc$stream_id", {_UUID}, "cdc$batch_seq_no" order by received_at, delivery_id) as k
+        from simple_scylla_cdc_log) where k = 1""",
     "p3_found": f"""{_DRIFT}
         select table_name, file_id, change_kind, column_name from report""",
     "p3_changelog": f"""{_DRIFT}

@@ -242,9 +242,9 @@ def table_state_ttl(spark, d):
     return apply.state(_rows(spark, d), SIMPLE, "delta", now_ms=NOW_MS)
 
 
-@_query(f"""with {_L}, {_D}, p as (select * from l where op = 0), k as (select p.pk, p.ck, p.ticks as at, p.q as aq, p.u as au, p.v as expected, max(struct_pack(t := d.ticks, q := d.q)) filter (d.ticks is not null) as gone from p left join d on d.pk = p.pk and coalesce(p.ck >= lo, true) and coalesce(p.ck <= hi, true) and struct_pack(t := d.ticks, q := d.q) < struct_pack(t := p.ticks, q := p.q) group by all),
-    w as (select k.pk, k.ck, at, aq, au, expected, max(struct_pack(t := ticks, q := q, v := v)) filter (v is not null or dv) as w, coalesce(bool_or(op = 2), false) as i from k left join l on l.pk = k.pk and l.ck = k.ck and op in (1, 2) and struct_pack(t := ticks, q := q) < struct_pack(t := at, q := aq) and (gone is null or struct_pack(t := ticks, q := q) > gone) group by all)
-    select pk, ck, at as ticks, aq as seq, expected, w.v as actual, i or w.v is not null as found from w where w.v is distinct from expected""")
+@_query(f"""with {_L}, {_D}, p as (select * from l where op = 0), k as (select p.pk, p.ck, p.ticks as pt, p.q as aq, p.u as au, p.v as expected, max(struct_pack(t := d.ticks, q := d.q)) filter (d.ticks is not null) as gone from p left join d on d.pk = p.pk and coalesce(p.ck >= lo, true) and coalesce(p.ck <= hi, true) and struct_pack(t := d.ticks, q := d.q) < struct_pack(t := p.ticks, q := p.q) group by all),
+    w as (select k.pk, k.ck, pt, aq, au, expected, max(struct_pack(t := ticks, q := q, v := v)) filter (v is not null or dv) as w, coalesce(bool_or(op = 2), false) as i from k left join l on l.pk = k.pk and l.ck = k.ck and op in (1, 2) and struct_pack(t := ticks, q := q) < struct_pack(t := pt, q := aq) and (gone is null or struct_pack(t := ticks, q := q) > gone) group by all)
+    select pk, ck, pt as ticks, aq as seq, expected, w.v as actual, i or w.v is not null as found from w where w.v is distinct from expected""")
 def preimage_mismatches(spark, d):
     """Pre-images that differ from the row as it was before them."""
     return replay.image_mismatches(table(spark, d, LOG)).drop("low")
@@ -345,17 +345,18 @@ def generation_done(spark, d):
     return tasks.all_consumed(tasks.tasks(table(spark, d, "cdc_streams"), [TABLE]), _saved(spark, d), NOW_MS)
 
 
-@_query(f"with {_SAVED} select table_name, generation_ms, vnode from saved where vnode not in (select vnode from cdc_streams where vnode % 2 = 0)")
+@_query("select 'ks.t' as table_name, generation_start_ms as generation_ms, vnode from cdc_streams group by all")
 def obsolete_tasks(spark, d):
-    """Tasks with a state which a new generation, here of every second vnode, no longer has."""
-    return tasks.obsolete(_saved(spark, d).select(*tasks.TASK), tasks.tasks(table(spark, d, "cdc_streams").where("vnode % 2 = 0"), [TABLE]))
+    """Tasks of a configuration of two tables that one without `ks.t` no longer has."""
+    streams = table(spark, d, "cdc_streams")
+    return tasks.obsolete(tasks.tasks(streams, [TABLE, "ks.t"]), tasks.tasks(streams, [TABLE])).select(*tasks.TASK)
 
 
-@_query(f"select run_id, task_id, status from (select distinct * from task_runs) where split_part(task_id, ':', 3)::int in (select vnode from cdc_streams where vnode % 2 = 0)")
+@_query(f"""with {_SAVED}, a as (select * from saved where ws <= 1707000000000), r as (select distinct *, {_PARTS} from task_runs) select run_id, task_id, status from r semi join a using (table_name, generation_ms, vnode)""")
 def active_task_guard(spark, d):
-    """Attempts of tasks that are still active."""
+    """Attempts of tasks that are still active: those that have not yet reached a time."""
     runs = tasks.from_key(table(spark, d, "task_runs").distinct())
-    return tasks.active_only(runs, tasks.tasks(table(spark, d, "cdc_streams").where("vnode % 2 = 0"), [TABLE])).select("run_id", "task_id", "status")
+    return tasks.active_only(runs, _saved(spark, d).where(F.col("window_start_ms") <= NOW_MS)).select("run_id", "task_id", "status")
 
 
 @_query(f"""with {_L}, {_TASKED}, k as (select gen, vnode, s, ticks, u, row_number() over (partition by gen, vnode order by {_SIGNED.format('s')} desc, ticks desc, u desc) as k from t where eob and gen is not null)

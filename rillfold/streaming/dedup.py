@@ -18,6 +18,7 @@ copies with a null delivery id can be superseded but can't be named; an empty lo
 from __future__ import annotations
 
 import contextlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +31,23 @@ from rillfold.sources.log import IDENTITY, has_identity, identified, micros_of
 #: Up to so many late identifiers (about 60 bytes each) are broadcast to look them up in the ledger; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
+FAR_MS = 253_402_300_799_000
+RUNS = "run string, dropped bigint, mark bigint"
 LEDGER = "ticks bigint, low binary, batch_seq_no int, stream_id binary, late boolean, arrived bigint, delivery_id bigint, batch bigint"
 
 
 @dataclass(frozen=True)
 class DedupRun:
-    """What a run left behind: the ledger's folder, its batches, and rows the watermark dropped (none, if batches arrive in order)."""
+    """What is known after a run: the ledger's folder, whether it holds one batch, and rows that the watermark dropped in this or any earlier run.
+
+    None are dropped if batches come in order of arrival. stragglers_before_ms: all of them expire by then.
+    """
 
     ledger: str
     batches: int
+    one_batch: bool
     dropped: int
-    watermark_ms: int | None
+    stragglers_before_ms: int
 
 
 @contextlib.contextmanager
@@ -90,14 +97,26 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
     def save(batch: DataFrame, number: int) -> None:
         batch.select(*IDENTITY, (F.unix_micros("expires_at") != tu.micros(F.col("ticks"))).alias("late"), F.col("copy.arrived").alias("arrived"), F.col("copy.delivery_id").alias("delivery_id")).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
+    # A run leaves a mark before and after it: one that broke off may have dropped rows that nobody counted.
+    this, marks = uuid.uuid4().hex, f"{folder}/runs"
+    spark.createDataFrame([(this, None, None)], RUNS).coalesce(1).write.mode("append").parquet(marks)
     with _conf(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000"}):
         query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(save).trigger(availableNow=True).start()
         query.awaitTermination()
     progress = query.recentProgress
-    dropped = sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
-    marks = [p["eventTime"]["watermark"] for p in progress if "watermark" in (p["eventTime"] or {})]
-    mark = spark.sql(f"select unix_millis(timestamp'{max(marks)}')").first()[0] if marks else None
-    return DedupRun(ledger, len(progress), dropped, mark)
+    lost = sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
+    seen_marks = [p["eventTime"]["watermark"] for p in progress if "watermark" in (p["eventTime"] or {})]
+    mark = spark.sql(f"select unix_millis(timestamp'{max(seen_marks)}')").first()[0] if seen_marks else 0
+    spark.createDataFrame([(this, lost, mark)], RUNS).coalesce(1).write.mode("append").parquet(marks)
+    runs = spark.read.schema(RUNS).parquet(marks).groupBy("run").agg(F.max("dropped").alias("dropped"), F.max("mark").alias("mark"))
+    total = runs.agg(F.sum(F.coalesce("dropped", F.lit(1))).alias("dropped"), F.max(F.when(F.coalesce("dropped", F.lit(1)) > 0, F.coalesce("mark", F.lit(FAR_MS)))).alias("before")).first()
+    number = spark.read.schema(LEDGER).parquet(ledger).select("batch").distinct().limit(2).count() if _exists(spark, ledger) else 0
+    return DedupRun(ledger, number, number <= 1, total["dropped"], total["before"] or 0)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def read_ledger(spark: SparkSession, run: DedupRun) -> DataFrame:
@@ -135,12 +154,12 @@ def dropped_copies(spark: SparkSession, path: str, **options) -> DataFrame:
     log, ledger = spark.read.parquet(path), read_ledger(spark, run)
     straggling = None
     if run.dropped:  # batches came out of order: whatever may have been dropped is compared with the ledger exactly
-        straggling = keyed_copies(log, delay).where(F.col("expires_at") <= F.timestamp_millis(F.lit(run.watermark_ms)))
+        straggling = keyed_copies(log, delay).where(F.col("expires_at") <= F.timestamp_millis(F.lit(run.stragglers_before_ms)))
     named = ledger.select("delivery_id")
     if straggling is not None:
         named = named.unionByName(straggling.select(F.col("copy.delivery_id").alias("delivery_id")))
     unnamed = log.where(has_identity() & F.col("delivery_id").isNotNull()).select("delivery_id").join(named, "delivery_id", "left_anti")
-    return unnamed.unionByName(superseded(ledger, run.batches == 1, straggling)).where(F.col("delivery_id") != LAST)
+    return unnamed.unionByName(superseded(ledger, run.one_batch, straggling)).where(F.col("delivery_id") != LAST)
 
 
 def deduplicated(spark: SparkSession, path: str, **options) -> DataFrame:

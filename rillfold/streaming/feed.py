@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rillfold.functions import timeuuid as tu
@@ -36,7 +37,7 @@ def to_folder(df: DataFrame, folder: str, mode: str) -> DataFrame:
 
     finish(df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(save).trigger(availableNow=True).start())
     spark = df.sparkSession
-    schema = df.schema.add("batch", "bigint")
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
