@@ -16,15 +16,25 @@ LOW_END = "7f7f7f7f7f7f7f7f"
 LOW_MIDDLE = "0000000000000000"
 
 
-def digits(text: Column) -> Column:
-    """The 32 lower-case hex digits of a UUID in any spelling (case, braces, hyphens, blanks); null for other text.
+def bare(text: Column) -> Column:
+    """Lower-case text without braces, hyphens and blanks, as in `digits` but unchecked.
 
     The usual spelling is cut at its known places, which costs a fraction of `translate`.
     """
-    plain = F.length(text) == 36
     usual = F.concat(*[F.substring(text, p, n) for p, n in ((1, 8), (10, 4), (15, 4), (20, 4), (25, 12))])
-    d = F.lower(F.when(plain & (F.substring(text, 9, 1) == "-") & (F.substring(text, 24, 1) == "-"), usual).otherwise(F.translate(text, "{}- \t", "")))
-    return F.when((F.length(d) == 32) & F.unhex(d).isNotNull(), d)
+    is_usual = (F.length(text) == 36) & (F.substring(text, 9, 1) == "-") & (F.substring(text, 24, 1) == "-")
+    return F.lower(F.when(is_usual, usual).otherwise(F.translate(text, "{}- \t", "")))
+
+
+def is_digits(d: Column) -> Column:
+    """Whether bare text is 32 hex digits."""
+    return (F.length(d) == 32) & F.unhex(d).isNotNull()
+
+
+def digits(text: Column) -> Column:
+    """The 32 lower-case hex digits of a UUID in any spelling (case, braces, hyphens, blanks); null for other text."""
+    d = bare(text)
+    return F.when(is_digits(d), d)
 
 
 def _word(hex_digits: Column) -> Column:

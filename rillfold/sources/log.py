@@ -23,17 +23,20 @@ def identified(log: DataFrame, *extra: Column) -> DataFrame:
     stream, time or sequence number is null or unreadable have no identity and are left out.
     """
     d = F.col("__digits")
+    known = F.col("`cdc$time`").isNotNull() & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull()
+    # Exploding an array of one keeps the optimizer from copying the digits' expression into every use of it.
     # Ticks come first: where an aggregation has to sort, they tell nearly all rows apart.
     return (
-        log.select("*", tu.digits(F.col("`cdc$time`")).alias("__digits"))
-        .where(F.col("__digits").isNotNull() & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull())
+        log.where(known)
+        .select("*", F.explode(F.array(tu.bare(F.col("`cdc$time`")))).alias("__digits"))
+        .where(tu.is_digits(d))
         .select(tu.ticks_of_digits(d).alias("ticks"), tu.low_word(d).alias("low"), F.col("`cdc$batch_seq_no`").alias("batch_seq_no"), F.col("`cdc$stream_id`").alias("stream_id"), *extra)
     )
 
 
 def has_identity() -> Column:
-    """Whether a delivered copy has an identity, without computing it."""
-    return tu.digits(F.col("`cdc$time`")).isNotNull() & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull()
+    """Whether a delivered copy has an identity, without computing it; null or false if not."""
+    return tu.is_digits(tu.bare(F.col("`cdc$time`"))) & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull()
 
 
 def arrivals(log: DataFrame) -> DataFrame:
