@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rillfold.session import shared_dir
+
 #: A column is renamed if more than this share of the rows with both values agree.
 MOST = 0.5
 #: Longer values are compared by a digest.
@@ -163,20 +165,43 @@ def union_schema(headers: DataFrame) -> DataFrame:
 
 
 def canonical_names(headers: DataFrame, records: DataFrame) -> DataFrame:
-    """`(table_name, file_id, name, column_name)`: the name a column of a file has in the unified table.
+    """`(table_name, file_id, name, type, column_name)`: the name that a column of a file has in the unified table.
 
-    A renamed column keeps the name that it had first. Chains of renames are followed by time: within a
-    table renames are few, one row each, so a table's are folded in one place.
+    That is the last name it came to bear. Each stretch of files in which a name goes on without a gap is a node,
+    a rename makes the old name's stretch the parent of the new one's, and pointers to parents are doubled
+    until they point to the first, so a chain of n renames takes about log2(n) rounds over stretches, not files.
+    A column that was removed and comes back is one; of columns that bear one last name but lived side by side,
+    all but the first get the file they began in as a suffix.
     """
-    moved = renames(rename_votes(compared(headers), records)).join(files(headers).select("table_name", "file_id", "effective_at"), ["table_name", "file_id"])
-    steps = moved.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("effective_at", "file_id", "old_name", "new_name"))).alias("steps"))
-    cols = columns(headers).join(steps, "table_name", "left")
-    # Walk back from the file: whatever last became `name` before or with this file gave it its identity.
-    back = F.aggregate(
-        F.reverse(F.filter(F.coalesce("steps", F.array().cast("array<struct<effective_at:timestamp_ntz,file_id:bigint,old_name:string,new_name:string>>")), lambda s: (s["effective_at"] < F.col("effective_at")) | ((s["effective_at"] == F.col("effective_at")) & (s["file_id"] <= F.col("file_id"))))),
-        F.col("name"), lambda acc, s: F.when(s["new_name"] == acc, s["old_name"]).otherwise(acc),
-    )
-    return cols.select("table_name", "file_id", "name", "type", back.alias("column_name"))
+    spark = headers.sparkSession
+    cols = columns(headers)
+    by_name = Window.partitionBy("table_name", "name").orderBy(F.col("effective_at").asc_nulls_first(), "file_id")
+    fresh = F.coalesce(F.lag("file_id").over(by_name) != F.col("before"), F.lag("file_id").over(by_name).isNull(), F.lit(True))
+    runs = cols.withColumn("__start", F.when(fresh, F.col("file_id"))).withColumn("start", F.last("__start", ignorenulls=True).over(by_name.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+    runs = _kept(runs, spark)
+    moved = renames(rename_votes(compared(headers), records)).select("table_name", F.col("before").alias("file_id"), F.col("old_name").alias("name"), F.col("file_id").alias("moved_at"), "new_name")
+    edges = moved.join(runs.select("table_name", "file_id", "name", "start"), ["table_name", "file_id", "name"]).select("table_name", F.col("new_name").alias("name"), F.col("moved_at").alias("start"), F.struct("name", "start").alias("parent"))
+    nodes = runs.groupBy("table_name", "name", "start").agg(F.min("effective_at").alias("begins"), F.max("effective_at").alias("ends"))
+    nodes = nodes.join(edges, ["table_name", "name", "start"], "left").withColumn("parent", F.coalesce("parent", F.struct("name", "start")))
+    while True:
+        nodes = _kept(nodes, spark)
+        up = nodes.select("table_name", F.struct("name", "start").alias("parent"), F.col("parent").alias("above"))
+        doubled = nodes.join(up, ["table_name", "parent"])
+        if doubled.where("above <> parent").limit(1).count() == 0:
+            break
+        nodes = doubled.select("table_name", "name", "start", "begins", "ends", F.col("above").alias("parent"))
+    whole = nodes.groupBy("table_name", "parent").agg(F.max_by("name", F.struct("begins", "start")).alias("last_name"), F.min("begins").alias("begins"), F.max("ends").alias("ends"))
+    earlier = F.max("ends").over(Window.partitionBy("table_name", "last_name").orderBy("begins", "parent").rowsBetween(Window.unboundedPreceding, -1))
+    named = whole.withColumn("column_name", F.when(earlier >= F.col("begins"), F.concat_ws("@", "last_name", F.col("parent.start").cast("string"))).otherwise(F.col("last_name")))
+    final = nodes.join(named.select("table_name", "parent", "column_name"), ["table_name", "parent"]).select("table_name", "name", "start", "column_name")
+    return runs.join(final, ["table_name", "name", "start"]).select("table_name", "file_id", "name", "type", "column_name")
+
+
+def _kept(df: DataFrame, spark) -> DataFrame:
+    """A table written to the shared folder, to cut lineage."""
+    where = shared_dir(spark, "drift")
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def unified_values(headers: DataFrame, records: DataFrame) -> DataFrame:
