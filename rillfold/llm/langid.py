@@ -39,6 +39,8 @@ BINS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Labelled documents of each language that train the machines, in expectation; sentences of each language at most.
 TRAIN_DOCS, TRAIN_SENTENCES = 250, 900
+#: Longer documents don't train, so the sample on the driver is bounded; they are labelled like all others.
+TRAIN_CHARS = 100_000
 #: A document with fewer letters of prose has no language.
 MIN_LETTERS = 10
 #: Letters and confidence that a sentence needs to count by itself, and to bring in another language than its document's.
@@ -213,13 +215,13 @@ def _slope(model: Model, test: list[tuple[int, str, str]]) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> list[tuple[int, str, str]]:
-    """About `train_docs` documents of each language by its label, chosen by a hash of the id.
+    """About `train_docs` documents of each language by its label, none longer than `TRAIN_CHARS`, chosen by a hash of the id.
 
     Rates come from counts over all documents, so the choice is a filter, without order or limit. labels: `label,
     lang_code`, a fixed table of spellings.
     """
     names = {r.label: r.lang_code for r in labels.where("label is not null and lang_code is not null").collect()}
-    known = docs.where(F.col("lang").isin(list(names)) & F.coalesce(F.length("text") >= MIN_LETTERS, F.lit(False)))
+    known = docs.where(F.col("lang").isin(list(names)) & F.coalesce(F.length("text").between(MIN_LETTERS, TRAIN_CHARS), F.lit(False)))
     per_label = known.groupBy("lang").count().collect()
     total: dict[str, int] = defaultdict(int)
     for r in per_label:
