@@ -135,6 +135,12 @@ SQL = {
         from simple_scylla_cdc_log) where k = 1""",
     "p3_found": f"""{_DRIFT}
         select table_name, file_id, change_kind, column_name from report""",
+    "p3_union_schema": """
+        with h as (select distinct table_name, lower(trim(column_name, '" ')) as column_name, replace(replace(replace(upper(cdc_log_data_type), ' ', ''), 'VARCHAR', 'TEXT'), 'COUNTER', 'BIGINT') as type from change_schema),
+          g as (select table_name, column_name, list(type) as ts, ['TINYINT', 'SMALLINT', 'INT', 'BIGINT', 'VARINT'] as w, ['FLOAT', 'DOUBLE', 'DECIMAL'] as r from h where type is not null and not starts_with(column_name, 'cdc$') group by 1, 2)
+        select table_name, column_name, case when len(ts) = 1 then ts[1] when list_has_all(w, ts) then w[list_max(list_transform(ts, lambda t: list_position(w, t)))] when list_has_all(r, ts) then r[list_max(list_transform(ts, lambda t: list_position(r, t)))]
+          when list_has_all(w || r, ts) then case when list_has_any(ts, ['BIGINT', 'VARINT', 'DECIMAL']) then 'DECIMAL' when list_has_any(ts, ['INT', 'DOUBLE']) then 'DOUBLE' else 'FLOAT' end
+          when list_has_all(['DATE', 'TIMESTAMP'], ts) then 'TIMESTAMP' when list_has_all(['UUID', 'TIMEUUID'], ts) then 'UUID' else 'TEXT' end as type from g""",
     "p3_changelog": f"""{_DRIFT}
         select r.table_name, file_id, column_name, change_kind, ot as old_type, nt as new_type, ok as old_kind, nk as new_kind, effective_at
         from report r join d on d.table_name = r.table_name and d.file = r.file_id and d.name = r.column_name join f using (file_id)""",

@@ -52,11 +52,13 @@ def distinct_rows(log: DataFrame) -> DataFrame:
     """The log with one row for each log row, under `IDENTITY` and short names.
 
     Copies agree in what they say, so the greatest of each column is theirs; a null `end_of_batch` is false.
-    Copies are combined before the shuffle. Rows without identity are left out.
+    Copies are combined before the shuffle. Rows without identity are left out. A base column whose name is
+    one of those is called `c_` and its name.
     """
     known = {"operation": "cdc$operation", "end_of_batch": "cdc$end_of_batch", "ttl": "cdc$ttl"}
     delivery = {"delivery_id", "delivery_batch", "received_at", "cdc$stream_id", "cdc$time", "cdc$batch_seq_no"}
-    rest = {c.replace("cdc$", ""): c for c in log.columns if c not in delivery and c not in known.values()}
+    taken = {*IDENTITY, *known}
+    rest = {(n if (n := c.replace("cdc$", "")) not in taken else f"c_{n}"): c for c in log.columns if c not in delivery and c not in known.values()}
     columns = {**known, **rest}
     rows = identified(log, *[F.col(f"`{c}`").alias(n) for n, c in columns.items() if c in log.columns])
     value = lambda n: F.coalesce(F.col(n), F.lit(False)) if n == "end_of_batch" or n.startswith("deleted_") and dict(rows.dtypes)[n] == "boolean" else F.col(n)

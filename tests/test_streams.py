@@ -128,6 +128,8 @@ def test_reading(spark):
     df = log.df(spark)
     assert len(base_columns(df).columns) + len(meta_columns(df).columns) == len(df.columns)
     assert distinct_rows(df.limit(0)).count() == 0
+    clash = distinct_rows(df.withColumns({"ticks": F.lit("x"), "operation": F.lit("y")}))
+    assert {(r.c_ticks, r.c_operation, r.operation) for r in clash.collect()} == {("x", "y", 2)} and clash.count() == 4
 
 
 def test_command_line(spark, tmp_path):
