@@ -2,8 +2,8 @@
 
 For every row key one aggregation keeps the newest write of each column, the newest insert and the newest
 row deletion; it combines before the shuffle, so keys with very many changes cost each map task one row.
-Deletions of partitions and ranges are few; they are summed up per partition key, or met by range, and mask
-what is older. (For tables keyed by two integers, `rillfold.operators.replay` also splits hot partition keys.)
+Deletions of partitions are summed up per partition key; those of ranges are met in a sweep along the clustering key,
+which splits hot partition keys. Both mask what is older.
 
 Input: rows with `ticks, low, batch_seq_no, stream_id, operation, ttl`, the key columns, and for
 every regular column `c` the columns `c` and `deleted_c`.
@@ -15,14 +15,19 @@ if it writes a row; repeated rows change nothing; a right bound without its left
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillfold.functions import timeuuid as tu
+from rillfold.operators.hotkeys import heavy_candidates
 from rillfold.operators.ordered import last_known
+from rillfold.session import kept
 
 MODES = {"delta": "delta", "preimage": "preimage", "pre_image": "preimage", "postimage": "postimage", "post_image": "postimage"}
 
@@ -68,18 +73,76 @@ def unpaired(rows: DataFrame, keyed: Keyed) -> DataFrame:
     return pairs(rows, keyed).where("no_left or no_right")
 
 
-def inside(keyed: Keyed, row: str = "") -> Column:
-    """Whether a row lies between the bounds: they name a prefix of the clustering key; what is null leaves the rest open."""
+#: A partition key with at least HOT of the rows is split into chunks that hold about TARGET of them.
+HOT, TARGET = 0.02, 0.005
+ROW, BEGIN, END = 0, 1, 2
 
-    def side(s: str, beyond) -> Column:
-        cond = F.col(f"{s}_incl")  # equal in all that is named
-        for c in reversed(keyed.clustering):
-            bound, mine = F.col(f"{s}_{c}"), F.col(f"{row}{c}")
-            # Nothing named at all is an open side; a shorter prefix than the row's key holds all of its rows, or none.
-            cond = F.when(bound.isNull(), F.lit(True) if c == keyed.clustering[0] else F.col(f"{s}_incl")).when(beyond(mine, bound), F.lit(True)).when(mine == bound, cond).otherwise(F.lit(False))
-        return cond
 
-    return side("l", lambda a, b: a > b) & side("r", lambda a, b: a < b)
+def covered(keys: DataFrame, ranges: DataFrame, keyed: Keyed) -> DataFrame:
+    """The key columns and `d_range`, the newest range deletion that covers a row, for the rows that one covers.
+
+    A sweep instead of a join: rows and both ends of each range are sorted along the clustering key, Spark comparing the
+    values, and the ranges open at a row are held in a heap. An end names a prefix of the clustering key and comes
+    before or after all rows with it; where it names nothing, its side is open. Hot partition keys are split into chunks
+    by clustering key, and their ranges go to each.
+    """
+    text = F.to_json(F.struct(*[F.col(c) for c in keyed.partition]))
+    hot = [(k, n) for k, n in heavy_candidates(keys, text, HOT) if k is not None]
+    total = keys.count() if hot else 1
+    chunks = F.coalesce(*[F.when(text == k, F.lit(min(1024, max(2, round(n / (TARGET * total)))))) for k, n in hot], F.lit(1))
+    n = range(len(keyed.clustering))
+
+    def end(side: str) -> Column:
+        """Place of a bound: rank and value of each component, and a rank against a row with the same key."""
+        before = F.col(f"{side}_incl") if side == "l" else ~F.col(f"{side}_incl")
+        rank = F.when(before, F.lit(-1)).otherwise(F.lit(1))
+        none = F.col(f"{side}_{keyed.clustering[0]}").isNull()
+        open_rank = F.when(none, F.lit(-1 if side == "l" else 1)).otherwise(rank)
+        parts = [x for i in n for c in [F.col(f"{side}_{keyed.clustering[i]}")] for x in (F.when(c.isNull(), open_rank).otherwise(0).alias(f"rank_{i}"), c.alias(f"value_{i}"))]
+        return F.struct(F.lit(BEGIN if side == "l" else END).alias("what"), *parts, rank.alias("tie"))
+
+    own = [F.col(c).alias(f"p_{i}") for i, c in enumerate(keyed.partition)]
+    ends = ranges.select(*own, chunks.alias("chunks"), "ticks", (F.col("start_seq") + 1).alias("seq"), "low", F.array(end("l"), end("r")).alias("ends"))
+    ends = ends.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("e", F.explode("ends"))
+    names = [*[f"p_{i}" for i in range(len(keyed.partition))], "chunk", "what", *[x for i in n for x in (f"rank_{i}", f"value_{i}")], "tie", "ticks", "seq", "low"]
+    ends = ends.select(*[F.col(f"e.{c}").alias(c) if c == "what" or c == "tie" or c.startswith(("rank_", "value_")) else F.col(c) for c in names])
+    at = keys.select(*own, F.pmod(F.xxhash64(*keyed.clustering), chunks).cast("int").alias("chunk"), F.lit(ROW).alias("what"), *[x for i in n for x in (F.lit(0).alias(f"rank_{i}"), F.col(keyed.clustering[i]).alias(f"value_{i}"))], F.lit(0).alias("tie"), F.lit(None).cast("bigint").alias("ticks"), F.lit(None).cast("int").alias("seq"), F.lit(None).cast("binary").alias("low"))
+    group = names[: len(keyed.partition) + 1]
+    ordered = at.select(*names).unionByName(ends).repartition(*group).sortWithinPartitions(*group, *[x for i in n for x in (f"rank_{i}", f"value_{i}")], "tie", "what")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
+    out = ", ".join([*[f"p_{i} {kinds[f'p_{i}']}" for i in range(len(keyed.partition))], *[f"value_{i} {kinds[f'value_{i}']}" for i in n], "ticks bigint, batch_seq_no int"])
+    found = ordered.mapInArrow(_swept(len(keyed.partition), len(keyed.clustering)), out)
+    return found.select(*[F.col(f"p_{i}").alias(c) for i, c in enumerate(keyed.partition)], *[F.col(f"value_{i}").alias(c) for i, c in enumerate(keyed.clustering)], F.struct("ticks", "batch_seq_no").alias("d_range"))
+
+
+def _swept(n_partition: int, n_clustering: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heap, ended = None, [], set()
+        for batch in batches:
+            groups = zip(*(batch.column(i).to_pylist() for i in range(n_partition + 1)))
+            rest = (batch.column(name).to_pylist() for name in ("what", "ticks", "seq", "low"))
+            rows, ticks, seqs = [], [], []
+            for k, (g, what, t, s, low) in enumerate(zip(groups, *rest)):
+                if g != group:
+                    group, heap, ended = g, [], set()
+                if what == BEGIN:
+                    if (t, s, low) not in ended:
+                        heapq.heappush(heap, (-t, -s, low))
+                elif what == END:
+                    ended.add((t, s, low))
+                else:
+                    while heap and (-heap[0][0], -heap[0][1], heap[0][2]) in ended:
+                        heapq.heappop(heap)
+                    if heap:
+                        rows.append(k)
+                        ticks.append(-heap[0][0])
+                        seqs.append(-heap[0][1])
+            taken = batch.take(pa.array(rows, pa.int64()))
+            columns = [taken.column(f"p_{i}") for i in range(n_partition)] + [taken.column(f"value_{i}") for i in range(n_clustering)]
+            names = [f"p_{i}" for i in range(n_partition)] + [f"value_{i}" for i in range(n_clustering)] + ["ticks", "batch_seq_no"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ticks, pa.int64()), pa.array(seqs, pa.int32())], names=names)
+
+    return run
 
 
 def _later(a: Column, b: Column) -> Column:
@@ -117,11 +180,10 @@ def state(rows: DataFrame, keyed: Keyed, how: str = "delta", now_ms: int | None
     dead = rows.where(F.col("operation") == 4).groupBy(*keyed.partition).agg(F.max(at).alias("d_all"))
     joined = newest.join(dead, list(keyed.partition), "left")
     if keyed.clustering:
-        ranges = paired(rows, keyed).withColumn("d", F.struct("ticks", (F.col("start_seq") + 1).alias("batch_seq_no")))
-        keys = newest.select(*keyed.key)
-        ranged = ranges.select(*[F.col(c).alias(f"p_{c}") for c in keyed.partition], *[f"{s}_{c}" for s in "lr" for c in keyed.clustering], "l_incl", "r_incl", "d")
-        same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"p_{c}") for c in keyed.partition])
-        cover = keys.join(ranged, same & inside(keyed)).groupBy(*keyed.key).agg(F.max("d").alias("d_range"))
+        # Read three times below: to find hot keys, to sweep, and to mask.
+        newest = kept(newest, "apply")
+        joined = newest.join(dead, list(keyed.partition), "left")
+        cover = covered(newest.select(*keyed.key), paired(rows, keyed), keyed)
         joined = joined.join(cover, keyed.key, "left")
     else:
         joined = joined.withColumn("d_range", F.lit(None).cast("struct<ticks:bigint,batch_seq_no:int>"))

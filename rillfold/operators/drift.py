@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rillfold.session import shared_dir
+from rillfold.session import kept
 
 #: A column is renamed if more than this share of the rows with both values agree.
 MOST = 0.5
@@ -173,18 +173,17 @@ def canonical_names(headers: DataFrame, records: DataFrame) -> DataFrame:
     A column that was removed and comes back is one; of columns that bear one last name but lived side by side,
     all but the first get the file they began in as a suffix.
     """
-    spark = headers.sparkSession
     cols = columns(headers)
     by_name = Window.partitionBy("table_name", "name").orderBy(F.col("effective_at").asc_nulls_first(), "file_id")
     fresh = F.coalesce(F.lag("file_id").over(by_name) != F.col("before"), F.lag("file_id").over(by_name).isNull(), F.lit(True))
     runs = cols.withColumn("__start", F.when(fresh, F.col("file_id"))).withColumn("start", F.last("__start", ignorenulls=True).over(by_name.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
-    runs = _kept(runs, spark)
+    runs = kept(runs, "drift")
     moved = renames(rename_votes(compared(headers), records)).select("table_name", F.col("before").alias("file_id"), F.col("old_name").alias("name"), F.col("file_id").alias("moved_at"), "new_name")
     edges = moved.join(runs.select("table_name", "file_id", "name", "start"), ["table_name", "file_id", "name"]).select("table_name", F.col("new_name").alias("name"), F.col("moved_at").alias("start"), F.struct("name", "start").alias("parent"))
     nodes = runs.groupBy("table_name", "name", "start").agg(F.min("effective_at").alias("begins"), F.max("effective_at").alias("ends"))
     nodes = nodes.join(edges, ["table_name", "name", "start"], "left").withColumn("parent", F.coalesce("parent", F.struct("name", "start")))
     while True:
-        nodes = _kept(nodes, spark)
+        nodes = kept(nodes, "drift")
         up = nodes.select("table_name", F.struct("name", "start").alias("parent"), F.col("parent").alias("above"))
         doubled = nodes.join(up, ["table_name", "parent"])
         if doubled.where("above <> parent").limit(1).count() == 0:
@@ -197,13 +196,6 @@ def canonical_names(headers: DataFrame, records: DataFrame) -> DataFrame:
     return runs.join(final, ["table_name", "name", "start"]).select("table_name", "file_id", "name", "type", "column_name")
 
 
-def _kept(df: DataFrame, spark) -> DataFrame:
-    """A table written to the shared folder, to cut lineage."""
-    where = shared_dir(spark, "drift")
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def unified_values(headers: DataFrame, records: DataFrame) -> DataFrame:
     """All base tables as one: `(table_name, file_id, record_no, row_key, column_name, type, value)`.
 

@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def kept(df, purpose: str):
+    """The rows of `df`, written to the shared folder once: for what is read several times, and to cut lineage."""
+    spark = df.sparkSession
+    where = shared_dir(spark, purpose)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The table `name` of a data folder; Parquet, so filters and columns reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
