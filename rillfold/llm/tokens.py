@@ -9,6 +9,7 @@ encoding of its text exactly if every two neighbours are the encoding of theirs,
 
 Texts beyond `part_chars` are cut into parts which different tasks encode. Parts end where the pattern
 splits; only a stretch that is longer than a part is cut inside, and its parts are joined like the leaves.
+Blanks before a long stretch are encoded piece by piece as the whole text has them, since what follows decides how blanks are split.
 
 Defined cases: null and empty texts give an empty list; strings of special tokens are ordinary text; lone
 surrogates can't occur in Spark strings. Repeated rows give repeated results.
@@ -104,31 +105,46 @@ def encode(enc, text: str | None, unsplit: int = UNSPLIT_CHARS, pool: ThreadPool
     if len(text) < unsplit or not _long_stretch(unsplit).search(text):
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    done = 0
+    done = end = 0
+    blanks: list[str] = []
     for m in _SPLIT.finditer(text):
         if m.end() - m.start() >= unsplit:
-            ids += enc.encode_ordinary(text[done : m.start()]) if m.start() > done else []
+            ids += enc.encode_ordinary(text[done:end]) if end > done else []
+            # Cut off from what follows, blanks would be split otherwise than in the whole text.
+            ids += itertools.chain.from_iterable(_encode_piece(enc, b.encode()) for b in blanks)
             ids += encode_tree(enc, m.group().encode(), unsplit // 2, pool)
-            done = m.end()
+            done = end = m.end()
+            blanks = []
+        elif m.group()[-1].isspace():
+            blanks.append(m.group())
+        else:
+            end = m.end()
+            blanks = []
     return ids + (enc.encode_ordinary(text[done:]) if done < len(text) else [])
 
 
 def parts(text: str, size: int) -> Iterator[tuple[str, int]]:
-    """Parts of a long text, and for each the number of the stretch it is cut out of, -1 for a part that ends where the pattern splits."""
+    """Parts of a long text, and for each the number of the stretch it is or is cut out of, -1 for a part that ends where the pattern splits."""
     start = end = 0
+    blanks: list[tuple[str, int]] = []
     for number, m in enumerate(_SPLIT.finditer(text)):
         if m.end() - m.start() > size:
-            if m.start() > start:
-                yield text[start : m.start()], -1
+            if end > start:
+                yield text[start:end], -1
+            yield from blanks
             for k in range(m.start(), m.end(), size):
                 yield text[k : min(k + size, m.end())], number
             start = end = m.end()
+            blanks = []
             continue
         if m.end() - start > size and end > start:
             yield text[start:end], -1
             start = end
-        if not m.group()[-1].isspace():  # what follows decides how blanks are split, so no part ends with them
+        if m.group()[-1].isspace():  # what follows decides how blanks are split, so no part ends with them
+            blanks.append((m.group(), number))
+        else:
             end = m.end()
+            blanks = []
     if start < len(text):
         yield text[start:], -1
 

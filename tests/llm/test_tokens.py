@@ -36,6 +36,31 @@ def test_parts_are_the_text_and_split_where_the_pattern_does(enc):
         assert [x for p, n in pieces if n < 0 for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text) or any(n >= 0 for _, n in pieces)
 
 
+BEFORE = ["\n\n", "\n\n\n\n", "a\n\n", "a\n\n\n\n", "a \n", "a\t\t", "a\r\n\r\n", "a  ", "a\x1c\n", "a\u3000\n"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+def test_blanks_before_a_long_stretch(name):
+    e = tk.encoder(name)
+    for before in BEFORE:
+        for run in ("=" * 5000, "x" * 5000, "7" * 5000, " " * 5000, "=" * 5000 + "\n\n" + "x" * 5000):
+            text = f"{before}{run}\n\nend"
+            assert tk.encode(e, text) == e.encode_ordinary(text), (before, run[:1])
+    rng = random.Random(3)
+    for _ in range(500):
+        text = "".join(rng.choices(["a", " ", "\n", "\n\n", "\t", "'s", "\x1c", "=" * 40, "z" * 40, "7" * 40, " " * 40], k=40))
+        assert tk.encode(e, text, 32) == e.encode_ordinary(text)
+
+
+def test_parts_after_blanks(spark):
+    texts = [f"{before}{run}\n\nend" for before in BEFORE for run in ("=" * 3000, "x" * 3000 + "\n\n" + "=" * 3000)]
+    assert all("".join(p for p, _ in tk.parts(t, 1000)) == t for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    enc = tk.encoder("byte_bpe_50k")
+    got = {r.doc_id: r.ids for r in tk.token_ids(docs, unsplit=256, part_chars=1000).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_rows(spark, enc):
     texts = [None, "", " ", "plain words", "<|endoftext|> is text", "x" * 30000, *RUNS, "one two\n" * 4000, "plain words"]
     docs = spark.createDataFrame([(i, t, "other") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
