@@ -22,9 +22,11 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,9 @@ MIN_LETTERS = 10
 #: Letters and confidence that a sentence needs to count by itself, and to bring in another language than its document's.
 OWN_LETTERS, OWN_CONFIDENCE = 8, 0.6
 OTHER_LETTERS, OTHER_CONFIDENCE = 15, 0.8
+#: The same in a script that the document's language isn't written in. Latin letters are no such sign, as names are written in them everywhere.
+SCRIPT_LETTERS = 4
+SCRIPTS = {"ja": {"Han", "Hiragana", "Katakana"}, "zh": {"Han"}, "ru": {"Cyrillic"}, "uk": {"Cyrillic"}}
 
 # A few sentences of each language, so that no machine is ever without examples.
 SEEDS = {
@@ -234,12 +239,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> list
     return [(r.doc_id if r.doc_id is not None else -2, names[r.lang], r.text) for r in known.where(lot < bound).select("doc_id", "lang", "text").collect()]
 
 
+@lru_cache(maxsize=None)
+def _apart(language: str, main: str):
+    """Letters that show `language` beside `main` by their script; none if both are written in the same ones."""
+    scripts = SCRIPTS.get(language, set()) - SCRIPTS.get(main, set())
+    return regex.compile("|".join(rf"\p{{{x}}}" for x in sorted(scripts))) if scripts else None
+
+
+def _brings_in(sentence: str, letters: int, language: str, main: str) -> bool:
+    """Whether one sure sentence is enough for its language to count beside the main one. Chinese and Japanese say more in a letter."""
+    least = OWN_LETTERS if FAMILY_OF[language] == FAMILY_OF[main] == FAMILY_OF["zh"] else OTHER_LETTERS
+    return letters >= least or bool((own := _apart(language, main)) and len(own.findall(sentence)) >= SCRIPT_LETTERS)
+
+
 def decide(sentences: list[tuple[int, str, str]], said: list[str], sure: np.ndarray) -> tuple[dict[str, tuple[int, float]], list[tuple[int, str, float, int]]]:
     """Languages of one document with letters and confidence, and its segments `(block, language, confidence, letters)`.
 
     Sentences that are long and sure enough speak for themselves. The language with most letters is the
-    document's; another one counts if a sentence of it is long and sure enough to bring it in. All
-    others follow their block, or else the document.
+    document's; another one counts if a sentence of it is sure and long enough for its script to bring it in.
+    All others follow their block, or else the document.
     """
     size = [prose.letters(s) for _, _, s in sentences]
     own: dict[str, float] = defaultdict(float)
@@ -250,15 +268,16 @@ def decide(sentences: list[tuple[int, str, str]], said: list[str], sure: np.ndar
         for n, x, p in zip(size, said, sure):
             own[x] += n * p
     main = max(own, key=lambda x: (own[x], x))
-    allowed = {main} | {x for n, x, p in zip(size, said, sure) if n >= OTHER_LETTERS and p >= OTHER_CONFIDENCE}
+    brings = [p >= OTHER_CONFIDENCE and _brings_in(s, n, x, main) for (_, _, s), n, x, p in zip(sentences, size, said, sure)]
+    allowed = {main} | {x for x, yes in zip(said, brings) if yes}
     block: dict[int, dict[str, float]] = defaultdict(lambda: defaultdict(float))
     for (b, _, _), n, x, p in zip(sentences, size, said, sure):
         if x in allowed:
             block[b][x] += n * p
     out: dict[str, list[float]] = defaultdict(lambda: [0, 0.0])
     segments: list[list] = []
-    for (b, _, _), n, x, p in zip(sentences, size, said, sure):
-        strong = (x == main and p >= OWN_CONFIDENCE) or (n >= OTHER_LETTERS and p >= OTHER_CONFIDENCE)
+    for (b, _, _), n, x, p, alone in zip(sentences, size, said, sure, brings):
+        strong = (x == main and p >= OWN_CONFIDENCE) or alone
         if not strong:
             x, p = max(block[b], key=lambda y: (block[b][y], y)) if block[b] else main, min(p, 0.5)
         out[x][0] += n

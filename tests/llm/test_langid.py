@@ -87,3 +87,27 @@ def test_rows(spark, model):
     assert [s.language for s in parts[5]] == ["en", "de"] and all(0 <= s.confidence <= 1 for s in parts[5]) and parts[6] == []
     assert li.wrong_labels(docs.limit(0), labels).count() == 0
     assert {r.language for r in li.wrong_labels(docs, labels.limit(0), model=model).where("doc_id = 1").collect()} == {"en"}
+
+
+def _said(*rows):
+    """What `decide` makes of `(block, sentence, language, confidence)` rows."""
+    found, segments = li.decide([(b, "message", s) for b, s, _, _ in rows], [x for _, _, x, _ in rows], [p for *_, p in rows])
+    return set(found), [x for _, x, _, _ in segments]
+
+
+def test_short_sentences_of_another_script_count():
+    pt, en = (1, "Esta alteração acrescenta um teste para o analisador.", "pt", 0.99), (1, li.SEEDS["en"], "en", 0.99)
+    assert _said((0, "简化日志的处理并消除 个警告", "zh", 1.0), pt) == ({"pt", "zh"}, ["zh", "pt"])
+    assert _said((0, "ログを消す", "ja", 0.9), en) == ({"en", "ja"}, ["ja", "en"])
+    assert _said((0, "Новый тест", "ru", 0.9), en) == ({"en", "ru"}, ["ru", "en"])
+    assert _said((0, "修正了参数的错误顺序", "zh", 0.9), (1, li.SEEDS["ja"], "ja", 0.99)) == ({"ja", "zh"}, ["zh", "ja"])
+    # One letter, a doubtful sentence, or a Latin name are no other language.
+    assert _said((0, "𝔁", "zh", 0.9), en)[0] == _said((0, "简化日志的处理", "zh", 0.6), en)[0] == {"en"}
+    assert _said((0, "endoftext", "nl", 1.0), (1, li.SEEDS["zh"], "zh", 0.99))[0] == {"zh"}
+
+
+def test_short_chinese_subject(spark, model):
+    pt = li.SEEDS["pt"]
+    docs = spark.createDataFrame([(1, f"修正了参数的错误顺序。\n\n{pt}", "pt")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([("pt", "pt")], "lang_code string, label string")
+    assert {r.language for r in li.wrong_labels(docs, labels, model=model).collect()} == {"pt", "zh"}
