@@ -238,8 +238,26 @@ def cells(rows: DataFrame, keyed: Keyed) -> DataFrame:
     )
 
 
-def visible(kept: DataFrame, keyed: Keyed) -> DataFrame:
-    """The rows that a kept state of cells amounts to."""
-    values = {c: F.when(_later(F.col(f"w_{c}.at"), F.col("d_row")) & F.col(f"w_{c}").isNotNull(), F.col(f"w_{c}.v")) for c in keyed.regular}
-    exists = reduce(lambda a, b: a | b, [v.isNotNull() for v in values.values()], F.col("i").isNotNull() & _later(F.col("i"), F.col("d_row")))
-    return kept.where(exists).select(*keyed.key, *[v.alias(c) for c, v in values.items()])
+def partitions_gone(rows: DataFrame, keyed: Keyed) -> DataFrame:
+    """The newest deletion of each partition of one batch."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keyed.partition])
+    return rows.where((F.col("operation") == 4) & known).groupBy(*keyed.partition).agg(F.max(F.struct(*AT)).alias("d_all"))
+
+
+def bounds(rows: DataFrame, keyed: Keyed) -> DataFrame:
+    """The bounds of range deletions of one batch, as rows that `paired` takes; those of one range may come in different batches."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keyed.partition])
+    return rows.where(F.col("operation").between(5, 8) & known).select(*keyed.key, "stream_id", *AT, "low", "operation").distinct()
+
+
+def visible(kept: DataFrame, keyed: Keyed, dead: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows that a kept state of cells amounts to, under kept deletions of partitions (`partitions_gone`) and bounds of ranges (`bounds`)."""
+    masked = kept.join(dead, list(keyed.partition), "left")
+    if keyed.clustering:
+        masked = masked.join(covered(kept.select(*keyed.key), paired(ends, keyed), keyed), keyed.key, "left")
+    at = "struct<ticks:bigint,batch_seq_no:int>"
+    gone = [F.col(c).cast(at) for c in ("d_row", "d_all", "d_range") if c in masked.columns]
+    masked = masked.withColumn("gone", F.array_max(F.array_compact(F.array(*gone))))
+    values = {c: F.when(_later(F.col(f"w_{c}.at"), F.col("gone")) & F.col(f"w_{c}").isNotNull(), F.col(f"w_{c}.v")) for c in keyed.regular}
+    exists = reduce(lambda a, b: a | b, [v.isNotNull() for v in values.values()], F.col("i").isNotNull() & _later(F.col("i"), F.col("gone")))
+    return masked.where(exists).select(*keyed.key, *[v.alias(c) for c, v in values.items()])

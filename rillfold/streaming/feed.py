@@ -82,10 +82,11 @@ def consume_by_task(changes: DataFrame, handle: Callable[[DataFrame, int], None]
 
 
 class StateTable:
-    """Current cells of a table in the shared folder, one version per micro-batch.
+    """Current cells of a table in the shared folder, and the deletions of partitions and ranges, one version per micro-batch.
 
     A version is named by its batch, so a replayed batch folds into the version before it again and
-    replaces its own; the fold is idempotent besides. Two versions are kept.
+    replaces its own; the fold is idempotent besides. Two versions are kept. Deletions stay in the state for good, since
+    an older write may come in any later batch, and the two bounds of a range in different ones.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keyed: apply.Keyed) -> None:
@@ -96,23 +97,33 @@ class StateTable:
 
     def _versions(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        done = [int(x[1:]) for x in names if x.startswith("v") and self._fs.exists(self._path(f"{self.folder}/{x}/_SUCCESS"))]
+        if any(self._fs.exists(self._path(f"{self.folder}/{x}/_SUCCESS")) for x in names):
+            raise ValueError(f"{self.folder} holds a state without deletions of partitions and ranges; build it anew from the log")
+        done = [int(x[1:]) for x in names if x.startswith("v") and self._fs.exists(self._path(f"{self.folder}/{x}/cells/_SUCCESS"))]
         return sorted(done)
 
+    def _part(self, version: int, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/v{version}/{part}")
+
     def fold(self, rows: DataFrame, number: int) -> None:
         """For foreachBatch: rows as `apply.state` takes them."""
         before = [v for v in self._versions() if v < number]
-        new = apply.cells(rows, self.keyed)
+        new, dead, ends = apply.cells(rows, self.keyed), apply.partitions_gone(rows, self.keyed), apply.bounds(rows, self.keyed)
         if before:
-            new = apply.merge(self.spark.read.parquet(f"{self.folder}/v{before[-1]}"), rows, self.keyed)
-        new.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+            new = apply.merge(self._part(before[-1], "cells"), rows, self.keyed)
+            dead = self._part(before[-1], "dead").unionByName(dead).groupBy(*self.keyed.partition).agg(F.max("d_all").alias("d_all"))
+            ends = self._part(before[-1], "ends").unionByName(ends).distinct()
+        # The cells come last: a version counts once they are there.
+        self._fs.delete(self._path(f"{self.folder}/v{number}"), True)
+        for part, df in (("dead", dead), ("ends", ends), ("cells", new)):
+            df.write.parquet(f"{self.folder}/v{number}/{part}")
         for v in before[:-1]:
             self._fs.delete(self._path(f"{self.folder}/v{v}"), True)
 
     def read(self) -> DataFrame | None:
         """The rows that exist; none if no batch has come yet."""
         done = self._versions()
-        return apply.visible(self.spark.read.parquet(f"{self.folder}/v{done[-1]}"), self.keyed) if done else None
+        return apply.visible(self._part(done[-1], "cells"), self.keyed, self._part(done[-1], "dead"), self._part(done[-1], "ends")) if done else None
 
 
 def supervise(start: Callable[[], StreamingQuery], attempts: int, sleep: Callable[[int], None]) -> StreamingQuery:

@@ -79,6 +79,29 @@ def test_state_table_is_idempotent(spark, tmp_path):
     assert {tuple(r) for r in state.read().collect()} == brute(log.rows)
 
 
+@pytest.mark.parametrize("order", [[0, 1, 2], [2, 0, 1]])
+def test_state_table_applies_all_deletions(spark, tmp_path, order):
+    log = mess(8, 300)
+    rows = [distinct_rows(_part(log, k, 3).df(spark)) for k in range(3)]  # the bounds of a range are in different batches
+    state = feed.StateTable(spark, str(tmp_path / "state"), KEYED)
+    for n, k in enumerate(order):
+        state.fold(rows[k], n)
+        state.fold(rows[k], n)
+    got = {tuple(r) for r in state.read().collect()}
+    assert got == brute(log.rows) == {tuple(r) for r in apply.state(distinct_rows(log.df(spark)), KEYED).collect()}
+    (tmp_path / "old" / "v0").mkdir(parents=True)
+    (tmp_path / "old" / "v0" / "_SUCCESS").touch()
+    with pytest.raises(ValueError, match="without deletions"):
+        feed.StateTable(spark, str(tmp_path / "old"), KEYED).read()
+
+
+def test_state_table_partition_and_range(spark, tmp_path):
+    state = feed.StateTable(spark, str(tmp_path / "state"), KEYED)
+    for n, log in enumerate([Log().add(2, 1, 1, 10, s=1).add(2, 2, 1, 20, s=1).add(2, 2, 5, 25, s=1).add(5, 2, 0, s=2, seq=0, eob=False), Log().add(4, 1, None, s=3), Log().add(7, 2, 3, s=2, seq=1).add(2, 1, 2, 30, s=0)]):
+        state.fold(distinct_rows(log.df(spark)), n)
+    assert {tuple(r) for r in state.read().collect()} == {(2, 5, 25)}
+
+
 def _part(log, k, n):
     part = Log()
     part.rows = log.rows[k::n]
