@@ -47,7 +47,8 @@ def blocks(text: str | None) -> list[tuple[str, str]]:
     kind = MESSAGE
     diff = binary = False
     first = True
-    tool = bool(_BOT.search(text[:600]))
+    tool = False
+    head = True  # a mail's headers can go on after its subject
 
     def close() -> None:
         if run:
@@ -87,7 +88,9 @@ def blocks(text: str | None) -> list[tuple[str, str]]:
         bare = line.strip()
         if not bare or bare == "---" or bare == "--":
             close()
+            head = head and first
             continue
+        tool = tool or (head and bool(_BOT.match(bare)))
         if line.startswith("Subject:"):
             close()
             bare = line[8:].strip()
@@ -99,6 +102,7 @@ def blocks(text: str | None) -> list[tuple[str, str]]:
             continue
         if first:
             first = False
+            head = line.startswith("Subject:")
             tool = tool or bool(_TOOL.match(bare))
             bare = _SUBJECT_MARKS.sub("", bare)
             add(MESSAGE, bare, True)

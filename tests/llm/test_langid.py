@@ -47,6 +47,15 @@ def test_blocks():
     assert prose.letters(prose.without_names("`a` fooBar foo_bar Foo.bar() src/a/b.c 12 me@x.org")) == 0
 
 
+def test_bots_by_any_header_line():
+    rest = "\n\nthese are words of a tool\n\ndiff --git a/x b/x\n+// people wrote this\n"
+    long = "commit 0123456789\nMerge: " + "0123456 " * 100
+    for head in (f"{long}\nAuthor: renovate[bot] <x@y.invalid>\nDate: 1\n\nNew words", "From: a-bot <x@y.invalid>\nSubject: New words", "Subject: New words\nFrom: a-bot <x@y.invalid>", f"Subject: New words\nCommit: {'x' * 700}\nFrom: a-bot <x@y.invalid>"):
+        assert prose.blocks(head + rest) == [("comment", "people wrote this")]
+    # What a message says of a bot doesn't make it a tool's.
+    assert [k for k, _ in prose.blocks("Author: Some One <x@y.invalid>\n\nNew words\n\nsee Author: a-bot there" + rest)] == ["message", "message", "message", "comment"]
+
+
 @pytest.fixture(scope="module")
 def model():
     return li.train([])
