@@ -214,14 +214,20 @@ def unified_values(headers: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def unified(headers: DataFrame, records: DataFrame, table_name: str) -> DataFrame:
-    """The records of one base table in its union schema: `file_id, record_no, row_key` and a typed column each.
+    """The records of one base table in one schema: `file_id, record_no, row_key` and a typed column each, renamed ones under their last name.
 
     The schema of one table is small and known to the driver; its columns are read out of the body in
-    the names each file gives them. A value that its promoted type can't hold is null.
+    the names each file gives them. A value that its promoted type can't hold is null; a record without values is a row of nulls.
     """
     mine = headers.where(F.col("table_name") == table_name)
-    schema = sorted((r.column_name, r.type) for r in union_schema(mine).collect())
-    ids = columns(mine).select("file_id").distinct()
+    names = kept(canonical_names(mine, records), "drift")
+    union = names.where("type is not null").groupBy("column_name").agg(promoted(F.collect_set("type")).alias("type"))
+    schema = sorted((r.column_name, r.type) for r in union.collect())
+    per_file = names.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "column_name"))).alias("names"))
     body = F.from_json("body", T.MapType(T.StringType(), T.StringType()))
-    rows = records.join(ids, "file_id", "left_semi").select("file_id", "record_no", "row_key", F.map_from_entries(F.array_compact(F.aggregate(F.map_entries(body), F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == norm_name(e["key"])), acc).otherwise(F.concat(acc, F.array(F.struct(norm_name(e["key"]).alias("key"), e["value"].alias("value")))))))).alias("m"))
+    entries = F.transform(F.map_entries(body), lambda e: F.struct(F.try_element_at("names", norm_name(e["key"])).alias("key"), e["value"].alias("value")))
+    known = F.filter(entries, lambda e: e["key"].isNotNull())
+    # Of spellings that are one name, the first counts.
+    first = F.aggregate(known, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e))))
+    rows = records.join(per_file, "file_id").select("file_id", "record_no", "row_key", F.map_from_entries(first).alias("m"))
     return rows.select("file_id", "record_no", "row_key", *[reduce(lambda c, t: c.try_cast(t), [SPARK_TYPES[t]] if t in SPARK_TYPES else [], F.col("m")[n]).alias(f"c_{n}") for n, t in schema])

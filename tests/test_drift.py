@@ -75,6 +75,14 @@ def test_unified(spark):
     assert {(x.type) for x in drift.union_schema(h).where("column_name = 'pk'").collect()} == {"BIGINT"}
 
 
+def test_wide_table_follows_renames(spark):
+    files = [(1, "a", 1, [("pk", "INT", "PARTITION_KEY"), ("was", "INT", "REGULAR")]), (2, "a", 2, [("pk", "INT", "PARTITION_KEY"), ("now", "BIGINT", "REGULAR")])]
+    recs = [(1, 1, 1, '{"pk": 1, "was": 7}'), (1, 2, 2, None), (2, 1, 1, '{"PK": 1, "now": 7}'), (2, 2, 2, '{"now": null}'), (2, 3, 3, "broken")]
+    wide = drift.unified(heads(spark, files), spark.createDataFrame(recs, BODY), "a")
+    assert wide.columns == ["file_id", "record_no", "row_key", "c_now", "c_pk"] and dict(wide.dtypes)["c_now"] == "bigint"
+    assert {tuple(r) for r in wide.collect()} == {(1, 1, 1, 7, 1), (1, 2, 2, None, None), (2, 1, 1, 7, 1), (2, 2, 2, None, None), (2, 3, 3, None, None)}
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_files(spark, n):
     h = heads(spark, [(1, "a", 1, [("pk", "INT", "PARTITION_KEY")])]).limit(n)
