@@ -26,8 +26,24 @@ def local_session(cores: int | str = "*", app: str = "rillfold", shuffle: int =
     )
 
 
+_OWN: set[tuple[str, str]] = set()
+
+
+def _own_folder(spark: SparkSession, base: str) -> str:
+    """This application's folder below `base`, which its driver deletes when it ends."""
+    app = spark.sparkContext.applicationId
+    where = os.path.join(base, f"rillfold-{app}")
+    if (app, base) not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN.add((app, base))
+    return where
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for `purpose` below the cluster's shared checkpoint folder.
+    """A fresh folder for `purpose` below the cluster's shared checkpoint folder, deleted when the application ends.
 
     The folder is read from ``spark.checkpoint.dir``. Only where that is unset and the master is
     a plain ``local`` one (tests) is a temporary folder used; anywhere else that is an error,
@@ -40,7 +56,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = "file://" + tempfile.mkdtemp(prefix="rillfold-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    return os.path.join(_own_folder(spark, base), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(df, purpose: str):

@@ -1,53 +1,62 @@
 """Exactly one copy of each log row out of an at-least-once delivery.
 
 A streaming aggregation keeps, for each identifier it has seen, the best copy so far: the one with
-the earliest arrival, of equal ones the lowest delivery id. Its state lives in Spark's keyed state
-store, expires behind an event-time watermark, and is committed with the same micro-batch that wrote
-the output (a replayed batch overwrites its own folder). Copies are combined before the shuffle, so an
-identifier delivered very often costs a map task one row.
+the earliest arrival, of equal ones the lowest delivery id. Its state lives in a keyed state store
+(RocksDB, so it isn't bound by the executors' heap), expires behind an event-time watermark, and is
+committed with the same micro-batch that wrote the output (a replayed batch overwrites its own folder). Copies are
+combined before the shuffle, so an identifier delivered very often costs a map task one row.
 
-Each micro-batch appends to a ledger the identifiers it touched. A copy that arrives more than `delay`
-after its event can't count on finding state: it gets an event time of its own, so that the watermark
-never drops it, is marked late, and is looked up in the ledger afterwards.
+A run has three steps, each restartable:
+
+1. New files of the log are decoded and laid out by period of arrival (a stream without state, so each file is read once).
+2. The periods go to the stateful stream one after another, a micro-batch each, so batches come in order of arrival and
+   state expires while they do. Each micro-batch appends to a ledger the identifiers it touched, with their best copy.
+3. The copies of this run that the ledger doesn't name are dropped. A copy that arrives more than `delay_s` after its
+   event can't count on finding state: it has an event time of its own, so that the watermark never drops
+   it, is marked late, and is looked up in the ledger; so is one that arrived before the end of an earlier run.
+
+Only step 3's lookups read what earlier runs wrote, and only within the ticks of the identifiers looked up. Should the
+watermark drop rows all the same, or a run break off, the copies of that run that may have been dropped are looked up as well.
 
 Defined cases: a copy without identity (null or unreadable stream, time or sequence number) has no
 duplicate and stays; a null arrival is later than any other, a null delivery id larger than any other;
-copies with a null delivery id can be superseded but can't be named; an empty log gives no rows.
+copies with a null delivery id can't be named as dropped, but `deduplicated` leaves them out; an empty log gives no rows.
 """
 
 from __future__ import annotations
 
 import contextlib
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillfold.folder import SharedFolder
 from rillfold.functions import timeuuid as tu
 from rillfold.session import shared_dir
 from rillfold.sources.log import IDENTITY, has_identity, identified, micros_of
 
-#: Up to so many late identifiers (about 60 bytes each) are broadcast to look them up in the ledger; more are joined by shuffle.
+#: Up to so many identifiers to look up (about 60 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
-FAR_MS = 253_402_300_799_000
-RUNS = "run string, dropped bigint, mark bigint"
+#: A copy that arrives later than so long after its event is looked up; arrivals of as long make a micro-batch.
+DELAY_S = 3 * 86400
+RUNS = "run int, batch bigint, arrived bigint, mark bigint"
+COPY = "ticks bigint, low binary, batch_seq_no int, stream_id binary, expires_at timestamp, late boolean, arrived bigint, delivery_id bigint"
 LEDGER = "ticks bigint, low binary, batch_seq_no int, stream_id binary, late boolean, arrived bigint, delivery_id bigint, batch bigint"
+DROPPED = "delivery_id bigint, run int"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
 class DedupRun:
-    """What is known after a run: the ledger's folder, whether it holds one batch, and rows that the watermark dropped in this or any earlier run.
-
-    None are dropped if batches come in order of arrival. stragglers_before_ms: all of them expire by then.
-    """
+    """What is known after a run: its folder and number (-1 if there never was anything to do), and the micro-batches, lost rows and lookups of this run."""
 
-    ledger: str
+    folder: str
+    run: int
     batches: int
-    one_batch: bool
-    dropped: int
-    stragglers_before_ms: int
+    lost: int
+    looked_up: int
 
 
 @contextlib.contextmanager
@@ -69,100 +78,138 @@ def _pattern(path: str) -> str:
 
 
 def keyed_copies(log: DataFrame, delay_s: int) -> DataFrame:
-    """Identity, `expires_at` (the event-time column; not the time of the event for a late copy) and the rank of each copy."""
+    """`COPY` of each copy with an identity. `expires_at` is the event-time column: not the time of the event for a late copy."""
     at = micros_of(F.col("received_at"))
     event = tu.micros(F.col("ticks"))
     horizon = F.col("arrived") - F.lit(delay_s * 1_000_000)
-    late = (F.col("arrived") != LAST) & (horizon > event)
     copies = identified(log, F.coalesce(at, F.lit(LAST)).alias("arrived"), F.coalesce(F.col("delivery_id"), F.lit(LAST)).alias("delivery_id"))
-    return copies.select(*IDENTITY, F.timestamp_micros(F.when(late, horizon).otherwise(event)).alias("expires_at"), F.struct("arrived", "delivery_id").alias("copy"))
+    late = (F.col("arrived") != LAST) & (horizon > event)
+    return copies.select(*IDENTITY, F.timestamp_micros(F.when(late, horizon).otherwise(event)).alias("expires_at"), late.alias("late"), "arrived", "delivery_id")
 
 
-def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, delay_s: int = 3 * 86400, max_bytes: int | None = 512 << 30, max_files: int | None = None) -> DedupRun:
-    """Take everything that the log at `path` holds and no earlier run with this `folder` has taken."""
-    folder = folder or shared_dir(spark, "dedup")
-    ledger = f"{folder}/ledger"
+def _lay_out(spark: SparkSession, path: str, at: SharedFolder, delay_s: int, period_s: int, max_files: int | None) -> None:
+    """Step 1: new files of the log, decoded, in `arrived/<n>/period=<p>`."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    elif max_bytes:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
-    seen = (
-        keyed_copies(reader.parquet(_pattern(path)), delay_s)
-        .withWatermark("expires_at", f"{delay_s + 1} seconds")
-        .groupBy(*IDENTITY, "expires_at")
-        .agg(F.min("copy").alias("copy"))
-    )
+    copies = keyed_copies((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(_pattern(path)), delay_s)
+    period = F.when(F.col("arrived") != LAST, tu.int_div(F.col("arrived"), period_s * 1_000_000)).otherwise(F.lit(LAST))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.select(*IDENTITY, (F.unix_micros("expires_at") != tu.micros(F.col("ticks"))).alias("late"), F.col("copy.arrived").alias("arrived"), F.col("copy.delivery_id").alias("delivery_id")).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
-
-    # A run leaves a mark before and after it: one that broke off may have dropped rows that nobody counted.
-    this, marks = uuid.uuid4().hex, f"{folder}/runs"
-    spark.createDataFrame([(this, None, None)], RUNS).coalesce(1).write.mode("append").parquet(marks)
-    with _conf(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000"}):
-        query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(save).trigger(availableNow=True).start()
-        query.awaitTermination()
-    progress = query.recentProgress
-    lost = sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
-    seen_marks = [p["eventTime"]["watermark"] for p in progress if "watermark" in (p["eventTime"] or {})]
-    mark = spark.sql(f"select unix_millis(timestamp'{max(seen_marks)}')").first()[0] if seen_marks else 0
-    spark.createDataFrame([(this, lost, mark)], RUNS).coalesce(1).write.mode("append").parquet(marks)
-    runs = spark.read.schema(RUNS).parquet(marks).groupBy("run").agg(F.max("dropped").alias("dropped"), F.max("mark").alias("mark"))
-    total = runs.agg(F.sum(F.coalesce("dropped", F.lit(1))).alias("dropped"), F.max(F.when(F.coalesce("dropped", F.lit(1)) > 0, F.coalesce("mark", F.lit(FAR_MS)))).alias("before")).first()
-    number = spark.read.schema(LEDGER).parquet(ledger).select("batch").distinct().limit(2).count() if _exists(spark, ledger) else 0
-    return DedupRun(ledger, number, number <= 1, total["dropped"], total["before"] or 0)
-
-
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        batch.withColumn("period", period).write.mode("overwrite").partitionBy("period").parquet(f"{at.folder}/arrived/{number:09d}")
 
+    copies.writeStream.option("checkpointLocation", f"{at.folder}/laid-out").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
 
-def read_ledger(spark: SparkSession, run: DedupRun) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(run.ledger) if run.batches else spark.createDataFrame([], LEDGER)
 
+def _feed(spark: SparkSession, at: SharedFolder, delay_s: int) -> tuple[int, int, int]:
+    """Step 2: one micro-batch for each period. Rows that the watermark dropped, the last watermark in ms, and the number of micro-batches."""
+    rows = spark.readStream.schema(COPY).parquet(f"{at.folder}/feed/*")
+    seen = rows.withWatermark("expires_at", f"{delay_s + 1} seconds").groupBy(*IDENTITY, "expires_at", "late").agg(F.min(F.struct("arrived", "delivery_id")).alias("copy"))
 
-def superseded(ledger: DataFrame, one_batch: bool, straggling: DataFrame | None = None) -> DataFrame:
-    """`delivery_id` of ledger entries that another entry of the same identifier beats.
+    def save(batch: DataFrame, number: int) -> None:
+        batch.select(*IDENTITY, "late", "copy.arrived", "copy.delivery_id").write.mode("overwrite").parquet(f"{at.folder}/ledger/batch={number}")
 
-    In the ledger of one batch only identifiers with a late copy can have several entries, so just those
-    are looked up; else all entries are compared. straggling: copies that the watermark dropped.
+    query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{at.folder}/checkpoint").foreachBatch(save).start()
+    try:
+        query.processAllAvailable()  # what a run that broke off had left
+        for n in at.names("arrived"):
+            for p in sorted(at.names(f"arrived/{n}"), key=lambda x: int(x.removeprefix("period="))):
+                at.move(f"arrived/{n}/{p}", f"feed/{n}-{p.removeprefix('period=')}")
+                query.processAllAvailable()
+            at.delete(f"arrived/{n}")
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    marks = [p["eventTime"]["watermark"] for p in done if "watermark" in (p["eventTime"] or {})]
+    mark = spark.sql(f"select unix_millis(timestamp'{max(marks)}')").first()[0] if marks else 0
+    return sum(s["numRowsDroppedByWatermark"] for p in done for s in p["stateOperators"]), mark, len(done)
+
+
+def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, delay_s: int = DELAY_S, period_s: int | None = None, max_files: int | None = None) -> DedupRun:
+    """Take everything that the log at `path` holds and no earlier run with this `folder` has taken; its dropped copies are in `dropped/run=<n>`."""
+    at = SharedFolder(spark, folder or shared_dir(spark, "dedup"))
+    for name in ("feed", "arrived"):
+        at.make(name)
+    last = at.table("runs", RUNS).orderBy(F.col("run").desc()).first()
+    broken = bool(at.names("feed"))
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    with _conf(spark, **settings):
+        _lay_out(spark, path, at, delay_s, period_s or delay_s, max_files)
+        if not (broken or at.names("arrived")):
+            return DedupRun(at.folder, last["run"] if last else -1, 0, 0, 0)
+        lost, mark, batches = _feed(spark, at, delay_s)
+    number = last["run"] + 1 if last else 0
+    fed = [f"{at.folder}/feed/{x}" for x in at.names("feed")]
+    copies = spark.read.schema(COPY).parquet(*fed) if fed else spark.createDataFrame([], COPY)
+    ledger = at.table("ledger", LEDGER)
+    mine = ledger.where(F.col("batch") > F.lit(last["batch"] if last else -1))
+    straggling = None
+    if lost or broken:  # compared exactly: whatever the watermark may have dropped
+        maybe = F.lit(True) if broken else F.col("expires_at") <= F.timestamp_millis(F.lit(mark))
+        straggling = copies.where(maybe).select(*IDENTITY, F.lit(True).alias("late"), "arrived", "delivery_id")
+    entries = mine.drop("batch") if straggling is None else mine.drop("batch").unionByName(straggling)
+    unnamed = copies.where(F.col("delivery_id") != LAST).select("delivery_id").join(entries.select("delivery_id"), "delivery_id", "left_anti")
+    beaten, looked_up = _beaten(entries, ledger.where(F.col("batch") <= F.lit(last["batch"])) if last else None, last["arrived"] if last else None)
+    unnamed.unionByName(beaten).write.mode("overwrite").parquet(f"{at.folder}/dropped/run={number}")
+    ends = copies.agg(F.max("arrived")).first()[0]
+    top = ledger.agg(F.max("batch")).first()[0]
+    done = (number, top if top is not None else -1, max(x for x in (ends, last["arrived"] if last else None, -LAST) if x is not None), mark)
+    spark.createDataFrame([done], RUNS).coalesce(1).write.mode("append").parquet(f"{at.folder}/runs")
+    for name in at.names("feed"):
+        at.delete(f"feed/{name}")
+    return DedupRun(at.folder, number, batches, lost, looked_up)
+
+
+def _beaten(entries: DataFrame, earlier: DataFrame | None, since: int | None) -> tuple[DataFrame, int]:
+    """`delivery_id` of entries, of this run or earlier ones, that another entry of the same identifier beats, and how many identifiers were looked up.
+
+    Only those are looked up that are late, or whose best copy arrived before the end of an earlier run (`since`): all others have one
+    entry, or several in order of arrival that say the same.
     """
-    entries = ledger.select(*IDENTITY, "late", "arrived", "delivery_id")
-    if straggling is not None:
-        entries = entries.unionByName(straggling.select(*IDENTITY, F.lit(True).alias("late"), F.col("copy.arrived").alias("arrived"), F.col("copy.delivery_id").alias("delivery_id")))
-    contested = entries
-    if one_batch and straggling is None:
-        some = entries.where("late").select(*IDENTITY).distinct()
-        few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        contested = entries.join(F.broadcast(some) if few else some, IDENTITY, "left_semi")
-    copy = F.struct("arrived", "delivery_id").alias("copy")
-    best = contested.select(*IDENTITY, copy).groupBy(*IDENTITY).agg(F.min("copy").alias("best"), F.max("copy").alias("worst"))
-    beaten = best.where(F.col("best.delivery_id") != F.col("worst.delivery_id")).select(*IDENTITY, "best")
-    return contested.join(beaten, IDENTITY).where(F.col("delivery_id") != F.col("best.delivery_id")).select("delivery_id").distinct()
+    doubtful = F.col("late") if since is None else F.col("late") | (F.col("arrived") <= since)
+    some = entries.where(doubtful).select(*IDENTITY).distinct()
+    size = some.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.min("ticks"), F.max("ticks")).first()
+    if size[0] == 0:
+        return entries.select("delivery_id").limit(0), 0
+    few = size[0] <= BROADCAST_ROWS
+    known = entries.drop("late")
+    if earlier is not None:
+        known = known.unionByName((earlier.where(F.col("ticks").between(size[1], size[2])) if few else earlier).drop("late", "batch"))
+    contested = known.join(F.broadcast(some) if few else some, IDENTITY, "left_semi").select(*IDENTITY, F.struct("arrived", "delivery_id").alias("copy")).distinct()
+    best = contested.groupBy(*IDENTITY).agg(F.min("copy").alias("best"), F.max("copy").alias("worst")).where(F.col("best.delivery_id") != F.col("worst.delivery_id"))
+    beaten = contested.join(best, IDENTITY).where((F.col("copy.delivery_id") != F.col("best.delivery_id")) & (F.col("copy.delivery_id") != LAST))
+    return beaten.select("copy.delivery_id").distinct(), size[0]
 
 
-def dropped_copies(spark: SparkSession, path: str, **options) -> DataFrame:
-    """`(delivery_id bigint)` of the copies to be dropped from the log at `path`.
+def read_ledger(spark: SparkSession, run: DedupRun) -> DataFrame:
+    return SharedFolder(spark, run.folder).table("ledger", LEDGER)
 
-    A copy is dropped if the ledger doesn't name it, or names it but a better one too. Just
-    delivery ids are shuffled for the first, just contested identifiers for the second.
-    """
-    delay = options.get("delay_s", 3 * 86400)
-    run = run_dedup(spark, path, **options)
-    log, ledger = spark.read.parquet(path), read_ledger(spark, run)
-    straggling = None
-    if run.dropped:  # batches came out of order: whatever may have been dropped is compared with the ledger exactly
-        straggling = keyed_copies(log, delay).where(F.col("expires_at") <= F.timestamp_millis(F.lit(run.stragglers_before_ms)))
-    named = ledger.select("delivery_id")
-    if straggling is not None:
-        named = named.unionByName(straggling.select(F.col("copy.delivery_id").alias("delivery_id")))
-    unnamed = log.where(has_identity() & F.col("delivery_id").isNotNull()).select("delivery_id").join(named, "delivery_id", "left_anti")
-    return unnamed.unionByName(superseded(ledger, run.one_batch, straggling)).where(F.col("delivery_id") != LAST)
+
+def dropped_of(spark: SparkSession, run: DedupRun, only: int | None = None) -> DataFrame:
+    """`(delivery_id bigint)` of the copies that the runs of a folder dropped, or that run `only` did."""
+    rows = SharedFolder(spark, run.folder).table("dropped", DROPPED)
+    # A later run can name again what an earlier one has dropped.
+    if only is not None:
+        return rows.where(F.col("run") == only).select("delivery_id").join(rows.where(F.col("run") < only).select("delivery_id"), "delivery_id", "left_anti")
+    return rows.select("delivery_id").distinct() if run.run > 0 else rows.select("delivery_id")
+
+
+def dropped_copies(spark: SparkSession, path: str, **options) -> DataFrame:
+    """`(delivery_id bigint)` of the copies to be dropped from the log at `path`."""
+    return dropped_of(spark, run_dedup(spark, path, **options))
 
 
 def deduplicated(spark: SparkSession, path: str, **options) -> DataFrame:
     """The log with exactly one copy of each log row, and all rows without identity."""
+    run = run_dedup(spark, path, **options)
     log = spark.read.parquet(path)
-    return log.join(dropped_copies(spark, path, **options), "delivery_id", "left_anti").select(*[F.col(f"`{c}`") for c in log.columns])
+    columns = [F.col(f"`{c}`") for c in log.columns]
+    named = log.join(dropped_of(spark, run), "delivery_id", "left_anti").select(*columns)
+    nameless = F.col("delivery_id").isNull() & F.coalesce(has_identity(), F.lit(False))
+    if log.where(nameless).limit(1).count() == 0:
+        return named
+    # Copies without delivery id can only be told by identity: one stays where no copy has an id.
+    best = read_ledger(spark, run).groupBy(*IDENTITY).agg(F.min("delivery_id").alias("__id"))
+    whole = identified(log.where(nameless), F.coalesce(micros_of(F.col("received_at")), F.lit(LAST)).alias("__arrived"), F.struct(*columns).alias("__row"))
+    one = whole.groupBy(*IDENTITY).agg(F.min_by("__row", "__arrived").alias("__row")).join(best, IDENTITY).where(F.col("__id") == LAST)
+    return named.where(~nameless).unionByName(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in log.columns]))
