@@ -10,7 +10,7 @@ from rillfold.functions import timeuuid as tu
 from rillfold.operators import drift, hotkeys
 from rillfold.operators import replay as replaying
 from rillfold.plans import ledger
-from rillfold.session import table
+from rillfold.session import shared_dir, table
 from rillfold.sources.log import identified, micros_of
 from rillfold.streaming import dedup
 
@@ -79,16 +79,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return replaying.replay(table(spark, d, LOG)).select("pk", "ck", F.coalesce(F.col("v").cast("string"), F.lit("null")).alias("v"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rest = ledger.untaken(table(spark, d, LOG), table(spark, d, "cdc_streams"), table(spark, d, "task_runs"), "ks.simple")
-    return rest.select(si.hex_id(F.col("stream_id")).alias("stream_id"), tu.from_parts(F.col("ticks"), F.col("low")).alias("cdc_time"), "batch_seq_no")
-
-
-#: The moment at which `p5_ledger` looks at the attempts, and how long a lease holds.
+#: The moment at which the ledger looks at the attempts, and how long a lease holds.
 LEDGER_NOW_MS = 1707350400000
 LEASE_MS = 6 * 3600 * 1000
 
 
+def _book(spark: SparkSession, d: str) -> ledger.WorkLedger:
+    """The ledger with the history of attempts."""
+    book = ledger.WorkLedger(spark, shared_dir(spark, "work"))
+    book.take_over(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
+    return book
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rest = ledger.untaken(table(spark, d, LOG), table(spark, d, "cdc_streams"), _book(spark, d), "ks.simple")
+    return rest.select(si.hex_id(F.col("stream_id")).alias("stream_id"), tu.from_parts(F.col("ticks"), F.col("low")).alias("cdc_time"), "batch_seq_no")
+
+
 def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.from_attempts(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
 

@@ -6,12 +6,13 @@ A state is the text map of `rillfold.operators.tasks.encode_state`, under the ta
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterable, Mapping
 from typing import Protocol
 
 from pyspark.sql import SparkSession
 
+from rillfold.folder import SharedFolder
+
 State = dict[str, str]
 KEYS = ("window_start", "window_end", "change_id_stream", "change_id_time")
 
@@ -53,56 +54,54 @@ class MemoryStore:
 
 
 class FolderStore:
-    """States as one small file per task in a shared folder, each replaced by a rename."""
+    """States of all tasks as one small file per generation in a shared folder, replaced by a rename.
+
+    A generation's tasks are saved and loaded together, so a step of many tasks is one read and one write, however many they are.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.folder = folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._rename = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), spark._jsc.hadoopConfiguration())
-        self._overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self._gateway = spark._sc._gateway
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.folder}/tasks"))
-
-    def _file(self, task: str):
-        return self._path(f"{self.folder}/tasks/{task.encode().hex()}")
-
-    def _read(self, path) -> str | None:
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
-
-    def _write(self, path, text: str) -> None:
-        new = self._path(f"{self.folder}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(new, False)
-        stream.writeUTF(text)
-        stream.close()
-        options = self._gateway.new_array(self._gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self._overwrite
-        self._rename.rename(new, path, options)
+        self._at = SharedFolder(spark, folder)
+        self.folder = self._at.folder
+        self._at.make("tasks")
+
+    @staticmethod
+    def _file(task: str) -> str:
+        """Tasks of one generation share a file; a key without generation has its own."""
+        part = task.split(":")
+        return f"tasks/g{part[1]}" if len(part) == 3 and part[1].isdigit() else f"tasks/t{task.encode().hex()}"
+
+    def _by_file(self, tasks: Iterable[str]) -> dict[str, list[str]]:
+        files: dict[str, list[str]] = {}
+        for t in tasks:
+            files.setdefault(self._file(t), []).append(t)
+        return files
+
+    def _read(self, name: str) -> dict[str, State]:
+        return json.loads(self._at.text(name) or "{}")
 
     def load(self, tasks: Iterable[str]) -> dict[str, State]:
-        read = {t: self._read(self._file(t)) for t in tasks}
-        return {t: json.loads(s) for t, s in read.items() if s is not None}
+        out: dict[str, State] = {}
+        for name, some in self._by_file(tasks).items():
+            states = self._read(name)
+            out |= {t: states[t] for t in some if t in states}
+        return out
 
     def save(self, states: Mapping[str, State]) -> None:
-        for t, s in states.items():
-            self._write(self._file(t), json.dumps({k: v for k, v in s.items() if k in KEYS}))
+        for name, some in self._by_file(states).items():
+            new = {t: {k: v for k, v in states[t].items() if k in KEYS} for t in some}
+            self._at.publish(name, json.dumps(self._read(name) | new), replace=True)
 
     def delete(self, tasks: Iterable[str]) -> None:
-        for t in tasks:
-            self._fs.delete(self._file(t), False)
+        for name, some in self._by_file(tasks).items():
+            gone = set(some)
+            self._at.publish(name, json.dumps({t: s for t, s in self._read(name).items() if t not in gone}), replace=True)
 
     def generation(self) -> int | None:
-        text = self._read(self._path(f"{self.folder}/generation"))
+        text = self._at.text("generation")
         return int(text) if text else None
 
     def save_generation(self, ms: int) -> None:
-        self._write(self._path(f"{self.folder}/generation"), str(ms))
+        self._at.publish("generation", str(ms), replace=True)
 
 
 class Backend:

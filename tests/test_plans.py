@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def run(n, vnode, k, read_s, status="succeeded", last=None, width=1):
 
 
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_untaken(spark, monkeypatch, broadcast_rows):
+def test_untaken(spark, monkeypatch, tmp_path, broadcast_rows):
     monkeypatch.setattr(ledger, "BROADCAST_ROWS", broadcast_rows)
     log = Log()
     names = {}
@@ -37,19 +39,23 @@ def test_untaken(spark, monkeypatch, broadcast_rows):
     log.again(0, received=at(9000)).add(2, 1, 1, 1, s=5, arrived=0, time="?")
     runs = [run(1, 1, 0, 100), run(1, 1, 0, 100), run(2, 1, 1, 100), run(3, 1, 2, 300, "failed", (stream(1), time_uuid(BASE_MS + 131_000))), run(4, 1, 3, 300, "failed"), run(5, 1, 4, 400, "running"), run(6, 2, 0, 9000, width=50), (7, "garbage", 0, 1, at(0), None, "succeeded", None, None), (8, None, None, None, None, None, None, None, None)]
     df = spark.createDataFrame(runs, RUNS)
-    rest = ledger.untaken(log.df(spark).withColumn("ms", F.lit("clash")).withColumn("cell", F.lit(1)), streams(spark, 1, 2), df, "ks.a")
+    rest = ledger.untaken(log.df(spark).withColumn("ms", F.lit("clash")).withColumn("cell", F.lit(1)), streams(spark, 1, 2), book(spark, tmp_path, df), "ks.a")
     left = {(r.ticks, bytes(r.stream_id)) for r in rest.collect()}
     by_row = {(tuple_ticks(log.rows[i - 1][1]), log.rows[i - 1][0]): key for key, i in names.items()}
     assert {by_row.get(x, "no stream") for x in left} == {"late", "read_late", "failed_after", "nothing_handed", "running", "no_run", "after_generation", "no stream"}
     every = ledger.arrivals(log.df(spark)).count()
-    assert ledger.untaken(log.df(spark), streams(spark, 1), df.limit(0), "ks.a").count() == every
-    assert ledger.untaken(log.df(spark), streams(spark, 1).limit(0), df, "ks.a").count() == every
-    assert ledger.untaken(log.df(spark).limit(0), streams(spark, 1), df, "ks.a").count() == 0
+    assert ledger.untaken(log.df(spark), streams(spark, 1), book(spark, tmp_path, df.limit(0)), "ks.a").count() == every
+    assert ledger.untaken(log.df(spark), streams(spark, 1).limit(0), book(spark, tmp_path, df), "ks.a").count() == every
+    assert ledger.untaken(log.df(spark).limit(0), streams(spark, 1), book(spark, tmp_path, df), "ks.a").count() == 0
 
 
-def tuple_ticks(text):
-    import uuid
+def book(spark, tmp_path, runs):
+    b = WorkLedger(spark, str(tmp_path / f"book-{uuid.uuid4().hex}"))
+    b.take_over(runs, BASE_MS + 10_000_000, 1000)
+    return b
 
+
+def tuple_ticks(text):
     return uuid.UUID(text).time
 
 
@@ -100,6 +106,68 @@ def test_work_ledger(spark, tmp_path):
     assert {r.owner for r in book.read().where("state = 'leased'").collect()} == {"c"}
 
 
+def test_what_leases_hand_over_is_taken(spark, tmp_path):
+    """The same history, once lived through leases, once taken over from a table of attempts."""
+    log = Log()
+    for s in range(0, 240, 5):
+        log.add(2, 1, 1, 1, s=s, arrived=s + 1)
+    log.add(2, 1, 1, 1, s=7, arrived=1000)
+    key = lambda k: (f"ks.a:{BASE_MS}:1", BASE_MS + k * W, BASE_MS + (k + 1) * W)
+    lived = WorkLedger(spark, str(tmp_path / "lived"))
+    lived.add(spark.createDataFrame([key(k) for k in range(4)], ledger.ITEM))
+    us = lambda s: (BASE_MS + s * 1000) * 1000
+    a, b = lived.claim("a", 2, 0, 100)
+    lived.finish(a, 50, us(300))
+    last = (stream(1), time_uuid(BASE_MS + 80_000))
+    lived.fail(b, 60, us(300), last[0], tuple_ticks(last[1]))
+    c, d = lived.claim("c", 2, 70, 100)
+    assert (c.window_start_ms, c.token, d.token) == (b.window_start_ms, 2, 1)
+    with pytest.raises(StaleLease):
+        lived.fail(b, 80, us(900), last[0], tuple_ticks(last[1]))  # its fence is old: nothing is handed over
+    with pytest.raises(StaleLease):
+        lived.finish(d, 170)  # expired
+    lived.expire(170)
+    assert {(r.window_start_ms, r.state) for r in lived.read().collect()} == {(key(0)[1], "done"), (key(1)[1], "pending"), (key(2)[1], "pending"), (key(3)[1], "pending")}
+    runs = [run(1, 1, 0, 300), run(2, 1, 1, 300, "failed", last), run(3, 1, 1, 400, "running"), run(4, 1, 2, 300, "running")]
+    told = book(spark, tmp_path, spark.createDataFrame(runs, RUNS))
+    rest = [sorted(r.ticks for r in ledger.untaken(log.df(spark), streams(spark, 1), x, "ks.a").collect()) for x in (lived, told)]
+    assert rest[0] == rest[1] and len(rest[0]) == 1 + 7 + 24  # the late one, the window's rest, two windows
+    lived.reopen(spark.createDataFrame([key(0)], ledger.ITEM))
+    (again,) = lived.claim("e", 1, 200, 100)
+    assert (again.window_start_ms, again.token) == (key(0)[1], 2)
+    lived.finish(again, 250, us(2000))
+    assert ledger.untaken(log.df(spark), streams(spark, 1), lived, "ks.a").count() == 31
+
+
+@pytest.mark.parametrize("step", ["data", "version"])
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
+    b = WorkLedger(spark, str(tmp_path / "ledger"))
+    b.add(spark.createDataFrame([("t:1:1", 0, 1)], ledger.ITEM))
+
+    def crash(*a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(*((WorkLedger, "_write") if step == "data" else (b._at._context.__class__, "__getattr__")), crash)
+        with pytest.raises(OSError):
+            b.claim("a", 1, 0, 10)
+    after = WorkLedger(spark, b.folder)
+    assert [(r.state, r.token) for r in after.read().collect()] == [("pending", 0)]
+    assert after.claim("b", 1, 0, 10)[0].token == 1
+
+
+def test_many_changes_leave_few_parts(spark, tmp_path):
+    b = WorkLedger(spark, str(tmp_path / "ledger"))
+    b.add(spark.createDataFrame([("t:1:1", k, k + 1) for k in range(6)], ledger.ITEM))
+    for k in range(6):
+        (lease,) = b.claim("a", 1, k, 1000)
+        b.finish(lease, k)
+    assert {(r.window_start_ms, r.state, r.token) for r in b.read().collect()} == {(k, "done", 1) for k in range(6)} and b.handed().count() == 6
+    n, parts = b._version()
+    assert n == 12 and len(parts["items"]) < 6 and len(b._at.names("versions")) <= ledger.READABLE
+    assert len(b._at.names("data")) < 16
+
+
 def test_generations(spark):
     starts = spark.createDataFrame([(5,), (30,), (10,), (10,), (None,)], "generation_start_ms bigint")
     b = g.bounds(starts)
