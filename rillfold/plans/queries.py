@@ -12,6 +12,7 @@ from rillfold.functions import timeuuid as tu
 from rillfold.operators import apply, collections, drift, generations, ordered, replay, schema, tasks
 from rillfold.plans import ledger
 from rillfold.session import shared_dir, table
+from rillfold.sources import layout
 from rillfold.sources import log as logs
 from rillfold.sources.log import IDENTITY
 from rillfold.streaming import feed
@@ -52,12 +53,13 @@ def _query(sql: str | None = None):
     return add
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return logs.distinct_rows(table(spark, d, LOG))
+def _tasked(spark: SparkSession, d: str) -> DataFrame:
+    """The log as it is kept for reading, with the task of each row."""
+    return layout.ingested(spark, f"{d}/{LOG}.parquet", f"{d}/cdc_streams.parquet")
 
 
-def _tasked(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.with_task(_rows(spark, d).withColumn("ms", tu.millis(F.col("ticks"))), table(spark, d, "cdc_streams"))
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return _tasked(spark, d).drop("ms", "hi", "lo", "generation_ms", "vnode")
 
 
 def _hex(name: str = "stream_id"):
@@ -143,8 +145,7 @@ def resume_after_checkpoint(spark, d):
     width = max(1, int(runs.agg(F.avg(F.col("window_end_ms") - F.col("window_start_ms"))).first()[0] or 1))
     cell = lambda c: tu.int_div(c, width)
     cells = runs.withColumn("cell", F.explode(F.sequence(cell(F.col("window_start_ms")), cell(F.col("window_end_ms") - 1))))
-    hi, lo = si.order_keys(si.hex_id(F.col("stream_id")))
-    rows = _tasked(spark, d).withColumns({"cell": cell(F.col("ms")), "hi": hi, "lo": lo})
+    rows = _tasked(spark, d).select("generation_ms", "vnode", "ms", "hi", "lo", "ticks", cell(F.col("ms")).alias("cell"))
     met = rows.join(cells, ["generation_ms", "vnode", "cell"]).where("ms >= window_start_ms and ms < window_end_ms")
     rest = met.where("hi > last_hi or (hi = last_hi and (lo > last_lo or (lo = last_lo and ticks > last_ticks)))")
     return rest.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))

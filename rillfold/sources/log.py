@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillfold.functions import timeuuid as tu
 
@@ -16,24 +17,41 @@ def micros_of(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def identified(log: DataFrame, *extra: Column) -> DataFrame:
-    """`IDENTITY` of each delivered copy, and `extra` columns.
+def _copies(log: DataFrame, *extra: Column) -> DataFrame:
+    """`__digits, batch_seq_no, stream_id` of each delivered copy that has an identity, and `extra` columns.
 
-    The time is compared as a value, so every spelling of one UUID is the same. Rows whose
-    stream, time or sequence number is null or unreadable have no identity and are left out.
+    The digits of the time are its value, so every spelling of one UUID is the same; grouping by them
+    spares the arithmetic on ticks for the copies that go.
     """
     d = F.col("__digits")
     known = F.col("`cdc$time`").isNotNull() & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull()
     # Exploding an array of one keeps the optimizer from copying the digits' expression into every use of it.
-    # Ticks come first: where an aggregation has to sort, they tell nearly all rows apart.
     return (
         log.where(known)
         .select("*", F.explode(F.array(tu.bare(F.col("`cdc$time`")))).alias("__digits"))
         .where(tu.is_digits(d))
-        .select(tu.ticks_of_digits(d).alias("ticks"), tu.low_word(d).alias("low"), F.col("`cdc$batch_seq_no`").alias("batch_seq_no"), F.col("`cdc$stream_id`").alias("stream_id"), *extra)
+        .select(d, F.col("`cdc$batch_seq_no`").alias("batch_seq_no"), F.col("`cdc$stream_id`").alias("stream_id"), *extra)
     )
 
 
+_COPY = ["__digits", "batch_seq_no", "stream_id"]
+
+
+def _with_time(rows: DataFrame, *columns: str) -> DataFrame:
+    """`IDENTITY` and columns of rows that still have digits."""
+    d = F.col("__digits")
+    return rows.select(tu.ticks_of_digits(d).alias("ticks"), tu.low_word(d).alias("low"), "batch_seq_no", "stream_id", *columns)
+
+
+def identified(log: DataFrame, *extra: Column) -> DataFrame:
+    """`IDENTITY` of each delivered copy, and `extra` columns.
+
+    Rows whose stream, time or sequence number is null or unreadable have no identity and are left out.
+    """
+    rows = _copies(log, *extra)
+    return _with_time(rows, *[c for c in rows.columns if c not in _COPY])
+
+
 def has_identity() -> Column:
     """Whether a delivered copy has an identity, without computing it; null or false if not."""
     return tu.is_digits(tu.bare(F.col("`cdc$time`"))) & F.col("`cdc$stream_id`").isNotNull() & F.col("`cdc$batch_seq_no`").isNotNull()
@@ -45,13 +63,15 @@ def arrivals(log: DataFrame) -> DataFrame:
     Copies are combined before the shuffle, so a log row delivered very often costs its reducer
     one row per map task. A log row none of whose copies has an arrival time has a null one.
     """
-    return identified(log, micros_of(F.col("received_at")).alias("at")).groupBy(*IDENTITY).agg(F.min("at").alias("arrived_us"))
+    first = _copies(log, micros_of(F.col("received_at")).alias("at")).groupBy(*_COPY).agg(F.min("at").alias("arrived_us"))
+    return _with_time(first, "arrived_us")
 
 
 def distinct_rows(log: DataFrame) -> DataFrame:
     """The log with one row for each log row, under `IDENTITY` and short names.
 
-    Copies agree in what they say, so the greatest of each column is theirs; a null `end_of_batch` is false.
+    Copies agree in what they say, so the greatest of each column is theirs, and any where values have no order (maps);
+    a null `end_of_batch` is false.
     Copies are combined before the shuffle. Rows without identity are left out. A base column whose name is
     one of those is called `c_` and its name.
     """
@@ -60,9 +80,20 @@ def distinct_rows(log: DataFrame) -> DataFrame:
     taken = {*IDENTITY, *known}
     rest = {(n if (n := c.replace("cdc$", "")) not in taken else f"c_{n}"): c for c in log.columns if c not in delivery and c not in known.values()}
     columns = {**known, **rest}
-    rows = identified(log, *[F.col(f"`{c}`").alias(n) for n, c in columns.items() if c in log.columns])
+    rows = _copies(log, *[F.col(f"`{c}`").alias(n) for n, c in columns.items() if c in log.columns])
     value = lambda n: F.coalesce(F.col(n), F.lit(False)) if n == "end_of_batch" or n.startswith("deleted_") and dict(rows.dtypes)[n] == "boolean" else F.col(n)
-    return rows.groupBy(*IDENTITY).agg(*[F.max(value(n)).alias(n) for n in rows.columns if n not in IDENTITY])
+    rest = [n for n in rows.columns if n not in _COPY]
+    one = lambda n: F.max(value(n)) if _ordered(rows.schema[n].dataType) else F.any_value(n, F.lit(True))
+    return _with_time(rows.groupBy(*_COPY).agg(*[one(n).alias(n) for n in rest]), *rest)
+
+
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type have an order; those with a map in them have none."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return not isinstance(kind, T.MapType)
 
 
 def window_of(rows: DataFrame, start_ms: int, end_ms: int, strict: bool = False) -> DataFrame:
