@@ -7,16 +7,16 @@ partition or of a range of rows travel with the rows: sorted by where they begin
 heap while the sweep over the clustering keys is inside them, and the newest one that covers a row masks
 what was written before it.
 
-A partition key that owns much of the log is split. Its rows are dealt to chunks by clustering key (the
-changes of a single very hot row by time), its few wide deletions go to all of its chunks, and what the
-chunks say of one row is merged: a row's state is its newest write, its newest insert and its newest
-deletion, each with its sequence, so parts merge by taking the newest of each.
+A partition key with more rows than a unit of work should hold (`UNIT_ROWS`) is split into ranges of clustering
+keys, up to 4096. A deletion of many rows goes to the ranges where it begins and ends; of those that cover a range
+whole just the newest counts, so they are combined before the shuffle. A single row with so many changes is first reduced
+to its newest write, insert and deletion, which is what its replay would keep.
 
 Defined cases: a change without partition key, a row change without clustering key, an unknown operation
 or a row without identity changes nothing; pre- and post-images change nothing; a range bound without its
 partner changes nothing; a left bound above its right bound covers nothing; of changes with equal sequence
-a deletion comes last, and of writes the one with the greater low word of its time wins; an empty log gives
-no rows; columns beyond those named are ignored.
+a deletion comes last, of writes one with a value wins over null, and the greater value over the lesser (as in `apply`);
+an empty log gives no rows; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -24,22 +24,25 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillfold.operators.hotkeys import heavy_candidates
+from rillfold.session import kept
 from rillfold.sources.log import identified
 
 LEAST, MOST = -(1 << 31), (1 << 31) - 1
-#: A partition key with at least HOT of the log's rows is split into chunks that hold about TARGET of them.
-HOT, TARGET = 0.02, 0.005
+#: Rows that one unit of work should hold at most, however large the log; in a smaller log a quarter of a task's share, but not less than LEAST_ROWS.
+UNIT_ROWS, LEAST_ROWS = 2_000_000, 1000
+#: Range ends of hot keys that are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_BOUNDS = 4_000_000
 
 # Bits of `what`.
 WRITE, VALUE, INSERT, DELETE, COVER, IMAGE = 1, 2, 4, 8, 16, 32
 
-SUMMARY = "pk int, ck int, w_ticks bigint, w_seq int, w_low binary, v int, i_ticks bigint, i_seq int, d_ticks bigint, d_seq int"
+SUMMARY = "pk int, ck int, w_ticks bigint, w_seq int, v int, i_ticks bigint, i_seq int, d_ticks bigint, d_seq int"
 
 
 def row_changes(log: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def covers(log: DataFrame) -> DataFrame:
 
 def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The state machine, over rows sorted by partition key, chunk, position, deletions of many rows first, and sequence."""
-    schema = pa.schema([("pk", pa.int32()), ("ck", pa.int32()), ("w_ticks", pa.int64()), ("w_seq", pa.int32()), ("w_low", pa.binary()), ("v", pa.int32()), ("i_ticks", pa.int64()), ("i_seq", pa.int32()), ("d_ticks", pa.int64()), ("d_seq", pa.int32())])
+    schema = pa.schema([("pk", pa.int32()), ("ck", pa.int32()), ("w_ticks", pa.int64()), ("w_seq", pa.int32()), ("v", pa.int32()), ("i_ticks", pa.int64()), ("i_seq", pa.int32()), ("d_ticks", pa.int64()), ("d_seq", pa.int32())])
     out: list[tuple] = []
     group = key = None
     active: list[tuple] = []
@@ -90,9 +93,9 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             delete = (-active[0][0], -active[0][1])
         w, i = write, insert
         if delete is not None:
-            w = w if w is not None and w[:2] > delete else None
+            w = w if w is not None and w > delete else None
             i = i if i is not None and i > delete else None
-        out.append((group[0], key, *(w or (None, None, None)), value if w else None, *(i or (None, None)), *(delete or (None, None))))
+        out.append((group[0], key, *(w or (None, None)), value if w else None, *(i or (None, None)), *(delete or (None, None))))
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*out)) or [()] * len(schema)
@@ -127,7 +130,7 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if what & INSERT:
                 insert = (ticks, seq)
             if what & WRITE:
-                write, value = (ticks, seq, low), v if what & VALUE else None
+                write, value = (ticks, seq), v if what & VALUE else None
         if len(out) >= 20000:
             yield flush()
     if key is not None:
@@ -135,45 +138,81 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """`(pk int, ck int, v int)`: the rows that exist after all changes, `v` null for a row without value."""
-    rows, tombs = row_changes(log), covers(log)
-    hot = [(int(k), n) for k, n in heavy_candidates(log.select("pk"), F.col("pk"), HOT) if k is not None]
-    total = log.count() if hot else 0
-    hot_rows: set[tuple[int, int]] = set()
-    if hot:
-        pair = F.concat_ws(",", F.col("pk").cast("string"), F.col("ck").cast("string"))
-        at = heavy_candidates(log.where(F.col("pk").isin([k for k, _ in hot]) & F.col("ck").isNotNull()).select("pk", "ck"), pair, HOT)
-        hot_rows = {tuple(map(int, k.split(","))) for k, n in at if k and n >= HOT * total}
-        chunks = F.coalesce(*[F.when(F.col("pk") == k, F.lit(min(1024, max(2, round(n / (TARGET * total)))))) for k, n in hot])
-        one = F.concat_ws(",", F.col("pk").cast("string"), F.col("at").cast("string")).isin([f"{a},{b}" for a, b in hot_rows]) if hot_rows else F.lit(False)
-        spread = F.when(one, F.xxhash64("ticks", "low", "seq")).otherwise(F.xxhash64("at"))
-        rows = rows.withColumn("chunk", F.coalesce(F.pmod(spread, chunks).cast("int"), F.lit(0)))
-        tombs = tombs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce(chunks - 1, F.lit(0)))))
-    else:
-        rows, tombs = rows.withColumn("chunk", F.lit(0)), tombs.withColumn("chunk", F.lit(0))
+def _size(log: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows of each partition key, the most rows of one, and how many rows one unit of work should hold."""
+    counts = log.where("pk is not null").groupBy(F.col("pk").cast("int").alias("pk")).agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    parallel = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts, most or 0, max(LEAST_ROWS, min(UNIT_ROWS, (total or 0) // (4 * parallel)))
+
+
+def _bucket(bounds: Column, at: Column, levels: int) -> Column:
+    """The number of bounds below `at`, found digit by digit to base 16."""
+
+    def below(base: Column, stride: int) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(1), F.lit(15)), lambda k: F.element_at(bounds, base + k * stride) < at))
+
+    return reduce(lambda base, level: base + below(base, 16**level) * 16**level, reversed(range(levels)), F.lit(0))
+
+
+def _chunked(log: DataFrame, rows: DataFrame, tombs: DataFrame, newest_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows and deletions of many rows with `chunk`, a range of clustering keys of a partition key that holds more rows than a unit of work should.
+
+    Chunks end at quantiles of the key's changes. A deletion goes to the chunks where it begins and ends; of those
+    that cover a chunk whole just the newest matters for the last state (newest_only), and they are combined before the shuffle.
+    """
+    counts, most, unit = _size(log)
+    if most <= unit:
+        return rows.withColumn("chunk", F.lit(0)), tombs.withColumn("chunk", F.lit(0))
+    levels = next((i for i in (1, 2) if 16**i >= most / unit), 3)
+    fractions = [k / 16**levels for k in range(1, 16**levels)]
+    hot = counts.where(F.col("n") > unit)
+    few = hot.count() * 16**levels <= BROADCAST_BOUNDS
+    own = rows.join(F.broadcast(hot) if few else hot, "pk", "left_semi")
+    bounds = kept(own.groupBy("pk").agg(F.percentile_approx("at", fractions, 4 * 16**levels).alias("bounds")), "replay")
+    with_bounds = lambda df: df.join(F.broadcast(bounds) if few else bounds, "pk", "left")
+    at = lambda c: F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(_bucket(F.col("bounds"), F.col(c), levels)).cast("int")
+    rows = with_bounds(rows).withColumn("chunk", at("at")).drop("bounds")
+    ends = with_bounds(tombs).withColumns({"first": at("at"), "last": at("until")}).drop("bounds")
+    if not newest_only:
+        return rows, ends.withColumn("chunk", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    partly = ends.withColumn("chunk", F.explode(F.array_distinct(F.array("first", "last"))))
+    across = ends.where(F.col("last") > F.col("first") + 1).withColumn("chunk", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)))
+    newest = across.groupBy("pk", "chunk").agg(F.max(F.struct("ticks", "seq", "low")).alias("d"))
+    whole = newest.select("pk", F.lit(LEAST).cast("bigint").alias("at"), F.lit(MOST).cast("bigint").alias("until"), F.lit(COVER).alias("what"), F.lit(None).cast("int").alias("v"), "d.ticks", "d.seq", "d.low", "chunk")
+    return rows, partly.drop("first", "last").unionByName(whole)
+
+
+def _without_hot_rows(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """Changes with those of any single row that has more than a unit of work reduced, before the shuffle, to its newest write, insert and deletion."""
+    _, most, unit = _size(log)
+    if most <= unit:
+        return rows
+    hot = kept(rows.groupBy("pk", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select("pk", "at"), "replay")
+    n = hot.count()
+    if n == 0:
+        return rows
+    hot = F.broadcast(hot) if n <= BROADCAST_BOUNDS else hot
+    what = F.col("what")
+    place = F.struct("ticks", "seq", what.bitwiseAND(F.lit(VALUE)).alias("has"), "v", "low", "what")
+    bit = lambda b: F.max(F.when(what.bitwiseAND(F.lit(b)) != 0, place))
+    one = rows.join(hot, ["pk", "at"], "left_semi").groupBy("pk", "at").agg(F.array_distinct(F.array_compact(F.array(bit(WRITE), bit(INSERT), bit(DELETE)))).alias("c"))
+    one = one.select("pk", "at", F.lit(None).cast("bigint").alias("until"), F.explode("c").alias("c")).select("pk", "at", "until", "c.what", "c.v", "c.ticks", "c.seq", "c.low")
+    return rows.join(hot, ["pk", "at"], "left_anti").unionByName(one)
+
+
+def _in_order(rows: DataFrame, tombs: DataFrame) -> DataFrame:
+    """Partitioned by partition key and chunk, sorted by row key and sequence."""
     columns = ["pk", "chunk", "at", "until", "what", "v", "ticks", "seq", "low"]
     changes = rows.select(*columns).unionByName(tombs.select(*columns))
-    ordered = changes.repartition("pk", "chunk").sortWithinPartitions("pk", "chunk", "at", F.col("what") != COVER, "ticks", "seq", F.col("what") == DELETE, "low")
-    parts = ordered.mapInArrow(_replayed, SUMMARY)
-    if hot_rows:
-        # Only very hot rows were cut by time; their parts are few, the rest passes without a shuffle.
-        pair = F.concat_ws(",", F.col("pk").cast("string"), F.col("ck").cast("string")).isin([f"{a},{b}" for a, b in hot_rows])
-        parts = parts.where(~pair).unionByName(_merged(parts.where(pair)))
-    return parts.where(F.col("v").isNotNull() | F.col("i_ticks").isNotNull()).select("pk", "ck", "v")
+    return changes.repartition("pk", "chunk").sortWithinPartitions("pk", "chunk", "at", F.col("what") != COVER, "ticks", "seq", F.col("what") == DELETE, F.col("what").bitwiseAND(F.lit(VALUE)), "v", "low")
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """Parts of the same row made one: the newest write, insert and deletion, the latter masking the former."""
-    newest = parts.groupBy("pk", "ck").agg(
-        F.max(F.when(F.col("w_ticks").isNotNull(), F.struct("w_ticks", "w_seq", "w_low", "v"))).alias("w"),
-        F.max(F.when(F.col("i_ticks").isNotNull(), F.struct("i_ticks", "i_seq"))).alias("i"),
-        F.max(F.when(F.col("d_ticks").isNotNull(), F.struct("d_ticks", "d_seq"))).alias("d"),
-    )
-    gone = F.struct(F.col("d.d_ticks"), F.col("d.d_seq"))
-    kept = lambda c, a, b: F.when(F.col("d").isNull() | (F.struct(F.col(a), F.col(b)) > gone), F.col(c))
-    newest = newest.withColumns({"w": kept("w", "w.w_ticks", "w.w_seq"), "i": kept("i", "i.i_ticks", "i.i_seq")})
-    return newest.select("pk", "ck", "w.w_ticks", "w.w_seq", "w.w_low", "w.v", "i.i_ticks", "i.i_seq", "d.d_ticks", "d.d_seq")
+def replay(log: DataFrame) -> DataFrame:
+    """`(pk int, ck int, v int)`: the rows that exist after all changes, `v` null for a row without value."""
+    rows, tombs = _chunked(log, _without_hot_rows(log, row_changes(log)), covers(log), newest_only=True)
+    parts = _in_order(rows, tombs).mapInArrow(_replayed, SUMMARY)
+    return parts.where(F.col("v").isNotNull() | F.col("i_ticks").isNotNull()).select("pk", "ck", "v")
 
 
 MISMATCH = "pk int, ck int, ticks bigint, seq int, low binary, expected int, actual int, found boolean"
@@ -202,12 +241,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if at != key:
                 key, write, insert, applied, value = at, None, None, None, None
-                active = [t for t in active if t[2] >= key]
             if (ticks, seq, low, what) == applied:
                 continue
             applied = (ticks, seq, low, what)
             if what & IMAGE:
                 k = bisect_left(active, (ticks, seq)) - 1
+                while k >= 0 and active[k][2] < key:  # ended before this row: met once, then out of the way
+                    del active[k]
+                    k -= 1
                 gone = active[k][:2] if k >= 0 else None
                 w = write if gone is None or (write is not None and write > gone) else None
                 i = insert if gone is None or (insert is not None and insert > gone) else None
@@ -230,16 +271,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def image_mismatches(log: DataFrame) -> DataFrame:
     """`MISMATCH`: pre-images whose value isn't that of the row before them. `found` tells whether the row existed.
 
-    The same partitioning and order as `replay`; partition keys that own much of the log are split by clustering key.
+    The same partitioning and order as `replay`; since an image sees the past, every deletion goes to each chunk that it touches.
+    The changes of one row are compared in one task: its images and what they see are one sequence.
     """
     op = F.col("`cdc$operation`").cast("int")
     images = identified(log.where((op == 0) & F.col("pk").isNotNull() & F.col("ck").isNotNull()), F.col("pk").cast("int").alias("pk"), F.col("ck").cast("bigint").alias("at"), F.col("v").cast("int").alias("v"))
     probes = images.select("pk", "at", F.lit(None).cast("bigint").alias("until"), F.lit(IMAGE).alias("what"), "v", "ticks", F.col("batch_seq_no").alias("seq"), "low")
-    hot = [(int(k), n) for k, n in heavy_candidates(log.select("pk"), F.col("pk"), HOT) if k is not None]
-    total = log.count() if hot else 1
-    chunks = F.coalesce(*[F.when(F.col("pk") == k, F.lit(min(1024, max(2, round(n / (TARGET * total)))))) for k, n in hot], F.lit(1))
-    rows = row_changes(log).unionByName(probes).withColumn("chunk", F.pmod(F.xxhash64("at"), chunks).cast("int"))
-    tombs = covers(log).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    columns = ["pk", "chunk", "at", "until", "what", "v", "ticks", "seq", "low"]
-    ordered = rows.select(*columns).unionByName(tombs.select(*columns)).repartition("pk", "chunk").sortWithinPartitions("pk", "chunk", "at", F.col("what") != COVER, "ticks", "seq", F.col("what") == DELETE, "low")
-    return ordered.mapInArrow(_compared, MISMATCH)
+    rows, tombs = _chunked(log, row_changes(log).unionByName(probes), covers(log), newest_only=False)
+    return _in_order(rows, tombs).mapInArrow(_compared, MISMATCH)

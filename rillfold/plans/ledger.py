@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rillfold.folder import SharedFolder
 from rillfold.functions import streamid as si
 from rillfold.functions import timeuuid as tu
-from rillfold.operators.hotkeys import heavy_candidates
+from rillfold.operators.hotkeys import sketch
 from rillfold.sources.log import IDENTITY, arrivals, micros_of
 
 #: A stream table of up to so many rows (about 64 bytes each) is broadcast; a larger one is joined by shuffle, hot streams with salt.
@@ -268,11 +268,9 @@ def with_task(changes: DataFrame, streams: DataFrame) -> DataFrame:
         return changes.join(right, (changes["stream_id"] == right["__stream"]) & within(changes, right), "left").drop("__stream", "until_ms")
     # Beyond that, the changes of a heavy stream are spread over as many salts as keep each part near HEAVY of all.
     text = F.hex("stream_id")
-    heavy = heavy_candidates(changes.select("stream_id"), text, HEAVY)
-    total = changes.count() if heavy else 1
-    salts = lambda: F.coalesce(*[F.when(text == k, F.lit(-(-n // max(1, int(HEAVY * total))) + 1)) for k, n in heavy if k is not None], F.lit(1))
-    left = changes.withColumn("__salt", F.pmod(F.xxhash64("ticks", "low", "batch_seq_no"), salts()).cast("int"))
-    right = known.withColumn("__salt2", F.explode(F.sequence(F.lit(0), salts() - 1))).withColumnRenamed("stream_id", "__stream")
+    salts = sketch(changes.select("stream_id"), text, HEAVY).parts(text, HEAVY)
+    left = changes.withColumn("__salt", F.pmod(F.xxhash64("ticks", "low", "batch_seq_no"), salts).cast("int"))
+    right = known.withColumn("__salt2", F.explode(F.sequence(F.lit(0), salts - 1))).withColumnRenamed("stream_id", "__stream")
     return left.join(right, (left["stream_id"] == right["__stream"]) & (left["__salt"] == right["__salt2"]) & within(left, right), "left").drop("__stream", "__salt", "__salt2", "until_ms")
 
 

@@ -20,7 +20,7 @@ def brute(rows):
         seen.add((r[0], r[1], r[2]))
         changes.append(r)
     by_id = {(r[0], r[1], r[2]): r for r in changes}
-    changes.sort(key=lambda r: (r[1][14:18], r[1][9:13], r[1][:8], r[2], r[5] in (3, 4, 7, 8), r[1][19:]))
+    changes.sort(key=lambda r: (r[1][14:18], r[1][9:13], r[1][:8], r[2], r[5] in (3, 4, 7, 8), r[9] is not None, r[9] or 0))
     for r in changes:
         op, ck, pk, v = r[5], r[7], r[8], r[9]
         mine = out.setdefault(pk, {})
@@ -63,8 +63,11 @@ def mess(seed, n=600, pks=6, hot_row=False):
     return log
 
 
-@pytest.mark.parametrize("seed,hot_row", [(1, False), (2, False), (3, True), (4, True)])
-def test_against_one_after_another(spark, seed, hot_row):
+@pytest.mark.parametrize("seed,hot_row,unit", [(1, False, 1000), (2, False, 20), (3, True, 20), (4, True, 1), (6, False, 1)])
+def test_against_one_after_another(spark, monkeypatch, seed, hot_row, unit):
+    """unit: rows that a unit of work holds; few make many chunks, and reduce hot rows first."""
+    monkeypatch.setattr(replay, "LEAST_ROWS", unit)
+    monkeypatch.setattr(replay, "UNIT_ROWS", unit)
     log = mess(seed, hot_row=hot_row)
     want = brute(log.rows)
     df = log.df(spark).withColumn("chunk", F.lit("clash")).withColumn("ticks", F.lit("clash"))
@@ -72,12 +75,32 @@ def test_against_one_after_another(spark, seed, hot_row):
     assert {tuple(r) for r in apply.state(distinct_rows(log.df(spark)), KEYED).collect()} == want
 
 
-def test_without_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(replay, "heavy_candidates", lambda *a: [])
+def test_without_hot_keys(spark):
     log = mess(5, pks=40)
     assert {tuple(r) for r in replay.replay(log.df(spark)).collect()} == brute(log.rows)
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_a_unit_of_work_stays_bounded(spark, monkeypatch, times):
+    """One key holds nearly all rows and is deleted from in wide ranges; ten times the rows don't make a chunk larger."""
+    monkeypatch.setattr(replay, "LEAST_ROWS", 100)
+    monkeypatch.setattr(replay, "UNIT_ROWS", 100)
+    n = 600 * times
+    rows = spark.range(n).select(F.lit(1).alias("pk"), (F.col("id") % (n // 2)).alias("at"), F.lit(None).cast("bigint").alias("until"), F.lit(replay.WRITE | replay.VALUE).alias("what"), F.col("id").cast("int").alias("v"), F.col("id").alias("ticks"), F.lit(0).alias("seq"), F.lit(b"").alias("low"))
+    wide = spark.range(n // 20).select(F.lit(1).alias("pk"), F.col("id").alias("at"), (n - F.col("id")).alias("until"), F.lit(replay.COVER).alias("what"), F.lit(None).cast("int").alias("v"), F.col("id").alias("ticks"), F.lit(1).alias("seq"), F.lit(b"").alias("low"))
+    log = rows.unionByName(wide).select("pk")
+    r, t = replay._chunked(log, rows, wide, newest_only=True)
+    sizes = r.groupBy("pk", "chunk").count().agg(F.max("count")).first()[0]
+    assert sizes <= 200
+    assert t.count() <= 2 * (n // 20) + 4096  # not one for each deletion and chunk
+
+
+def test_buckets(spark):
+    bounds = list(range(10, 2560, 10))
+    df = spark.range(0, 2600, 7).select("id", F.array(*map(F.lit, bounds)).cast("array<bigint>").alias("b"))
+    assert all(r.k == sum(x < r.id for x in bounds) for r in df.select("id", replay._bucket(F.col("b"), F.col("id"), 2).alias("k")).collect())
+
+
 def test_existence(spark):
     log = Log().add(1, 1, 1, None, s=1, deleted=True).add(2, 1, 2, None, s=2).add(1, 1, 3, 5, s=3).add(1, 1, 3, None, s=4, deleted=True).add(2, 1, 4, 7, s=5).add(1, 1, 4, None, s=6).add(2, 2, 1, 1, s=7).add(4, 2, s=8).add(1, 2, 1, 9, s=9)
     assert {tuple(r) for r in replay.replay(log.df(spark)).collect()} == {(1, 2, None), (1, 4, 7), (2, 1, 9)}
