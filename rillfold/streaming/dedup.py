@@ -28,7 +28,7 @@ from __future__ import annotations
 import contextlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillfold.folder import SharedFolder
@@ -42,7 +42,7 @@ LAST = (1 << 63) - 1
 #: A copy that arrives later than so long after its event is looked up; arrivals of as long make a micro-batch.
 DELAY_S = 3 * 86400
 RUNS = "run int, batch bigint, arrived bigint, mark bigint"
-COPY = "ticks bigint, low binary, batch_seq_no int, stream_id binary, expires_at timestamp, late boolean, arrived bigint, delivery_id bigint"
+COPY = "ticks bigint, low binary, batch_seq_no int, stream_id binary, arrived bigint, delivery_id bigint"
 LEDGER = "ticks bigint, low binary, batch_seq_no int, stream_id binary, late boolean, arrived bigint, delivery_id bigint, batch bigint"
 DROPPED = "delivery_id bigint, run int"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,35 +77,38 @@ def _pattern(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def keyed_copies(log: DataFrame, delay_s: int) -> DataFrame:
-    """`COPY` of each copy with an identity. `expires_at` is the event-time column: not the time of the event for a late copy."""
-    at = micros_of(F.col("received_at"))
+def keyed_copies(log: DataFrame) -> DataFrame:
+    """`COPY` of each copy with an identity."""
+    return identified(log, F.coalesce(micros_of(F.col("received_at")), F.lit(LAST)).alias("arrived"), F.coalesce(F.col("delivery_id"), F.lit(LAST)).alias("delivery_id"))
+
+
+def _expiry(delay_s: int) -> dict[str, Column]:
+    """Whether a copy is late, and its event-time column: not the time of the event for a late copy."""
     event = tu.micros(F.col("ticks"))
     horizon = F.col("arrived") - F.lit(delay_s * 1_000_000)
-    copies = identified(log, F.coalesce(at, F.lit(LAST)).alias("arrived"), F.coalesce(F.col("delivery_id"), F.lit(LAST)).alias("delivery_id"))
     late = (F.col("arrived") != LAST) & (horizon > event)
-    return copies.select(*IDENTITY, F.timestamp_micros(F.when(late, horizon).otherwise(event)).alias("expires_at"), late.alias("late"), "arrived", "delivery_id")
+    return {"late": late, "expires_at": F.timestamp_micros(F.when(late, horizon).otherwise(event))}
 
 
-def _lay_out(spark: SparkSession, path: str, at: SharedFolder, delay_s: int, period_s: int, max_files: int | None) -> None:
+def _lay_out(spark: SparkSession, path: str, at: SharedFolder, period_s: int, max_files: int | None) -> None:
     """Step 1: new files of the log, decoded, in `arrived/<n>/period=<p>`."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    copies = keyed_copies((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(_pattern(path)), delay_s)
+    copies = keyed_copies((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(_pattern(path)))
     period = F.when(F.col("arrived") != LAST, tu.int_div(F.col("arrived"), period_s * 1_000_000)).otherwise(F.lit(LAST))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("period", period).write.mode("overwrite").partitionBy("period").parquet(f"{at.folder}/arrived/{number:09d}")
+        batch.withColumn("period", period).write.mode("overwrite").option("compression", "zstd").partitionBy("period").parquet(f"{at.folder}/arrived/{number:09d}")
 
     copies.writeStream.option("checkpointLocation", f"{at.folder}/laid-out").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
 
 
 def _feed(spark: SparkSession, at: SharedFolder, delay_s: int) -> tuple[int, int, int]:
     """Step 2: one micro-batch for each period. Rows that the watermark dropped, the last watermark in ms, and the number of micro-batches."""
-    rows = spark.readStream.schema(COPY).parquet(f"{at.folder}/feed/*")
+    rows = spark.readStream.schema(COPY).parquet(f"{at.folder}/feed/*").withColumns(_expiry(delay_s))
     seen = rows.withWatermark("expires_at", f"{delay_s + 1} seconds").groupBy(*IDENTITY, "expires_at", "late").agg(F.min(F.struct("arrived", "delivery_id")).alias("copy"))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.select(*IDENTITY, "late", "copy.arrived", "copy.delivery_id").write.mode("overwrite").parquet(f"{at.folder}/ledger/batch={number}")
+        batch.select(*IDENTITY, "late", "copy.arrived", "copy.delivery_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{at.folder}/ledger/batch={number}")
 
     query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{at.folder}/checkpoint").foreachBatch(save).start()
     try:
@@ -132,9 +135,9 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
         at.make(name)
     last = at.table("runs", RUNS).orderBy(F.col("run").desc()).first()
     broken = bool(at.names("feed"))
-    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.minBatchesToRetain": "2"}
     with _conf(spark, **settings):
-        _lay_out(spark, path, at, delay_s, period_s or delay_s, max_files)
+        _lay_out(spark, path, at, period_s or delay_s, max_files)
         if not (broken or at.names("arrived")):
             return DedupRun(at.folder, last["run"] if last else -1, 0, 0, 0)
         lost, mark, batches = _feed(spark, at, delay_s)
@@ -145,7 +148,7 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
     mine = ledger.where(F.col("batch") > F.lit(last["batch"] if last else -1))
     straggling = None
     if lost or broken:  # compared exactly: whatever the watermark may have dropped
-        maybe = F.lit(True) if broken else F.col("expires_at") <= F.timestamp_millis(F.lit(mark))
+        maybe = F.lit(True) if broken else _expiry(delay_s)["expires_at"] <= F.timestamp_millis(F.lit(mark))
         straggling = copies.where(maybe).select(*IDENTITY, F.lit(True).alias("late"), "arrived", "delivery_id")
     entries = mine.drop("batch") if straggling is None else mine.drop("batch").unionByName(straggling)
     unnamed = copies.where(F.col("delivery_id") != LAST).select("delivery_id").join(entries.select("delivery_id"), "delivery_id", "left_anti")
