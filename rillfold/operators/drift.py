@@ -1,8 +1,8 @@
 """Schemas that drift from file to file: a report of each change, and one consistent table.
 
 File headers are normalised in parallel, one row per file and column, and each file is compared with the
-one before it by an aggregation over (table, file, column), so a table with very many files is no larger
-a unit of work than any other. Renames are decided by values: only bodies of files that lost and gained a
+one before it by an aggregation over (table, file, column); what goes on from file to file (the file before, the last known kind) is scanned
+in pieces of 30 days, so a table with very many files is no larger a unit of work than any other. Renames are decided by values: only bodies of files that lost and gained a
 column of one kind are parsed, only those columns travel, and each pair of columns is summed up before the
 shuffle. Types are folded through a promotion lattice, in which any two types have a least upper bound.
 
@@ -17,13 +17,12 @@ records of a row the one with the lowest number counts; empty tables give no row
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rillfold.operators import ordered
 from rillfold.session import kept
 
 #: A column is renamed if more than this share of the rows with both values agree.
@@ -87,75 +86,103 @@ def promoted(types: Column) -> Column:
     )
 
 
+def _at(c: str = "effective_at") -> Column:
+    """A time as microseconds, null before all others."""
+    return F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-(1 << 62)))
+
+
+def _month(c: str = "at") -> Column:
+    """What lies within 30 days is one unit of an ordered scan, so a table with very many files is several."""
+    return F.floor(F.col(c) / F.lit(30 * 86400 * 1_000_000)).cast("bigint")
+
+
 def files(headers: DataFrame) -> DataFrame:
-    """Each file of each table, with the file before and after it by the time its schema took effect."""
-    w = Window.partitionBy("table_name").orderBy(F.col("effective_at").asc_nulls_first(), "file_id")
-    known = headers.where("table_name is not null and file_id is not null").groupBy("table_name", "file_id").agg(F.min("effective_at").alias("effective_at"))
-    return known.select("*", F.lag("file_id").over(w).alias("before"), F.lead("file_id").over(w).alias("after"))
+    """`(table_name, file_id, effective_at, at, before, after)`: each file of each table, with those before and after it by the time its schema took effect."""
+    known = headers.where("table_name is not null and file_id is not null").groupBy("table_name", "file_id").agg(F.min("effective_at").alias("effective_at")).withColumn("at", _at())
+    return ordered.neighbours(known, ["table_name"], ["at", "file_id"], _month(), "file_id", "before", "after")
 
 
 def columns(headers: DataFrame) -> DataFrame:
-    """`(table_name, file_id, before, after, effective_at, name, type, kind)` of the base columns, kinds filled in."""
+    """`(table_name, file_id, before, after, effective_at, at, name, type, kind)` of the base columns, kinds filled in."""
     named = headers.where("table_name is not null and file_id is not null and column_name is not null").select("table_name", "file_id", norm_name(F.col("column_name")).alias("name"), norm_type(F.col("cdc_log_data_type")).alias("type"), norm_kind(F.col("base_table_column_kind")).alias("kind"))
     one = named.where(~F.col("name").startswith("cdc$")).groupBy("table_name", "file_id", "name").agg(F.max("type").alias("type"), F.max("kind").alias("kind"))
-    w = Window.partitionBy("table_name", "name").orderBy(F.col("effective_at").asc_nulls_first(), "file_id").rowsBetween(Window.unboundedPreceding, 0)
-    return one.join(files(headers), ["table_name", "file_id"]).withColumn("kind", F.last("kind", ignorenulls=True).over(w))
+    placed = one.join(files(headers), ["table_name", "file_id"])
+    return ordered.last_known(placed, ["table_name", "name"], ["at", "file_id"], _month(), F.col("kind"), "kind")
 
 
-def compared(headers: DataFrame) -> DataFrame:
-    """Per (table, file, column): what it was in the file before (`old`) and is in this one (`new`); null where it is absent."""
-    cols = columns(headers)
-    now = cols.where("before is not null").select("table_name", "file_id", "before", "name", F.struct("type", "kind").alias("new"), F.lit(None).cast("struct<type:string,kind:string>").alias("old"))
-    was = cols.where("after is not null").select("table_name", F.col("after").alias("file_id"), F.col("file_id").alias("before"), "name", F.lit(None).cast("struct<type:string,kind:string>").alias("new"), F.struct("type", "kind").alias("old"))
-    return now.unionByName(was).groupBy("table_name", "file_id", "before", "name").agg(F.max("new").alias("new"), F.max("old").alias("old"))
+def compared(cols: DataFrame) -> DataFrame:
+    """Per (table, file, column) of `columns`: what it was in the file before (`old`) and is in this one (`new`); null where it is absent."""
+    none = F.lit(None).cast("struct<type:string,kind:string>")
+    this = F.struct("type", "kind")
+    sides = F.array_compact(F.array(
+        F.when(F.col("before").isNotNull(), F.struct("file_id", "before", this.alias("new"), none.alias("old"))),
+        F.when(F.col("after").isNotNull(), F.struct(F.col("after").alias("file_id"), F.col("file_id").alias("before"), none.alias("new"), this.alias("old"))),
+    ))
+    each = cols.select("table_name", "name", F.explode(sides).alias("s")).select("table_name", "s.file_id", "s.before", "name", "s.new", "s.old")
+    return each.groupBy("table_name", "file_id", "before", "name").agg(F.max("new").alias("new"), F.max("old").alias("old"))
 
 
 def rename_votes(diff: DataFrame, records: DataFrame) -> DataFrame:
-    """`(table_name, file_id, old_name, new_name, both, same)` of each lost and gained column of one kind."""
-    lost = diff.where("new is null").select("table_name", "file_id", "before", F.col("name").alias("old_name"), F.col("old.kind").alias("old_kind"))
-    gained = diff.where("old is null").select("table_name", "file_id", F.col("name").alias("new_name"), F.col("new.kind").alias("new_kind"))
-    pairs = lost.join(gained, ["table_name", "file_id"]).where(F.coalesce(F.col("old_kind") == F.col("new_kind"), F.lit(True))).select("table_name", "file_id", "before", "old_name", "new_name")
-    needed = pairs.select("file_id", F.col("file_id").alias("change"), F.col("new_name").alias("name"), F.lit(True).alias("is_new")).unionByName(pairs.select(F.col("before").alias("file_id"), F.col("file_id").alias("change"), F.col("old_name").alias("name"), F.lit(False).alias("is_new")))
-    # One row per file, an array of at most twice its columns.
-    wanted = needed.groupBy("file_id").agg(F.collect_set(F.struct("change", "is_new", "name")).alias("wanted"))
+    """`(file_id, old_name, new_name, both, same)` of each lost and gained column of one kind: rows for which both files have a value, and those that agree."""
+    moved = diff.where("new is null or old is null").groupBy("file_id", "before").agg(
+        F.collect_list(F.when(F.col("new").isNull(), F.struct("name", F.col("old.kind").alias("kind")))).alias("lost"),
+        F.collect_list(F.when(F.col("old").isNull(), F.struct("name", F.col("new.kind").alias("kind")))).alias("gained"),
+    )
+    # One row per file: pairs of its few columns.
+    fits = lambda a, b: F.coalesce(a["kind"] == b["kind"], F.lit(True))
+    pairs = F.flatten(F.transform("lost", lambda a: F.transform(F.filter("gained", lambda b: fits(a, b)), lambda b: F.struct(a["name"].alias("old_name"), b["name"].alias("new_name")))))
+    changed = moved.select("file_id", "before", pairs.alias("pairs")).where(F.size("pairs") > 0)
+    sides = F.array(F.struct("file_id", F.lit(True).alias("is_new"), F.array_distinct(F.col("pairs.new_name")).alias("names")), F.struct(F.col("before").alias("file_id"), F.lit(False).alias("is_new"), F.array_distinct(F.col("pairs.old_name")).alias("names")))
+    needed = changed.select(F.col("file_id").alias("change"), "pairs", F.explode(sides).alias("s")).select("s.file_id", F.struct("change", "s.is_new", "s.names").alias("w"))
+    wanted = needed.groupBy("file_id").agg(F.collect_list("w").alias("wanted"))
     bodies = records.where("body is not null and row_key is not null").select("file_id", "record_no", "row_key", "body").join(wanted, "file_id")
     entries = bodies.select("row_key", "record_no", "wanted", F.explode(F.map_entries(F.from_json("body", T.MapType(T.StringType(), T.StringType())))).alias("e")).where("e.value is not null")
     values = entries.select("row_key", "record_no", norm_name(F.col("e.key")).alias("name"), F.when(F.length("e.value") <= PLAIN_CHARS, F.concat(F.lit("="), F.col("e.value"))).otherwise(F.sha2(F.col("e.value"), 256)).alias("value"), "wanted")
-    spread = values.select("row_key", "record_no", "value", "name", F.explode(F.filter("wanted", lambda x: x["name"] == F.col("name"))).alias("w"))
+    spread = values.select("row_key", "record_no", "value", "name", F.explode(F.filter("wanted", lambda x: F.array_contains(x["names"], F.col("name")))).alias("w"))
     first = spread.groupBy(F.col("w.change").alias("file_id"), "row_key", F.col("w.is_new").alias("is_new"), "name").agg(F.min_by("value", F.coalesce("record_no", F.lit((1 << 63) - 1))).alias("value"))
-    olds = first.where("not is_new").select("file_id", "row_key", F.col("name").alias("old_name"), F.col("value").alias("old_value"))
-    news = first.where("is_new").select("file_id", "row_key", F.col("name").alias("new_name"), F.col("value").alias("new_value"))
-    votes = olds.join(news, ["file_id", "row_key"]).groupBy("file_id", "old_name", "new_name").agg(F.count(F.lit(1)).alias("both"), F.sum((F.col("old_value") == F.col("new_value")).cast("bigint")).alias("same"))
-    return pairs.join(votes, ["file_id", "old_name", "new_name"]).select("table_name", "file_id", "before", "old_name", "new_name", "both", "same")
+    # A row's values on either side are at most as many as its columns.
+    row = first.groupBy("file_id", "row_key").agg(F.collect_list(F.when(~F.col("is_new"), F.struct("name", "value"))).alias("olds"), F.collect_list(F.when(F.col("is_new"), F.struct("name", "value"))).alias("news"))
+    met = F.flatten(F.transform("olds", lambda a: F.transform("news", lambda b: F.struct(a["name"].alias("old_name"), b["name"].alias("new_name"), (a["value"] == b["value"]).alias("same")))))
+    votes = row.select("file_id", F.explode(met).alias("m")).groupBy("file_id", "m.old_name", "m.new_name").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("m.same").cast("bigint")).alias("same"))
+    real = changed.select("file_id", F.explode("pairs").alias("p")).select("file_id", "p.old_name", "p.new_name")
+    return votes.join(real, ["file_id", "old_name", "new_name"])
 
 
 def renames(votes: DataFrame) -> DataFrame:
-    """`(table_name, file_id, before, old_name, new_name)`: pairs that agree in most rows and are each other's best."""
+    """`(file_id, old_name, new_name)`: pairs that agree in most rows and are each other's best."""
     share = F.col("same") / F.col("both")
-    fit = votes.where(share > MOST).withColumn("fit", F.struct(share, F.col("same")))
-    best = lambda side, other: F.row_number().over(Window.partitionBy("table_name", "file_id", side).orderBy(F.col("fit").desc(), other))
-    return fit.select("*", best("old_name", "new_name").alias("a"), best("new_name", "old_name").alias("b")).where("a = 1 and b = 1").select("table_name", "file_id", "before", "old_name", "new_name")
+    fit = votes.where(share > MOST).groupBy("file_id").agg(F.collect_list(F.struct(share.alias("share"), "same", "old_name", "new_name")).alias("all"))
+    # Of equal ones the name that comes first.
+    beats = lambda x, y, other: (x["share"] > y["share"]) | ((x["share"] == y["share"]) & ((x["same"] > y["same"]) | ((x["same"] == y["same"]) & (x[other] < y[other]))))
+    rival = lambda x, side, other: F.exists("all", lambda y: (y[side] == x[side]) & beats(y, x, other))
+    best = F.filter("all", lambda x: ~rival(x, "old_name", "new_name") & ~rival(x, "new_name", "old_name"))
+    return fit.select("file_id", F.explode(best).alias("b")).select("file_id", "b.old_name", "b.new_name")
 
 
-def changes(headers: DataFrame, records: DataFrame) -> DataFrame:
-    """`(table_name, file_id, change_kind, column_name)` for each change between a file and the one before it."""
-    diff = compared(headers)
-    moved = renames(rename_votes(diff, records))
-    moves = moved.select("table_name", "file_id", F.explode(F.array(F.struct(F.col("new_name").alias("name"), F.lit("renamed").alias("how")), F.struct(F.col("old_name").alias("name"), F.lit("gone").alias("how")))).alias("m")).select("table_name", "file_id", "m.name", "m.how")
+def _report(diff: DataFrame, moved: DataFrame) -> DataFrame:
+    """`diff` with `change_kind`, a row for each change."""
+    moves = moved.select("file_id", F.explode(F.array(F.struct(F.col("new_name").alias("name"), F.lit("renamed").alias("how")), F.struct(F.col("old_name").alias("name"), F.lit("gone").alias("how")))).alias("m")).select("file_id", "m.name", "m.how")
     kinds = F.array_compact(F.array(
         F.when(F.col("old").isNull(), F.coalesce("how", F.lit("added"))),
         F.when(F.col("new").isNull() & F.col("how").isNull(), "removed"),
         F.when(F.col("old.type") != F.col("new.type"), "retyped"),
         F.when(F.col("old.kind") != F.col("new.kind"), "rekinded"),
     ))
-    return diff.join(moves, ["table_name", "file_id", "name"], "left").select("table_name", "file_id", F.explode(kinds).alias("change_kind"), F.col("name").alias("column_name"))
+    return diff.join(moves, ["file_id", "name"], "left").select("table_name", "file_id", F.explode(kinds).alias("change_kind"), F.col("name").alias("column_name"), "old", "new")
+
+
+def changes(headers: DataFrame, records: DataFrame) -> DataFrame:
+    """`(table_name, file_id, change_kind, column_name)` for each change between a file and the one before it."""
+    diff = kept(compared(columns(headers)), "drift")
+    return _report(diff, renames(rename_votes(diff, records))).drop("old", "new")
 
 
 def changelog(headers: DataFrame, records: DataFrame) -> DataFrame:
     """The report in order: `changes` with the time each took effect and the old and new type and kind of the column."""
-    diff = compared(headers).select("table_name", "file_id", F.col("name").alias("column_name"), F.col("old.type").alias("old_type"), F.col("new.type").alias("new_type"), F.col("old.kind").alias("old_kind"), F.col("new.kind").alias("new_kind"))
-    when = files(headers).select("table_name", "file_id", "effective_at")
-    return changes(headers, records).join(diff, ["table_name", "file_id", "column_name"]).join(when, ["table_name", "file_id"])
+    diff = kept(compared(columns(headers)), "drift")
+    when = headers.where("table_name is not null and file_id is not null").groupBy("table_name", "file_id").agg(F.min("effective_at").alias("effective_at"))
+    report = _report(diff, renames(rename_votes(diff, records))).join(when, ["table_name", "file_id"])
+    return report.select("table_name", "file_id", "column_name", "change_kind", F.col("old.type").alias("old_type"), F.col("new.type").alias("new_type"), F.col("old.kind").alias("old_kind"), F.col("new.kind").alias("new_kind"), "effective_at")
 
 
 def union_schema(headers: DataFrame) -> DataFrame:
@@ -173,14 +200,15 @@ def canonical_names(headers: DataFrame, records: DataFrame) -> DataFrame:
     A column that was removed and comes back is one; of columns that bear one last name but lived side by side,
     all but the first get the file they began in as a suffix.
     """
-    cols = columns(headers)
-    by_name = Window.partitionBy("table_name", "name").orderBy(F.col("effective_at").asc_nulls_first(), "file_id")
-    fresh = F.coalesce(F.lag("file_id").over(by_name) != F.col("before"), F.lag("file_id").over(by_name).isNull(), F.lit(True))
-    runs = cols.withColumn("__start", F.when(fresh, F.col("file_id"))).withColumn("start", F.last("__start", ignorenulls=True).over(by_name.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
-    runs = kept(runs, "drift")
-    moved = renames(rename_votes(compared(headers), records)).select("table_name", F.col("before").alias("file_id"), F.col("old_name").alias("name"), F.col("file_id").alias("moved_at"), "new_name")
+    cols = kept(columns(headers), "drift")
+    lone = ordered.neighbours(cols, ["table_name", "name"], ["at", "file_id"], _month(), "file_id", "own_before", "own_after").drop("own_after")
+    fresh = F.when(F.col("own_before") == F.col("before"), F.lit(None)).otherwise(F.col("file_id"))
+    runs = kept(ordered.last_known(lone, ["table_name", "name"], ["at", "file_id"], _month(), fresh, "start").drop("own_before"), "drift")
+    diff = kept(compared(cols), "drift")
+    moved = renames(rename_votes(diff, records)).join(diff.select("table_name", "file_id", "before", F.col("name").alias("new_name")), ["file_id", "new_name"])
+    moved = moved.select("table_name", F.col("before").alias("file_id"), F.col("old_name").alias("name"), F.col("file_id").alias("moved_at"), "new_name")
     edges = moved.join(runs.select("table_name", "file_id", "name", "start"), ["table_name", "file_id", "name"]).select("table_name", F.col("new_name").alias("name"), F.col("moved_at").alias("start"), F.struct("name", "start").alias("parent"))
-    nodes = runs.groupBy("table_name", "name", "start").agg(F.min("effective_at").alias("begins"), F.max("effective_at").alias("ends"))
+    nodes = runs.groupBy("table_name", "name", "start").agg(F.min("at").alias("begins"), F.max("at").alias("ends"))
     nodes = nodes.join(edges, ["table_name", "name", "start"], "left").withColumn("parent", F.coalesce("parent", F.struct("name", "start")))
     while True:
         nodes = kept(nodes, "drift")
@@ -196,38 +224,81 @@ def canonical_names(headers: DataFrame, records: DataFrame) -> DataFrame:
     return runs.join(final, ["table_name", "name", "start"]).select("table_name", "file_id", "name", "type", "column_name")
 
 
-def unified_values(headers: DataFrame, records: DataFrame) -> DataFrame:
-    """All base tables as one: `(table_name, file_id, record_no, row_key, column_name, type, value)`.
+_BODY = T.MapType(T.StringType(), T.StringType())
 
-    One row for each value of each record, under the column's name in the unified table, as text in its
-    promoted type; null where that type can't hold what the body says.
+
+def first_records(records: DataFrame) -> DataFrame:
+    """`(file_id, row_key, record_no, m)`: of repeated records of a row the readable one with the lowest number, its body as a map.
+
+    A row none of whose records can be read keeps the lowest number and no map. Records without row key aren't repetitions of each other.
     """
-    names = canonical_names(headers, records)
+    read = records.where("file_id is not null").select("file_id", "row_key", "record_no", F.from_json("body", _BODY).alias("m"))
+    text = F.to_json("m")  # a map can't be compared
+    rank = F.struct(F.col("m").isNull(), F.coalesce("record_no", F.lit((1 << 63) - 1)))
+    one = read.where("row_key is not null").groupBy("file_id", "row_key").agg(F.min_by(F.struct("record_no", text.alias("t")), rank).alias("r"))
+    return one.select("file_id", "row_key", "r.record_no", F.from_json("r.t", _BODY).alias("m")).unionByName(read.where("row_key is null"))
+
+
+def held(value: Column, kind: Column) -> Column:
+    """The text of a value in a type, without loss; null where the type can't hold it.
+
+    Whole numbers, booleans, dates and times are read and written again. Reals, and whole numbers of any length, stay as they were written,
+    since no Spark type holds all of them; any other type takes any text.
+    """
+    bare = F.trim(value)
+    out = value
+    for name in ("TINYINT", "SMALLINT", "INT", "BIGINT", "BOOLEAN", "DATE", "TIMESTAMP"):
+        out = F.when(kind == name, bare.try_cast(SPARK_TYPES[name]).cast("string")).otherwise(out)
+    out = F.when(kind == "VARINT", F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare)).otherwise(out)
+    return F.when(kind.isin(*REAL), F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare)).otherwise(out)
+
+
+def _named(headers: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per file the names of its columns in the unified table and their types, as a map; and the columns of each table."""
+    names = kept(canonical_names(headers, records), "drift")
     union = names.where("type is not null").groupBy("table_name", "column_name").agg(promoted(F.collect_set("type")).alias("union_type"))
     per_file = names.join(union, ["table_name", "column_name"]).groupBy("table_name", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("column_name", "union_type")))).alias("names"))
-    entries = records.where("body is not null").select("file_id", "record_no", "row_key", "body").join(per_file, "file_id").select("table_name", "file_id", "record_no", "row_key", "names", F.explode(F.map_entries(F.from_json("body", T.MapType(T.StringType(), T.StringType())))).alias("e"))
+    return per_file, union
+
+
+def unified_values(headers: DataFrame, records: DataFrame) -> DataFrame:
+    """All base tables as one: `(table_name, file_id, record_no, row_key, column_name, type, value, refused)`.
+
+    One row for each value of each record, under the column's name in the unified table, as text in its
+    promoted type (`held`). A value that this type can't hold is null and `refused`. Repeated records of a row count once.
+    """
+    per_file, _ = _named(headers, records)
+    entries = first_records(records).where("m is not null").join(per_file, "file_id").select("table_name", "file_id", "record_no", "row_key", "names", F.explode(F.map_entries("m")).alias("e"))
     values = entries.where("e.value is not null").withColumn("c", F.try_element_at("names", norm_name(F.col("e.key")))).where("c is not null")
-    cast = F.col("e.value")
-    for name, kind in SPARK_TYPES.items():
-        cast = F.when(F.col("c.union_type") == name, F.col("e.value").try_cast(kind).cast("string")).otherwise(cast)
-    return values.select("table_name", "file_id", "record_no", "row_key", "c.column_name", F.col("c.union_type").alias("type"), cast.alias("value"))
+    cast = held(F.col("e.value"), F.col("c.union_type"))
+    return values.select("table_name", "file_id", "record_no", "row_key", "c.column_name", F.col("c.union_type").alias("type"), cast.alias("value"), cast.isNull().alias("refused"))
+
+
+def unified_rows(headers: DataFrame, records: DataFrame) -> DataFrame:
+    """Every record of every base table, those without values too, with all columns of its table: `(table_name, file_id, record_no, row_key, columns)`.
+
+    columns: an array of `(name, type, value)` in order of names, the same names and types for each record of a table; a missing or refused value is null.
+    """
+    per_file, union = _named(headers, records)
+    whole = union.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct(F.col("column_name").alias("name"), F.col("union_type").alias("type")))).alias("whole"))
+    rows = first_records(records).join(per_file.join(whole, "table_name"), "file_id")
+    known = F.filter(F.transform(F.coalesce(F.map_entries("m"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.try_element_at("names", norm_name(e["key"]))["column_name"].alias("name"), e["value"].alias("value"))), lambda e: e["name"].isNotNull())
+    rows = rows.select("table_name", "file_id", "record_no", "row_key", "whole", known.alias("known"))
+    value = lambda c: F.filter("known", lambda e: e["name"] == c["name"])
+    return rows.select("table_name", "file_id", "record_no", "row_key", F.transform("whole", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), held(F.get(value(c), F.lit(0))["value"], c["type"]).alias("value"))).alias("columns"))
 
 
 def unified(headers: DataFrame, records: DataFrame, table_name: str) -> DataFrame:
     """The records of one base table in one schema: `file_id, record_no, row_key` and a typed column each, renamed ones under their last name.
 
-    The schema of one table is small and known to the driver; its columns are read out of the body in
-    the names each file gives them. A value that its promoted type can't hold is null; a record without values is a row of nulls.
+    The schema of one table is small and known to the driver. A value that its Spark type can't hold is null (of decimals, what exceeds
+    `decimal(38,10)`; `unified_rows` keeps those); a record without values is a row of nulls. Repeated records of a row count once.
     """
     mine = headers.where(F.col("table_name") == table_name)
-    names = kept(canonical_names(mine, records), "drift")
-    union = names.where("type is not null").groupBy("column_name").agg(promoted(F.collect_set("type")).alias("type"))
-    schema = sorted((r.column_name, r.type) for r in union.collect())
-    per_file = names.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "column_name"))).alias("names"))
-    body = F.from_json("body", T.MapType(T.StringType(), T.StringType()))
-    entries = F.transform(F.map_entries(body), lambda e: F.struct(F.try_element_at("names", norm_name(e["key"])).alias("key"), e["value"].alias("value")))
-    known = F.filter(entries, lambda e: e["key"].isNotNull())
-    # Of spellings that are one name, the first counts.
-    first = F.aggregate(known, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e))))
-    rows = records.join(per_file, "file_id").select("file_id", "record_no", "row_key", F.map_from_entries(first).alias("m"))
-    return rows.select("file_id", "record_no", "row_key", *[reduce(lambda c, t: c.try_cast(t), [SPARK_TYPES[t]] if t in SPARK_TYPES else [], F.col("m")[n]).alias(f"c_{n}") for n, t in schema])
+    rows = unified_rows(mine, records)
+    first = kept(_named(mine, records)[1], "drift")
+    schema = sorted((r.column_name, r.union_type) for r in first.collect())
+    value = lambda i, t: F.col("columns")[i]["value"]
+    typed = lambda i, t: value(i, t).try_cast(SPARK_TYPES[t]) if t in SPARK_TYPES else value(i, t)
+    exact = lambda i, t: F.when(value(i, t).try_cast("decimal(38,18)") == typed(i, t), typed(i, t)) if t == "DECIMAL" else typed(i, t)
+    return rows.select("file_id", "record_no", "row_key", *[exact(i, t).alias(f"c_{n}") for i, (n, t) in enumerate(schema)])

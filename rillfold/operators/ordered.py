@@ -30,6 +30,19 @@ def last_known(df: DataFrame, keys: list[str], order: list[Column | str], bucket
     return _again(local, carried, keys).withColumn(name, F.coalesce("__k", "__carry")).drop("__bucket", "__v", "__k", "__carry")
 
 
+def neighbours(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, before: str, after: str) -> DataFrame:
+    """`value`, which is never null, of the row before and after each row in its sequence; null at its ends."""
+    cut = df.withColumn("__bucket", bucket)
+    rank = F.struct(*order)
+    ends = cut.groupBy(*keys, "__bucket").agg(F.min_by(value, rank).alias("__first"), F.max_by(value, rank).alias("__last"))
+    w = Window.partitionBy(*keys).orderBy("__bucket")
+    ends = ends.select(*keys, "__bucket", F.lag("__last").over(w).alias("__before"), F.lead("__first").over(w).alias("__after"))
+    w = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    local = cut.select("*", F.lag(value).over(w).alias("__lag"), F.lead(value).over(w).alias("__lead"))
+    out = _again(local, ends, keys)
+    return out.withColumns({before: F.coalesce("__lag", "__before"), after: F.coalesce("__lead", "__after")}).drop("__bucket", "__lag", "__lead", "__before", "__after")
+
+
 def _again(rows: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with their chunk's columns; null keys are keys as well."""
     names = [*keys, "__bucket"]

@@ -66,15 +66,25 @@ def test_promotion_as_expression(spark):
 
 def test_unified(spark):
     files = [(1, "a", 1, [("pk", "INT", "PARTITION_KEY"), ("n", "INT", "REGULAR"), ("was", "TEXT", "REGULAR")]), (2, "a", 2, [('"PK"', "BIGINT", "PARTITION_KEY"), ("n", "DOUBLE", "REGULAR"), ("now", "TEXT", "REGULAR")])]
-    recs = [(1, 1, 1, '{"pk": 1, "n": 2, "was": "x", "unknown": 1}'), (2, 1, 1, '{"\\"PK\\"": 5000000000, "n": 2.5, "now": "x"}'), (2, 2, 2, '{"pk": "no number", "n": null}'), (2, 3, 3, "broken"), (5, 1, 1, "{}")]
+    recs = [(1, 1, 1, '{"pk": 1, "n": 2, "was": "x", "unknown": 1}'), (2, 1, 1, '{"\\"PK\\"": 5000000000, "n": 2.5, "now": "x"}'), (2, 2, 2, '{"pk": "no number", "n": null}'), (2, 3, 3, "broken"), (2, 4, 3, '{"n": 9}'), (2, 5, 1, '{"n": 3}'), (2, 6, 4, None), (5, 1, 1, "{}")]
     h, r = heads(spark, files), spark.createDataFrame(recs, BODY)
-    got = {(x.file_id, x.row_key, x.column_name, x.type, x.value) for x in drift.unified_values(h, r).collect()}
-    assert got == {(1, 1, "pk", "BIGINT", "1"), (1, 1, "n", "DOUBLE", "2.0"), (1, 1, "now", "TEXT", "x"), (2, 1, "pk", "BIGINT", "5000000000"), (2, 1, "n", "DOUBLE", "2.5"), (2, 1, "now", "TEXT", "x"), (2, 2, "pk", "BIGINT", None)}
+    got = {(x.file_id, x.row_key, x.column_name, x.type, x.value, x.refused) for x in drift.unified_values(h, r).collect()}
+    assert got == {(1, 1, "pk", "BIGINT", "1", False), (1, 1, "n", "DOUBLE", "2", False), (1, 1, "now", "TEXT", "x", False), (2, 1, "pk", "BIGINT", "5000000000", False), (2, 1, "n", "DOUBLE", "2.5", False), (2, 1, "now", "TEXT", "x", False), (2, 2, "pk", "BIGINT", None, True), (2, 3, "n", "DOUBLE", "9", False)}
+    rows = {(x.file_id, x.row_key): [(c.name, c.type, c.value) for c in x.columns] for x in drift.unified_rows(h, r).collect()}
+    assert set(rows) == {(1, 1), (2, 1), (2, 2), (2, 3), (2, 4)} and rows[(2, 4)] == [("n", "DOUBLE", None), ("now", "TEXT", None), ("pk", "BIGINT", None)]
     wide = drift.unified(h, r, "a")
-    assert dict(wide.dtypes)["c_n"] == "double" and dict(wide.dtypes)["c_pk"] == "bigint" and wide.count() == 4
+    assert dict(wide.dtypes)["c_n"] == "double" and dict(wide.dtypes)["c_pk"] == "bigint" and wide.count() == 5
     assert {(x.type) for x in drift.union_schema(h).where("column_name = 'pk'").collect()} == {"BIGINT"}
 
 
+def test_no_value_is_lost_in_promotion(spark):
+    files = [(1, "a", 1, [("pk", "INT", "PARTITION_KEY"), ("n", "DOUBLE", "REGULAR"), ("m", "INT", "REGULAR")]), (2, "a", 2, [("pk", "INT", "PARTITION_KEY"), ("n", "BIGINT", "REGULAR"), ("m", "VARINT", "REGULAR")])]
+    recs = [(1, 1, 1, '{"n": "1.5e300"}'), (1, 2, 2, '{"n": 1e-15}'), (2, 1, 1, '{"n": 9007199254740993, "m": "123456789012345678901234567890123456789012"}'), (2, 2, 2, '{"n": "x"}')]
+    got = {(x.file_id, x.row_key, x.column_name): (x.type, x.value, x.refused) for x in drift.unified_values(heads(spark, files), spark.createDataFrame(recs, BODY)).collect()}
+    assert got[(1, 1, "n")] == ("DECIMAL", "1.5e300", False) and float(got[(1, 2, "n")][1]) == 1e-15 and got[(2, 1, "n")][1] == "9007199254740993"
+    assert got[(2, 1, "m")] == ("VARINT", "123456789012345678901234567890123456789012", False) and got[(2, 2, "n")] == ("DECIMAL", None, True)
+
+
 def test_wide_table_follows_renames(spark):
     files = [(1, "a", 1, [("pk", "INT", "PARTITION_KEY"), ("was", "INT", "REGULAR")]), (2, "a", 2, [("pk", "INT", "PARTITION_KEY"), ("now", "BIGINT", "REGULAR")])]
     recs = [(1, 1, 1, '{"pk": 1, "was": 7}'), (1, 2, 2, None), (2, 1, 1, '{"PK": 1, "now": 7}'), (2, 2, 2, '{"now": null}'), (2, 3, 3, "broken")]
