@@ -227,12 +227,17 @@ def canonical_names(headers: DataFrame, records: DataFrame) -> DataFrame:
 _BODY = T.MapType(T.StringType(), T.StringType())
 
 
+def _body_map() -> Column:
+    """A body's values as text. Numbers keep all their digits, as `from_json` wouldn't let them, and nested objects are sorted by key, so equal ones are equal text; it reads bodies that name a column twice, which the former refuses."""
+    return F.coalesce(F.expr("try_variant_get(try_parse_json(body), '$', 'map<string,string>')"), F.from_json("body", _BODY))
+
+
 def first_records(records: DataFrame) -> DataFrame:
     """`(file_id, row_key, record_no, m)`: of repeated records of a row the readable one with the lowest number, its body as a map.
 
     A row none of whose records can be read keeps the lowest number and no map. Records without row key aren't repetitions of each other.
     """
-    read = records.where("file_id is not null").select("file_id", "row_key", "record_no", F.from_json("body", _BODY).alias("m"))
+    read = records.where("file_id is not null").select("file_id", "row_key", "record_no", _body_map().alias("m"))
     text = F.to_json("m")  # a map can't be compared
     rank = F.struct(F.col("m").isNull(), F.coalesce("record_no", F.lit((1 << 63) - 1)))
     one = read.where("row_key is not null").groupBy("file_id", "row_key").agg(F.min_by(F.struct("record_no", text.alias("t")), rank).alias("r"))

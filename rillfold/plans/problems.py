@@ -75,6 +75,13 @@ def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified_values(table(spark, d, "change_schema"), table(spark, d, "raw_records"))
 
 
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with all columns of its table, as text."""
+    rows = drift.unified_rows(table(spark, d, "change_schema"), table(spark, d, "raw_records"))
+    text = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"], F.lit("="), F.coalesce(c["value"], F.lit("null")))), ", ")
+    return rows.select("table_name", "file_id", "record_no", "row_key", text.alias("row"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return replaying.replay(table(spark, d, LOG)).select("pk", "ck", F.coalesce(F.col("v").cast("string"), F.lit("null")).alias("v"))
 
@@ -100,7 +107,7 @@ def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.from_attempts(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p2_kept, p3_found, p3_union_schema, p3_changelog, p3_unified, p4_found, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p2_kept, p3_found, p3_union_schema, p3_changelog, p3_unified, p3_rows, p4_found, p5_found, p5_ledger)}
 
 _UUID = 'replace(replace(replace(lower("cdc$time"), \'-\', \'\'), \'{\', \'\'), \'}\', \'\')'
 _TICKS = f"(('0x' || substr({_UUID}, 14, 3) || substr({_UUID}, 9, 4) || substr({_UUID}, 1, 8))::bigint)"
@@ -120,6 +127,30 @@ _DRIFT = """
               from d where (file, name) not in (select file, o from m) and (file, name) not in (select file, n from m)
             union all select table_name, file, 'renamed', n from m)"""
 
+_PROMOTED = """case when len(ts) = 1 then ts[1] when list_has_all(w, ts) then w[list_max(list_transform(ts, lambda t: list_position(w, t)))] when list_has_all(r, ts) then r[list_max(list_transform(ts, lambda t: list_position(r, t)))]
+          when list_has_all(w || r, ts) then case when list_has_any(ts, ['BIGINT', 'VARINT', 'DECIMAL']) then 'DECIMAL' when list_has_any(ts, ['INT', 'DOUBLE']) then 'DOUBLE' else 'FLOAT' end
+          when list_has_all(['DATE', 'TIMESTAMP'], ts) then 'TIMESTAMP' when list_has_all(['UUID', 'TIMEUUID'], ts) then 'UUID' else 'TEXT' end"""
+
+_HELD = """case when type in ('TINYINT', 'SMALLINT', 'INT', 'BIGINT') then case when regexp_full_match(trim(v), '[+-]?[0-9]+') then case type when 'TINYINT' then try_cast(trim(v) as tinyint)::varchar when 'SMALLINT' then try_cast(trim(v) as smallint)::varchar when 'INT' then try_cast(trim(v) as int)::varchar else try_cast(trim(v) as bigint)::varchar end end
+          when type = 'BOOLEAN' then try_cast(trim(v) as boolean)::varchar when type = 'DATE' then try_cast(trim(v) as date)::varchar when type = 'TIMESTAMP' then try_cast(trim(v) as timestamp)::varchar
+          when type = 'VARINT' then case when regexp_full_match(trim(v), '[+-]?[0-9]+') then trim(v) end
+          when type in ('FLOAT', 'DOUBLE', 'DECIMAL') then case when regexp_full_match(trim(v), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then trim(v) end else v end"""
+
+# Columns followed from file to file, under the same name or a new one, from where they begin.
+_UNIFIED = f"""{_DRIFT.replace("with h as", "with recursive h as", 1)},
+          n as (select c.*, f.effective_at as ef from c join f using (table_name, file_id)),
+          s as (select x.file_id as a, x.name as an, y.file_id as b, y.name as bn from n x join n y on y.table_name = x.table_name and y.file_id = x.after and y.name = x.name union all select f.before, o, m.file, n from m join f on f.file_id = m.file),
+          q as (select n.table_name, n.file_id as rf, n.name as rn, n.file_id, n.name from n where not exists (select 1 from s where s.b = n.file_id and s.bn = n.name)
+            union all select q.table_name, q.rf, q.rn, s.b, s.bn from q join s on s.a = q.file_id and s.an = q.name),
+          ends as (select q.table_name, rf, rn, arg_max(q.name, n.ef) as ln, min(n.ef) as b, max(n.ef) as e from q join n using (file_id, name) group by all),
+          roots as (select *, case when max(e) over (partition by table_name, ln order by b, rn, rf rows between unbounded preceding and 1 preceding) >= b then ln || '@' || rf else ln end as column_name from ends),
+          named as (select n.table_name, n.file_id, n.name, n.type, column_name from q join n using (file_id, name) join roots on roots.rf = q.rf and roots.rn = q.rn),
+          types as (select table_name, column_name, {_PROMOTED} as type from (select table_name, column_name, list(distinct case when type = 'COUNTER' then 'BIGINT' else type end) as ts, ['TINYINT', 'SMALLINT', 'INT', 'BIGINT', 'VARINT'] as w, ['FLOAT', 'DOUBLE', 'DECIMAL'] as r from named where type is not null group by 1, 2)),
+          vv as (select file_id, record_no, row_key, lower(trim(k, '" ')) as name, case json_type(body, path) when 'DOUBLE' then regexp_replace(json_extract_string(body, path), '[.]0$', '')
+              when 'OBJECT' then '{{' || array_to_string(list_transform(list_sort(json_keys(body, path)), lambda o: to_json(o)::varchar || ':' || json_extract(json_extract(body, path), '$."' || o || '"')::varchar), ',') || '}}' else json_extract_string(body, path) end as v
+            from (select file_id, record_no, row_key, body, k, '$."' || replace(replace(k, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' as path from (select file_id, record_no, row_key, body, unnest(json_keys(body)) as k from b join raw_records using (file_id, row_key, record_no)))),
+          vals as (select table_name, v.file_id, v.record_no, v.row_key, column_name, type, {_HELD} as value from vv v join (select table_name, file_id, name, column_name from named) k using (file_id, name) join types using (table_name, column_name) where v.v is not null)"""
+
 SQL = {
     "p1_found": """
         select 'simple_scylla_cdc_log' as table_name, lower(hex("cdc$stream_id")) as key_value from simple_scylla_cdc_log
@@ -151,6 +182,12 @@ SQL = {
     "p3_changelog": f"""{_DRIFT}
         select r.table_name, file_id, column_name, change_kind, ot as old_type, nt as new_type, ok as old_kind, nk as new_kind, effective_at
         from report r join d on d.table_name = r.table_name and d.file = r.file_id and d.name = r.column_name join f using (file_id)""",
+    "p3_unified": f"""{_UNIFIED}
+        select table_name, file_id, record_no, row_key, column_name, type, value, value is null as refused from vals""",
+    "p3_rows": f"""{_UNIFIED},
+          one as (select file_id, row_key, coalesce(min(record_no) filter (json_valid(body)), min(record_no)) as record_no from raw_records group by 1, 2)
+        select types.table_name, one.file_id, one.record_no, one.row_key, string_agg(types.column_name || ':' || types.type || '=' || coalesce(value, 'null'), ', ' order by types.column_name) as row
+        from one join (select distinct table_name, file_id from named) k using (file_id) join types using (table_name) left join vals on vals.file_id = one.file_id and vals.row_key = one.row_key and vals.column_name = types.column_name group by all""",
     "p4_found": f"""
         with l as (select distinct pk, ck, v, "cdc$deleted_v" as dv, "cdc$operation" as op, "cdc$stream_id" as s, {_UUID} as u, {_TICKS} as ticks, "cdc$batch_seq_no" as q from simple_scylla_cdc_log),
           d as (select pk, null::bigint as lo, null::bigint as hi, ticks, q from l where op = 4
