@@ -451,6 +451,98 @@ def list_reassembly(spark, d):
     return collections.list_state(e.unionByName(over), ["user_id"]).select("user_id", F.array_join(F.transform("elements", lambda x: x.cast("string")), ",").alias("elements"))
 
 
+#: A base table with every kind of column that isn't frozen: its log is made of the events, a row for each user and day.
+MIXED = apply.Keyed(("user_id",), ("day",), ("last_event",), (("tags", "set"), ("counts", "map"), ("items", "list"), ("profile", "udt")))
+
+
+def _mixed_log(spark, d) -> DataFrame:
+    """Events as the log of `MIXED`: views and clicks update a row, signups insert it anew, errors take elements out, purchases delete a row, its day before, or all of its partition."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    tick = tu.ticks_of_micros(F.unix_micros(F.col("ts").cast("timestamp")))
+    kind = F.col("event_type")
+    e = table(spark, d, "events").where("user_id is not null").select("event_id", "user_id", F.dayofmonth("ts").alias("day"), kind.alias("kind"), k.alias("k"), tick.alias("ticks"))
+    deleted = (F.col("kind") == "purchase")
+    gone, over, k = F.col("kind") == "error", F.col("kind") == "signup", F.col("k")
+    adds = ~gone & ~deleted & k.isNotNull()
+    uuid_of = tu.from_parts(F.col("ticks"), F.unhex(F.lit(tu.LOW_START)))
+    fields = F.struct(F.when(k < 5, F.col("event_id")).alias("seen"), F.when(k >= 3, F.concat(F.lit("k"), k.cast("string"))).alias("name"))
+    flag = F.when(over, F.lit(True))
+    return e.select(
+        F.unhex(F.lpad(F.hex("user_id"), 32, "0")).alias("stream_id"), "ticks", F.unhex(F.lit(tu.LOW_START)).alias("low"), F.lit(0).alias("batch_seq_no"), F.lit(None).cast("bigint").alias("ttl"), "user_id",
+        F.when(~deleted | (k != 9), F.col("day")).alias("day"), F.when(deleted, F.when(k == 9, F.lit(4)).otherwise(F.lit(3))).when(over, F.lit(2)).otherwise(F.lit(1)).alias("operation"),
+        F.when(~deleted, F.col("event_id")).alias("last_event"), F.lit(None).cast("boolean").alias("deleted_last_event"),
+        F.when(adds, F.array(k, k + 10)).alias("tags"), flag.alias("deleted_tags"), F.when(gone, F.array(k)).alias("deleted_elements_tags"),
+        F.when(adds, F.create_map(k, F.col("event_id"))).alias("counts"), flag.alias("deleted_counts"), F.when(gone, F.array(k)).alias("deleted_elements_counts"),
+        F.when(adds, F.create_map(uuid_of, F.col("event_id"))).alias("items"), flag.alias("deleted_items"), F.lit(None).cast("array<string>").alias("deleted_elements_items"),
+        F.when(~deleted & ~gone, fields).alias("profile"), flag.alias("deleted_profile"), F.when(gone, F.array((k % 2).cast("smallint"))).alias("deleted_elements_profile"),
+    )
+
+
+_MIXED = """e as (select event_id, user_id, dayofmonth(ts) as day, event_type as kind, (props->>'$.k')::int as k, epoch_us(ts) * 10 + 122192928000000000 as t from events where user_id is not null),
+    gone as (select c.user_id, c.day, max(d.t) as gone from (select distinct user_id, day from e) c join e d on d.user_id = c.user_id and d.kind = 'purchase' and coalesce(d.k = 9, false) or d.user_id = c.user_id and d.kind = 'purchase' and d.k is not null and d.day = c.day group by 1, 2),
+    w as (select e.* from e left join gone using (user_id, day) where kind <> 'purchase' and (gone is null or t > gone)),
+    o as (select user_id, day, max(t) as over from w where kind = 'signup' group by 1, 2)"""
+
+
+def _mixed_rows(rows: DataFrame) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select("user_id", "day", "last_event", text("tags").alias("tags"), F.array_join(F.transform("counts", lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string"))), ",").alias("counts"), text("items").alias("items"), F.col("profile.seen").alias("seen"), F.col("profile.name").alias("name"))
+
+
+_MIXED_SQL = f"""with {_MIXED},
+    last as (select user_id, day, arg_max(event_id, t) as last_event, bool_or(kind = 'signup') as i from w group by 1, 2),
+    el as (select user_id, day, t, kind <> 'error' as a, event_id, unnest(case when kind = 'error' then [k] else [k, k + 10] end) as el from w where k is not null),
+    tags as (select user_id, day, string_agg(el::varchar, ',' order by el) as tags from (select user_id, day, el, max(struct_pack(t := t, a := a)) as c from el group by 1, 2, 3) x left join o using (user_id, day) where c.a and (over is null or c.t >= over) group by 1, 2),
+    counts as (select user_id, day, string_agg(k || '=' || c.v, ',' order by k) as counts from (select user_id, day, k, max(struct_pack(t := t, a := kind <> 'error', v := event_id)) as c from w where k is not null group by 1, 2, 3) x left join o using (user_id, day) where c.a and (over is null or c.t >= over) group by 1, 2),
+    items as (select user_id, day, string_agg(event_id::varchar, ',' order by t) as items from w left join o using (user_id, day) where k is not null and kind <> 'error' and (over is null or t >= over) group by 1, 2),
+    prof as (select user_id, day, arg_max(case when kind <> 'error' and k < 5 then struct_pack(v := event_id) else struct_pack(v := null::bigint) end, t) filter (kind = 'signup' or kind <> 'error' and k < 5 or kind = 'error' and k % 2 = 0) as seen,
+        arg_max(case when kind <> 'error' and k >= 3 then struct_pack(v := 'k' || k) else struct_pack(v := null::varchar) end, t) filter (kind = 'signup' or kind <> 'error' and k >= 3 or kind = 'error' and k % 2 = 1) as name from w group by 1, 2)
+    select user_id, day, last_event, tags, counts, items, seen.v as seen, name.v as name from last left join tags using (user_id, day) left join counts using (user_id, day) left join items using (user_id, day) left join prof using (user_id, day)"""
+
+
+@_query(_MIXED_SQL)
+def collection_replay(spark, d):
+    """A table with a set, a map, a list and a type with fields, none frozen, from its log: elements added and taken out, wholes replaced, rows and partitions deleted."""
+    return _mixed_rows(apply.state(_mixed_log(spark, d), MIXED))
+
+
+@_query(_MIXED_SQL)
+def state_table_incremental(spark, d):
+    """The same, kept up to date over batches, the newest changes coming first."""
+    log = _mixed_log(spark, d)
+    state = feed.StateTable(spark, shared_dir(spark, "state"), MIXED)
+    third = tu.int_div(F.col("ticks") - tu.EPOCH_TICKS, 10 * 86400 * 10_000_000) % 3
+    for number, part in enumerate((2, 0, 1)):
+        state.fold(log.where(third == part), number)
+    return _mixed_rows(state.read())
+
+
+@_query(f"""with {_L}, p as (select * from l where op = 0 and ck is not null and pk is not null), {_D},
+    k as (select p.pk, p.ck, p.ticks as pt, p.q as aq, case when p.ck % 3 = 0 then coalesce(p.v, 0) + 1 else p.v end as expected, max(struct_pack(t := d.ticks, q := d.q)) filter (d.ticks is not null) as gone from p left join d on d.pk = p.pk and coalesce(p.ck >= lo, true) and coalesce(p.ck <= hi, true) and struct_pack(t := d.ticks, q := d.q) < struct_pack(t := p.ticks, q := p.q) group by all),
+    w as (select k.pk, k.ck, pt, aq, expected, max(struct_pack(t := ticks, q := q, v := v)) filter (v is not null or dv) as w from k left join l on l.pk = k.pk and l.ck = k.ck and op in (1, 2) and struct_pack(t := ticks, q := q) < struct_pack(t := pt, q := aq) and (gone is null or struct_pack(t := ticks, q := q) > gone) group by all)
+    select pk, ck, pt as ticks, aq as batch_seq_no, expected as expected_v, w.v as actual_v from w where w.v is distinct from expected""")
+def preimage_check(spark, d):
+    """The comparison of a replicator in pre-image mode, for a log whose pre-images of every third clustering key say too much."""
+    wrong = (F.col("operation") == 0) & (F.col("ck") % 3 == 0)
+    return apply.image_mismatches(_rows(spark, d).withColumn("v", F.when(wrong, F.coalesce("v", F.lit(0)) + 1).otherwise(F.col("v"))), SIMPLE)
+
+
+@_query(f"""with {_L}, x as (select * from l where not (op in (7, 8) and ticks % 2 = 0)) select s as stream_id, {_TEXT} as cdc_time, q as batch_seq_no from x a where op in (5, 6) and not exists (select 1 from x b where b.pk = a.pk and b.s = a.s and b.u = a.u and b.q = a.q + 1 and b.op in (7, 8))
+    union all select s, {_TEXT}, q from x a where op in (7, 8) and not exists (select 1 from x b where b.pk = a.pk and b.s = a.s and b.u = a.u and b.q = a.q - 1 and b.op in (5, 6))""")
+def lost_bounds(spark, d):
+    """Range bounds without their partner in a log that lost the right bounds of even ticks."""
+    rows = _rows(spark, d).where(~(F.col("operation").isin(7, 8) & (F.col("ticks") % 2 == 0)))
+    return apply.unpaired(rows, SIMPLE).select(_hex(), _time(), F.when(F.col("no_left"), F.col("start_seq") + 1).otherwise(F.col("start_seq")).alias("batch_seq_no"))
+
+
+@_query(f"""with {_L}, p as (select *, last_value(case when op in (1, 2) then op end ignore nulls) over (partition by s order by ticks, q, u rows unbounded preceding) as kind from l where op in (1, 2, 9) and not (op in (1, 2) and ck % 2 = 0))
+    select s as stream_id, {_TEXT} as cdc_time, q as batch_seq_no from p where op = 9 and kind is null""")
+def orphan_images(spark, d):
+    """Post-images that no insert or update of their stream comes before, in a log that lost the writes of even clustering keys."""
+    rows = _rows(spark, d).where(~F.coalesce(F.col("operation").isin(1, 2) & (F.col("ck") % 2 == 0), F.lit(False)))
+    return apply.orphan_images(rows).select(_hex(), _time(), "batch_seq_no")
+
+
 # Streams.
 
 

@@ -83,16 +83,16 @@ def distinct_rows(log: DataFrame) -> DataFrame:
     rows = _copies(log, *[F.col(f"`{c}`").alias(n) for n, c in columns.items() if c in log.columns])
     value = lambda n: F.coalesce(F.col(n), F.lit(False)) if n == "end_of_batch" or n.startswith("deleted_") and dict(rows.dtypes)[n] == "boolean" else F.col(n)
     rest = [n for n in rows.columns if n not in _COPY]
-    one = lambda n: F.max(value(n)) if _ordered(rows.schema[n].dataType) else F.any_value(n, F.lit(True))
+    one = lambda n: F.max(value(n)) if ordered_type(rows.schema[n].dataType) else F.any_value(n, F.lit(True))
     return _with_time(rows.groupBy(*_COPY).agg(*[one(n).alias(n) for n in rest]), *rest)
 
 
-def _ordered(kind: T.DataType) -> bool:
+def ordered_type(kind: T.DataType) -> bool:
     """Whether values of a type have an order; those with a map in them have none."""
     if isinstance(kind, T.ArrayType):
-        return _ordered(kind.elementType)
+        return ordered_type(kind.elementType)
     if isinstance(kind, T.StructType):
-        return all(_ordered(f.dataType) for f in kind)
+        return all(ordered_type(f.dataType) for f in kind)
     return not isinstance(kind, T.MapType)
 
 

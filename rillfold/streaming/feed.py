@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rillfold.functions import timeuuid as tu
-from rillfold.operators import apply
+from rillfold.operators import apply, collections
 from rillfold.sources.log import identified
 from rillfold.streaming.dedup import _pattern
 
@@ -113,9 +113,12 @@ class StateTable:
             new = apply.merge(self._part(before[-1], "cells"), rows, self.keyed)
             dead = self._part(before[-1], "dead").unionByName(dead).groupBy(*self.keyed.partition).agg(F.max("d_all").alias("d_all"))
             ends = self._part(before[-1], "ends").unionByName(ends).distinct()
+        parts = {f"elements_{c}": apply.elements(rows, self.keyed, c, kind) for c, kind in self._loose()}
+        if before:
+            parts = {n: collections.merged_cells(self._part(before[-1], n).unionByName(df), self.keyed.key) for n, df in parts.items()}
         # The cells come last: a version counts once they are there.
         self._fs.delete(self._path(f"{self.folder}/v{number}"), True)
-        for part, df in (("dead", dead), ("ends", ends), ("cells", new)):
+        for part, df in (("dead", dead), ("ends", ends), *parts.items(), ("cells", new)):
             df.write.parquet(f"{self.folder}/v{number}/{part}")
         for v in before[:-1]:
             self._fs.delete(self._path(f"{self.folder}/v{v}"), True)
@@ -123,7 +126,14 @@ class StateTable:
     def read(self) -> DataFrame | None:
         """The rows that exist; none if no batch has come yet."""
         done = self._versions()
-        return apply.visible(self._part(done[-1], "cells"), self.keyed, self._part(done[-1], "dead"), self._part(done[-1], "ends")) if done else None
+        if not done:
+            return None
+        parts = {c: self._part(done[-1], f"elements_{c}") for c, _ in self._loose()}
+        return apply.visible(self._part(done[-1], "cells"), self.keyed, self._part(done[-1], "dead"), self._part(done[-1], "ends"), parts)
+
+    def _loose(self) -> list[tuple[str, str]]:
+        """Collections, whose elements are cells of their own."""
+        return [(c, kind) for c, kind in self.keyed.collections if kind != "udt"]
 
 
 def supervise(start: Callable[[], StreamingQuery], attempts: int, sleep: Callable[[int], None]) -> StreamingQuery:
