@@ -50,6 +50,20 @@ def value(c: Column, kind: str) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
+def raw(c: Column, kind: str) -> Column:
+    """The bytes in which a value travels: whole numbers and moments big-endian in their width, text as UTF-8, UUIDs as 16 bytes; null for null."""
+    width = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}
+    if kind in width:
+        return F.unhex(F.substring(F.lpad(F.hex(c.cast("bigint")), 16, "0"), 17 - 2 * width[kind], 2 * width[kind]))
+    if kind == "timestamp":
+        return raw(F.unix_millis(c.cast("timestamp")), "bigint")
+    if kind == "uuid":
+        return F.unhex(F.translate(c, "-", ""))
+    if kind in ("string", "binary"):
+        return c.cast("binary")
+    raise ValueError(f"no bytes for {kind}")
+
+
 def field(text: Column, width: int) -> Column:
     """Right-aligned in `width` characters; longer text loses its end."""
     return F.lpad(F.substring(text, 1, width), width, " ")

@@ -97,6 +97,17 @@ def ticks_of_micros(us: Column) -> Column:
     return us * F.lit(10) + F.lit(EPOCH_TICKS)
 
 
+# Milliseconds of the units that a moment can be moved by.
+UNITS = {"millis": 1, "seconds": 1000, "minutes": 60_000, "hours": 3_600_000, "days": 86_400_000}
+
+
+def plus(ms: Column, amount: Column | int, unit: str) -> Column:
+    """A moment in milliseconds, moved by an amount of a unit; an unknown unit raises."""
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit!r}")
+    return ms + (F.lit(amount) if isinstance(amount, int) else amount).cast("bigint") * F.lit(UNITS[unit])
+
+
 def _bound(tick: Column, low: str) -> Column:
     h = F.lpad(F.lower(F.hex(tick)), 15, "0")
     return F.concat(F.substring(h, 8, 8), F.lit("-"), F.substring(h, 4, 4), F.lit("-1"), F.substring(h, 1, 3), F.lit(f"-{low[:4]}-{low[4:]}"))

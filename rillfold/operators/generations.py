@@ -25,6 +25,30 @@ def first_after(starts: DataFrame, t_ms: int | None, by: list[str] | None = None
     return later.groupBy(*(by or [])).agg(F.min("generation_start_ms").alias("generation_start_ms"))
 
 
+def timestamps(rows: DataFrame, form: str = "v2", by: list[str] | None = None) -> DataFrame:
+    """`generation_start_ms` of each generation in metadata of one of its forms.
+
+    v1: a row per generation with its streams; v2: a table of times alone, of which rows without streams count as
+    well; tablets: a row per table (`by`), generation and stream.
+    """
+    if form not in ("v1", "v2", "tablets"):
+        raise ValueError(form)
+    if form == "v1":
+        rows = rows.where("streams is not null")
+    return rows.where("generation_start_ms is not null").select(*(by or []), "generation_start_ms").distinct()
+
+
+def current(generations: DataFrame, done: DataFrame, visible_ms: int, by: list[str] | None = None) -> DataFrame:
+    """The generation to read now: the earliest that is neither expired nor, being closed, `done` (`generation_start_ms, done`).
+
+    That is where the steps from generation to generation end, taken at once. by: one for each table.
+    """
+    key = [*(by or []), "generation_start_ms"]
+    known = generations.join(done.select(*key, F.col("done").alias("__done")), key, "left")
+    passed = F.col("generation_end_ms").isNotNull() & (F.coalesce("__done", F.lit(False)) | (F.col("generation_end_ms") < visible_ms))
+    return known.where(~passed).groupBy(*(by or [])).agg(F.min_by(F.struct("generation_start_ms", "generation_end_ms"), "generation_start_ms").alias("g")).where("g is not null").select(*(by or []), "g.*")
+
+
 def streams_of(rows: DataFrame, form: str = "v2") -> DataFrame:
     """One row per stream of metadata in one of its forms.
 
@@ -58,10 +82,10 @@ def expired(generations: DataFrame, visible_ms: int) -> DataFrame:
     return generations.where(F.col("generation_end_ms").isNotNull() & (F.col("generation_end_ms") < visible_ms))
 
 
-def next_to_read(generations: DataFrame, after_ms: int, visible_ms: int) -> DataFrame:
-    """The generation to read after `after_ms`: the first that isn't expired."""
+def next_to_read(generations: DataFrame, after_ms: Column | int, visible_ms: int, by: list[str] | None = None) -> DataFrame:
+    """The generation to read after `after_ms`: the first that isn't expired. by: one for each table."""
     rest = generations.where((F.col("generation_start_ms") > after_ms) & (F.col("generation_end_ms").isNull() | (F.col("generation_end_ms") >= visible_ms)))
-    return rest.agg(F.min_by(F.struct("generation_start_ms", "generation_end_ms"), "generation_start_ms").alias("g")).where("g is not null").select("g.*")
+    return rest.groupBy(*(by or [])).agg(F.min_by(F.struct("generation_start_ms", "generation_end_ms"), "generation_start_ms").alias("g")).where("g is not null").select(*(by or []), "g.*")
 
 
 def same_mode(uses_tablets: dict[str, bool]) -> bool:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Native types and the Spark types that hold them.
@@ -191,6 +193,66 @@ def _base_type(name: str, t: Type, names: set[str], known: tuple[str, str] | Non
     raise SchemaConflict(f"{name}: logged as {t.text()}, but the base table has {b.text()}")
 
 
+INFERRED = "table_name string, file_id bigint, column_index int, column_name string, log_type string, base_type string, kind string, spark_type string, deleted int, deleted_elements int, problem string"
+
+
+def _inferred(group):
+    """One header, a few dozen rows."""
+    import pandas as pd
+
+    group = group.sort_values(["column_index", "name"]).drop_duplicates("name")
+    base = {r.name_: (r.kind, r.base) for r in group.rename(columns={"name": "name_"}).itertuples() if r.kind and r.base}
+    out, problem = LogSchema(), None
+    try:
+        out = infer(list(zip(group["name"], group["type"])), base)
+    except ValueError as e:  # an unknown type, or a contradiction that only a guess could resolve
+        problem = str(e)
+
+    def place(find, name: str) -> int | None:
+        try:
+            return find(name).index
+        except KeyError:
+            return None
+
+    rows = [(c.index, c.name, c.log_type.text(), c.base_type.text() if c.base_type else None, c.kind, c.log_type.spark(), place(out.deleted, c.name), place(out.deleted_elements, c.name), None) for c in out.columns] or [(None, None, None, None, None, None, None, None, problem)]
+    df = pd.DataFrame(rows, columns=["column_index", "column_name", "log_type", "base_type", "kind", "spark_type", "deleted", "deleted_elements", "problem"])
+    df.insert(0, "file_id", group["file_id"].iloc[0])
+    df.insert(0, "table_name", group["table_name"].iloc[0])
+    return df.astype({c: "Int64" for c in ("column_index", "deleted", "deleted_elements")})
+
+
+def inferred(headers: DataFrame) -> DataFrame:
+    """`INFERRED`: the schema of each log file, inferred from its header, with the places of the columns that tell of deletions.
+
+    A header is a small unit by nature. Names compare as in `drift`; of repeated columns the first counts. A header that can't be
+    understood gives one row with the problem. Headers without table or file, and columns without name or type, are left out.
+    """
+    from rillfold.operators.drift import norm_kind, norm_name
+
+    rows = headers.where("table_name is not null and file_id is not null and column_name is not null and cdc_log_data_type is not null").select(
+        "table_name", "file_id", "column_index", norm_name(F.col("column_name")).alias("name"), F.col("cdc_log_data_type").alias("type"), F.col("base_table_data_type").alias("base"), norm_kind(F.col("base_table_column_kind")).alias("kind")
+    )
+    return rows.distinct().groupBy("table_name", "file_id").applyInPandas(_inferred, INFERRED)
+
+
+def type_texts(spellings: DataFrame) -> DataFrame:
+    """`(spelling, text)` of a column of types, each read and written again; null where it can't be read."""
+
+    def run(frames):
+        for f in frames:
+            f = f.set_axis(["spelling"], axis=1)
+            yield f.assign(text=[_text(s) for s in f["spelling"]])
+
+    return spellings.mapInPandas(run, "spelling string, text string")
+
+
+def _text(s: str | None) -> str | None:
+    try:
+        return parse(s).text() if s is not None else None
+    except ValueError:
+        return None
+
+
 #: The columns that every log has.
 COMMON = [("cdc$stream_id", "BLOB"), ("cdc$time", "TIMEUUID"), ("cdc$batch_seq_no", "INT"), ("cdc$end_of_batch", "BOOLEAN"), ("cdc$operation", "TINYINT"), ("cdc$ttl", "BIGINT")]
 

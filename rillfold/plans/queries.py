@@ -12,7 +12,7 @@ from rillfold.functions import timeuuid as tu
 from rillfold.operators import apply, collections, drift, generations, ordered, replay, schema, tasks
 from rillfold.plans import ledger
 from rillfold.session import shared_dir, table
-from rillfold.sources import layout
+from rillfold.sources import catalog, layout
 from rillfold.sources import log as logs
 from rillfold.sources.log import IDENTITY
 from rillfold.streaming import feed
@@ -304,6 +304,109 @@ def tasks_cross_tables(spark, d):
     return tasks.tasks(table(spark, d, "cdc_streams"), [TABLE, "ks.t"]).select(tasks.task_key(F.col("table_name"), F.col("generation_ms"), F.col("vnode")).alias("task_id"), F.size("streams").cast("bigint").alias("n"))
 
 
+# Metadata of generations, in the forms in which it is kept.
+
+
+def _as_v2(spark, d) -> DataFrame:
+    """Several rows per generation, one for each vnode with its streams."""
+    return table(spark, d, "cdc_streams").groupBy("generation_start_ms", "vnode").agg(F.collect_set("stream_id").alias("streams")).drop("vnode")
+
+
+def _as_tablets(spark, d) -> DataFrame:
+    """A row per table, generation and stream, with its state: current, closed or opened."""
+    tables = F.explode(F.array(F.lit(TABLE), F.lit("ks.t"))).alias("table_name")
+    return table(spark, d, "cdc_streams").select(tables, "generation_start_ms", "stream_id", F.col("vnode")).withColumn("stream_state", F.when(F.col("table_name") == TABLE, F.col("vnode") % 3).otherwise(0)).drop("vnode")
+
+
+@_query("select distinct generation_start_ms, lower(hex(stream_id)) as stream_id from cdc_streams")
+def streams_v2(spark, d):
+    """Streams of each generation from rows with sets of them."""
+    return generations.streams_of(_as_v2(spark, d), generations.pick_form({"cdc_streams_descriptions_v2", "cdc_streams_descriptions"}, True)).select("generation_start_ms", _hex())
+
+
+@_query("select distinct generation_start_ms, lower(hex(stream_id)) as stream_id from cdc_streams")
+def streams_v1(spark, d):
+    """The same from the older form, a row per generation. Its streams are as many as the cluster has vnodes and shards."""
+    rows = table(spark, d, "cdc_streams").groupBy("generation_start_ms").agg(F.collect_set("stream_id").alias("streams"))
+    return generations.streams_of(rows, generations.pick_form({"cdc_streams_descriptions"}, False)).select("generation_start_ms", _hex())
+
+
+@_query("select 'ks.simple' as table_name, generation_start_ms, lower(hex(stream_id)) as stream_id from cdc_streams where vnode % 3 = 0 union select 'ks.t', generation_start_ms, lower(hex(stream_id)) from cdc_streams")
+def streams_of_tablets(spark, d):
+    """Current streams of each table that keeps its own."""
+    return generations.streams_of(_as_tablets(spark, d), "tablets").select("table_name", "generation_start_ms", _hex())
+
+
+@_query("select distinct 'v1' as form, generation_start_ms from cdc_streams union all select distinct 'v2', generation_start_ms from cdc_streams")
+def generation_timestamps(spark, d):
+    """The times of generations from both forms of metadata."""
+    v1 = table(spark, d, "cdc_streams").groupBy("generation_start_ms").agg(F.collect_set("stream_id").alias("streams"))
+    return generations.timestamps(v1, "v1").select(F.lit("v1").alias("form"), "generation_start_ms").unionByName(generations.timestamps(_as_v2(spark, d)).select(F.lit("v2").alias("form"), "generation_start_ms"))
+
+
+_TABLES = "(select 'ks.simple' as table_name, epoch_ms(date_trunc('day', ts)) as generation_start_ms from events union select 'ks.t', epoch_ms(date_trunc('week', ts)) from events)"
+
+
+def _per_table(spark, d) -> DataFrame:
+    """Generations of two tables, daily and weekly over the events."""
+    ts = lambda unit: F.unix_millis(F.date_trunc(unit, F.col("ts")).cast("timestamp")).alias("generation_start_ms")
+    e = table(spark, d, "events")
+    return e.select(F.lit(TABLE).alias("table_name"), ts("day")).unionByName(e.select(F.lit("ks.t").alias("table_name"), ts("week"))).distinct()
+
+
+@_query(f"select table_name, min(generation_start_ms) as generation_start_ms from {_TABLES} where generation_start_ms > 1704844800000 group by 1")
+def table_generation_after(spark, d):
+    """For each table the first of its generations after a time."""
+    return generations.first_after(generations.timestamps(_per_table(spark, d), "tablets", ["table_name"]), 1704844800000, ["table_name"])
+
+
+@_query(f"""with g as (select *, lead(generation_start_ms) over (partition by table_name order by generation_start_ms) as generation_end_ms from {_TABLES})
+    select table_name, min(generation_start_ms) as generation_start_ms, arg_min(generation_end_ms, generation_start_ms) as generation_end_ms from g where generation_start_ms > 1704153600000 and (generation_end_ms is null or generation_end_ms >= 1706745600000 - 1728000000) group by 1""")
+def table_generation_next(spark, d):
+    """For each table the generation to read next."""
+    return generations.next_to_read(generations.bounds(_per_table(spark, d), ["table_name"]), 1704153600000, generations.last_visible_ms(1706745600000, [1728000]), ["table_name"])
+
+
+@_query(f"""with {_DAYS}, done as (select epoch_ms(date_trunc('day', ts)) as generation_start_ms, bool_and(event_id is not null) as done from events where ts < '2024-01-12' group by 1)
+    select generation_start_ms, generation_end_ms from g left join done using (generation_start_ms) where generation_end_ms is null or not coalesce(done, false) and generation_end_ms >= 1706745600000 - 2592000000 order by 1 limit 1""")
+def generation_current(spark, d):
+    """Where the steps from one finished generation to the next have come."""
+    day = F.unix_millis(F.date_trunc("day", F.col("ts")).cast("timestamp"))
+    done = table(spark, d, "events").where("ts < '2024-01-12'").groupBy(day.alias("generation_start_ms")).agg(F.bool_and(F.col("event_id").isNotNull()).alias("done"))
+    return generations.current(generations.bounds(_days(spark, d)), done, generations.last_visible_ms(1706745600000, [2592000]))
+
+
+@_query("""with a as (select distinct table_name from change_schema union select 'zz.' || split_part(table_name, '.', 2) from change_schema union select table_name || '_x' from change_schema),
+      k as (select table_name, count(distinct file_id) % 5 <> 0 as cdc from change_schema group by 1)
+    select a.table_name, case when starts_with(a.table_name, 'zz.') then 'no keyspace zz' when k.cdc is null then 'no table ' || a.table_name when not k.cdc then a.table_name || ' keeps no log' end as problem from a left join k using (table_name)""")
+def catalog_check(spark, d):
+    """Which of the tables asked for can be read, and why not the others."""
+    h = table(spark, d, "change_schema").where("table_name is not null")
+    known = h.groupBy("table_name").agg((F.count_distinct("file_id") % 5 != 0).alias("cdc_enabled"))
+    names = F.explode(F.array(F.col("table_name"), F.concat(F.lit("zz."), F.substring_index("table_name", ".", -1)), F.concat("table_name", F.lit("_x"))))
+    return catalog.check(h.select("table_name").distinct().select(names.alias("table_name")), known)
+
+
+@_query("select distinct run_id, nullif((run_id % 7) * 3600, 0) as ttl_s from task_runs")
+def table_ttl(spark, d):
+    """How long changes are kept, from its text; 0 is for ever."""
+    return table(spark, d, "task_runs").select("run_id").distinct().select("run_id", catalog.ttl_of((F.col("run_id") % 7 * 3600).cast("string")).alias("ttl_s"))
+
+
+@_query("select distinct window_start_ms, window_start_ms + 90000 as seconds, window_start_ms + (window_start_ms // 1000 % 7) * 3600000 as hours, window_end_ms - 2 * 86400000 as days from task_runs")
+def timestamp_plus(spark, d):
+    """Moments moved by amounts of a unit."""
+    s = F.col("window_start_ms")
+    return table(spark, d, "task_runs").select("window_start_ms", tu.plus(s, 90, "seconds").alias("seconds"), tu.plus(s, tu.int_div(s, 1000) % 7, "hours").alias("hours"), tu.plus(F.col("window_end_ms"), -2, "days").alias("days")).distinct()
+
+
+@_query(f"""with {_L} select s as stream_id, {_TEXT} as cdc_time, q as batch_seq_no, lower(lpad(to_hex((pk::bigint + 4294967296) % 4294967296), 8, '0')) as pk, lower(lpad(to_hex((v::bigint + 4294967296) % 4294967296), 8, '0')) as v, lower(lpad(to_hex(ttl), 16, '0')) as ttl, u as time, lower(hex(encode({_OPS}[op + 1]))) as name, case when dv then '01' else '00' end as deleted from l""")
+def raw_bytes(spark, d):
+    """The bytes of a row's values."""
+    hexed = lambda c, kind: F.lower(F.hex(tx.raw(c, kind)))
+    return _rows(spark, d).select(_hex(), _time(), "batch_seq_no", hexed(F.col("pk"), "int").alias("pk"), hexed(F.col("v"), "int").alias("v"), hexed(F.col("ttl"), "bigint").alias("ttl"), hexed(tu.from_parts(F.col("ticks"), F.col("low")), "uuid").alias("time"), hexed(tx.operation_name(F.col("operation")), "string").alias("name"), hexed(F.col("deleted_v"), "boolean").alias("deleted"))
+
+
 _SAVED = f"saved as (select {_PARTS}, max(window_end_ms) as ws, max(window_end_ms) + 30000 as we from task_runs where status = 'succeeded' group by 1, 2, 3)"
 _WANTED = "wanted as (select distinct 'ks.simple' as table_name, generation_start_ms as generation_ms, vnode from cdc_streams)"
 
@@ -391,9 +494,38 @@ def backoff_delays(spark, d):
 
 @_query("""select distinct cdc_log_data_type as spelling, replace(replace(upper(cdc_log_data_type), ' ', ''), ',', ', ') as text from change_schema where cdc_log_data_type is not null""")
 def type_text(spark, d):
-    """Types as they are spelled, read and written again. Spellings are few; the types of a schema are driver metadata."""
-    spelled = [r[0] for r in table(spark, d, "change_schema").where("cdc_log_data_type is not null").select("cdc_log_data_type").distinct().collect()]
-    return spark.createDataFrame([(s, schema.parse(s).text()) for s in spelled], "spelling string, text string")
+    """Types as they are spelled, read and written again."""
+    return schema.type_texts(table(spark, d, "change_schema").where("cdc_log_data_type is not null").select("cdc_log_data_type").distinct())
+
+
+@_query("""with h as (select distinct table_name, file_id, column_index, lower(trim(column_name, '" ')) as name, replace(replace(upper(cdc_log_data_type), ' ', ''), ',', ', ') as type, replace(replace(upper(base_table_data_type), ' ', ''), ',', ', ') as base, case when upper(trim(base_table_column_kind)) in ('PARTITION_KEY', 'CLUSTERING_KEY', 'REGULAR') then upper(trim(base_table_column_kind)) end as kind from change_schema)
+    select h.table_name, h.file_id, h.column_index, h.name as column_name, h.type as log_type, case when not starts_with(h.name, 'cdc$') then case when y.name is not null then h.base else h.type end end as base_type, y.column_index as deleted_elements,
+      case when not starts_with(h.name, 'cdc$') then coalesce(case when h.kind in ('PARTITION_KEY', 'CLUSTERING_KEY') then h.kind end, 'REGULAR') end as kind, x.column_index as deleted from h left join h x on x.file_id = h.file_id and x.table_name = h.table_name and x.name = 'cdc$deleted_' || h.name left join h y on y.file_id = h.file_id and y.table_name = h.table_name and y.name = 'cdc$deleted_elements_' || h.name""")
+def schema_inferred(spark, d):
+    """The schema of each log file, inferred from its header: kinds, base types, and the places of the columns that say what was set to null or taken out."""
+    return schema.inferred(table(spark, d, "change_schema")).where("problem is null").select("table_name", "file_id", "column_index", "column_name", "log_type", "base_type", "kind", "deleted", "deleted_elements")
+
+
+@_query("""with h as (select distinct table_name, file_id, lower(trim(column_name, '" ')) as name, replace(replace(upper(base_table_data_type), ' ', ''), ',', ', ') as type from change_schema where base_table_data_type is not null),
+      f as (select *, regexp_matches(type, '^(FROZEN<)?(LIST|SET|MAP)<') as loose, case when starts_with(type, 'FROZEN<') then substr(type, 8, length(type) - 8) else type end as bare from h)
+    select table_name, file_id, name as column_name, bare as base_type, case when not loose then type when starts_with(bare, 'LIST<') then 'FROZEN<MAP<TIMEUUID, ' || substr(bare, 6) || '>' else 'FROZEN<' || bare || '>' end as log_type,
+      case when not loose then null when starts_with(bare, 'LIST<') then 'FROZEN<SET<TIMEUUID>>' when starts_with(bare, 'SET<') then 'FROZEN<' || bare || '>' when starts_with(bare, 'MAP<') then 'FROZEN<SET<' || split_part(substr(bare, 5), ',', 1) || '>>' else 'FROZEN<SET<SMALLINT>>' end as deleted_elements from f where not starts_with(bare, 'TUPLE')""")
+def schema_of_loose_tables(spark, d):
+    """Were all types of these base tables not frozen: the columns of their logs, and the base types inferred back from those."""
+    h = table(spark, d, "change_schema").where("base_table_data_type is not null and column_name is not null")
+    rows = h.select("table_name", "file_id", drift.norm_name(F.col("column_name")).alias("name"), F.regexp_replace(F.upper("base_table_data_type"), r"\s", "").alias("type")).where("type not like 'FROZEN<TUPLE%'").distinct()
+
+    def run(group):
+        import pandas as pd
+
+        bare = {n: schema.Type(t.name, t.args) for n, t in ((n, schema.parse(x)) for n, x in zip(group["name"], group["type"]))}
+        logged = schema.log_columns([(n, "REGULAR", t.text()) for n, t in sorted(bare.items())])
+        found = schema.infer(logged, {n: ("REGULAR", t.text()) for n, t in bare.items()})
+        types = dict(logged)
+        out = [(group["table_name"].iloc[0], group["file_id"].iloc[0], c.name, c.base_type.text(), c.log_type.text(), types.get(f"cdc$deleted_elements_{c.name}")) for c in found.base()]
+        return pd.DataFrame(out, columns=["table_name", "file_id", "column_name", "base_type", "log_type", "deleted_elements"])
+
+    return rows.groupBy("table_name", "file_id").applyInPandas(run, "table_name string, file_id bigint, column_name string, base_type string, log_type string, deleted_elements string")
 
 
 @_query("""select table_name, count(distinct lower(trim(column_name, '" '))) filter (not starts_with(lower(trim(column_name, '" ')), 'cdc$')) as n_base, count(distinct lower(trim(column_name, '" '))) filter (starts_with(lower(trim(column_name, '" ')), 'cdc$')) as n_meta from change_schema group by 1""")
