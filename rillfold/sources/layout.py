@@ -35,7 +35,7 @@ def write(changes: DataFrame, path: str, files_per_task: int = 1) -> None:
     sorted_rows.drop("__hi", "__lo", "__part").write.partitionBy("generation_ms", "vnode").parquet(path)
 
 
-def _state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Time, bytes and number of files of a table, by which a change shows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -51,8 +51,8 @@ def ingested(spark: SparkSession, log_path: str, streams_path: str) -> DataFrame
     """
     from rillfold.plans.ledger import with_task
 
-    state = _state_of(spark, log_path)
-    key = (spark.sparkContext.applicationId, log_path, state, streams_path, _state_of(spark, streams_path))
+    state = table_state(spark, log_path)
+    key = (spark.sparkContext.applicationId, log_path, state, streams_path, table_state(spark, streams_path))
     if key not in _KEPT:
         hi, lo = si.order_keys(si.hex_id(F.col("stream_id")))
         rows = distinct_rows(spark.read.parquet(log_path)).withColumns({"ms": tu.millis(F.col("ticks")), "hi": hi, "lo": lo})
