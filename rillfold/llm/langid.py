@@ -17,25 +17,63 @@ the machines; repeated documents give repeated results; empty tables give no row
 
 from __future__ import annotations
 
+import io
 import itertools
+import json
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillfold.llm import prose
+from rillfold.session import shared_dir
+from rillfold.sources.layout import table_state
+
+@dataclass(frozen=True)
+class Languages:
+    """Families of languages by code, from which the machines follow: one for each family, and one for each pair within one."""
+
+    families: tuple[tuple[str, tuple[str, ...]], ...]
+
+    @classmethod
+    def of(cls, families: dict[str, Iterable[str]]) -> Languages:
+        return cls(tuple((k, tuple(sorted(v))) for k, v in families.items()))
+
+    @classmethod
+    def read(cls, rows: DataFrame) -> Languages:
+        """From a table `lang_code, family`, a few dozen rows."""
+        out: dict[str, list[str]] = defaultdict(list)
+        for r in rows.where("lang_code is not null and family is not null").select("lang_code", "family").distinct().orderBy("family", "lang_code").collect():
+            out[r.family].append(r.lang_code)
+        return cls.of(out)
+
+    @cached_property
+    def all(self) -> list[str]:
+        return sorted(itertools.chain.from_iterable(g for _, g in self.families))
+
+    @cached_property
+    def pairs(self) -> list[tuple[str, str]]:
+        return [p for _, g in self.families for p in itertools.combinations(g, 2)]
+
+    @cached_property
+    def family_of(self) -> dict[str, int]:
+        return {x: k for k, (_, g) in enumerate(self.families) for x in g}
+
+    def check(self, codes: Iterable[str]) -> None:
+        """Codes of no family can't be told apart, so labels that name them are refused."""
+        if unknown := sorted(set(codes) - set(self.all)):
+            raise ValueError(f"languages without a family: {', '.join(unknown)}; give families that have them")
 
-FAMILIES = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr", "it", "pt"], "slavic": ["pl", "ru", "uk"], "han": ["ja", "zh"]}
-LANGUAGES = sorted(itertools.chain.from_iterable(FAMILIES.values()))
-PAIRS = [p for group in FAMILIES.values() for p in itertools.combinations(sorted(group), 2)]
-FAMILY_OF = {x: k for k, group in enumerate(FAMILIES.values()) for x in group}
+
+#: The families of the languages that the kept sentences are in.
+DEFAULT = Languages.of({"germanic": ["de", "en", "nl"], "romance": ["es", "fr", "it", "pt"], "slavic": ["pl", "ru", "uk"], "han": ["ja", "zh"]})
 
 BINS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -115,44 +153,63 @@ class Model:
 
     weights: np.ndarray
     slope: float = 3.0
+    languages: Languages = DEFAULT
 
     def predict(self, sentences: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and confidence of each sentence."""
         if not sentences:
             return [], np.zeros(0)
         s = scores(self.weights, sentences)
-        n = len(FAMILIES)
+        lang = self.languages
+        n = len(lang.families)
         family = s[:, :n].argmax(axis=1)
         ranked = np.sort(s[:, :n], axis=1)
-        sure = 1 / (1 + np.exp(-self.slope * (ranked[:, -1] - ranked[:, -2])))
+        sure = 1 / (1 + np.exp(-self.slope * (ranked[:, -1] - ranked[:, -2]))) if n > 1 else np.ones(len(sentences))
         # Votes of the machines within each family, ties by the sum of their margins.
-        votes = np.full((len(sentences), len(LANGUAGES)), -1e9, dtype=np.float64)
+        votes = np.full((len(sentences), len(lang.all)), -1e9, dtype=np.float64)
         least = {}
-        for k, group in enumerate(FAMILIES.values()):
+        for k, (_, group) in enumerate(lang.families):
             for a in group:
                 total = np.zeros(len(sentences))
                 low = np.full(len(sentences), np.inf)
-                for j, (x, y) in enumerate(PAIRS):
+                for j, (x, y) in enumerate(lang.pairs):
                     if a in (x, y):
                         v = s[:, n + j] * (1 if a == x else -1)
                         total += np.sign(v) + np.tanh(v) / 100
                         low = np.minimum(low, v)
-                i = LANGUAGES.index(a)
+                i = lang.all.index(a)
                 votes[:, i] = np.where(family == k, total, -1e9)
                 least[i] = low
         best = votes.argmax(axis=1)
-        within = np.array([least[i] for i in range(len(LANGUAGES))])[best, np.arange(len(sentences))]
-        return [LANGUAGES[i] for i in best], sure / (1 + np.exp(-self.slope * 2 * within))
+        within = np.array([least[i] for i in range(len(lang.all))])[best, np.arange(len(sentences))]
+        return [lang.all[i] for i in best], sure / (1 + np.exp(-self.slope * 2 * np.minimum(within, 1e3)))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez_compressed(out, weights=self.weights, slope=self.slope, families=json.dumps(self.languages.families))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Model:
+        z = np.load(io.BytesIO(data))
+        return cls(z["weights"], float(z["slope"]), Languages(tuple((k, tuple(g)) for k, g in json.loads(str(z["families"])))))
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        spark.createDataFrame([(bytearray(self.to_bytes()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Model:
+        return cls.from_bytes(bytes(spark.read.parquet(folder).first()[0]))
 
 
-def _fit(sentences: list[str], labels: list[str], epochs: int = 6, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> np.ndarray:
+def _fit(sentences: list[str], labels: list[str], lang: Languages, epochs: int = 6, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> np.ndarray:
     """All machines at once, squared hinge loss, by AdaGrad over batches."""
-    n, k = len(FAMILIES), len(FAMILIES) + len(PAIRS)
+    n, k = len(lang.families), len(lang.families) + len(lang.pairs)
     target = np.zeros((len(sentences), k), dtype=np.float32)
-    family = np.array([FAMILY_OF[x] for x in labels])
+    family = np.array([lang.family_of[x] for x in labels])
     target[:, :n] = np.where(family[:, None] == np.arange(n)[None, :], 1, -1)
     names = np.array(labels)
-    for j, (a, b) in enumerate(PAIRS):
+    for j, (a, b) in enumerate(lang.pairs):
         target[names == a, n + j], target[names == b, n + j] = 1, -1
     # Languages with fewer sentences weigh as much as the others.
     count = {x: (names == x).sum() for x in set(labels)}
@@ -181,51 +238,52 @@ def _fit(sentences: list[str], labels: list[str], epochs: int = 6, batch: int =
     return w
 
 
-def train(labelled: list[tuple[int, str, str]], seed: int = 3) -> Model:
+def train(labelled: list[tuple[int, str, str]], seed: int = 3, lang: Languages = DEFAULT) -> Model:
     """A model from `(doc_id, language, text)` rows; a label may be wrong, and a text may mix languages."""
     by_language: dict[str, list[tuple[int, str]]] = defaultdict(list)
     for doc, language, text in sorted(labelled, key=lambda r: (r[0], r[1], r[2] or "")):
-        if language in FAMILY_OF:
+        if language in lang.family_of:
             by_language[language] += [(doc, s) for _, _, s in prose.sentences(text) if prose.letters(s) >= OWN_LETTERS]
     rng = np.random.default_rng(seed)
     rows: list[tuple[int, str, str]] = []
     for language, own in sorted(by_language.items()):
         chosen = rng.permutation(len(own))[:TRAIN_SENTENCES]
         rows += [(own[i][0], language, own[i][1]) for i in sorted(chosen)]
-    seeds = [(-1, x, s) for x, text in SEEDS.items() for s in prose._SENTENCE.split(text) if s]
+    seeds = [(-1, x, s) for x, text in SEEDS.items() if x in lang.family_of for s in prose._SENTENCE.split(text) if s]
     rows += seeds
     # Exports often lack marks, so every marked sentence is also learned without.
     rows += [(d, x, plain(s)) for d, x, s in rows if plain(s) != s]
-    first = Model(_fit([r[2] for r in rows], [r[1] for r in rows], epochs=3))
+    first = Model(_fit([r[2] for r in rows], [r[1] for r in rows], lang, epochs=3), languages=lang)
     said, _ = first.predict([r[2] for r in rows])
     agree: dict[int, list[bool]] = defaultdict(list)
     for (doc, x, _), p in zip(rows, said):
         agree[doc].append(x == p)
     kept = [(d, x, s) for (d, x, s), p in zip(rows, said) if d < 0 or (x == p and sum(agree[d]) * 2 >= len(agree[d]))]
     held = rng.random(len(kept)) < 0.15
-    model = Model(_fit([r[2] for r, h in zip(kept, held) if not h], [r[1] for r, h in zip(kept, held) if not h]))
+    model = Model(_fit([r[2] for r, h in zip(kept, held) if not h], [r[1] for r, h in zip(kept, held) if not h], lang), languages=lang)
     test = [r for r, h in zip(kept, held) if h]
-    return Model(model.weights, _slope(model, test)) if len(test) > 200 else model
+    return Model(model.weights, _slope(model, test), lang) if len(test) > 200 else model
 
 
 def _slope(model: Model, test: list[tuple[int, str, str]]) -> float:
     """The slope under which held-out sentences are least surprising."""
     best = (np.inf, model.slope)
     for slope in (1.0, 1.5, 2.0, 3.0, 4.0, 6.0):
-        said, sure = Model(model.weights, slope).predict([r[2] for r in test])
+        said, sure = Model(model.weights, slope, model.languages).predict([r[2] for r in test])
         right = np.array([p == r[1] for p, r in zip(said, test)])
         p = np.clip(np.where(right, sure, 1 - sure), 1e-3, 1)
         best = min(best, (float(-np.log(p).mean()), slope))
     return best[1]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train_docs: int) -> list[tuple[int, str, str]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, train_docs: int, lang: Languages = DEFAULT) -> list[tuple[int, str, str]]:
     """About `train_docs` documents of each language by its label, none longer than `TRAIN_CHARS`, chosen by a hash of the id.
 
     Rates come from counts over all documents, so the choice is a filter, without order or limit. labels: `label,
     lang_code`, a fixed table of spellings.
     """
     names = {r.label: r.lang_code for r in labels.where("label is not null and lang_code is not null").collect()}
+    lang.check(names.values())
     known = docs.where(F.col("lang").isin(list(names)) & F.coalesce(F.length("text").between(MIN_LETTERS, TRAIN_CHARS), F.lit(False)))
     per_label = known.groupBy("lang").count().collect()
     total: dict[str, int] = defaultdict(int)
@@ -248,7 +306,7 @@ def _apart(language: str, main: str):
 
 def _brings_in(sentence: str, letters: int, language: str, main: str) -> bool:
     """Whether one sure sentence is enough for its language to count beside the main one. Chinese and Japanese say more in a letter."""
-    least = OWN_LETTERS if FAMILY_OF[language] == FAMILY_OF[main] == FAMILY_OF["zh"] else OTHER_LETTERS
+    least = OWN_LETTERS if {language, main} <= {"ja", "zh"} else OTHER_LETTERS
     return letters >= least or bool((own := _apart(language, main)) and len(own.findall(sentence)) >= SCRIPT_LETTERS)
 
 
@@ -318,18 +376,33 @@ def _detected(model_bytes):
     return run
 
 
-def detect(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, model: Model | None = None) -> DataFrame:
+_TRAINED: dict[tuple, str] = {}
+
+
+def model_for(docs: DataFrame, labels: DataFrame, path: str, train_docs: int = TRAIN_DOCS, lang: Languages = DEFAULT) -> Model:
+    """The model for the documents at `path`: trained once per application and state of that table, and kept in the shared folder."""
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, path, table_state(spark, path), train_docs, lang)
+    if key not in _TRAINED:
+        where = shared_dir(spark, "languages")
+        train(labelled_sample(docs, labels, train_docs, lang), lang=lang).save(spark, where)
+        _TRAINED[key] = where
+    return Model.load(spark, _TRAINED[key])
+
+
+def detect(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, model: Model | None = None, lang: Languages = DEFAULT) -> DataFrame:
     """`FOUND` for each row of `docs(doc_id, text, lang)`: its languages, and its segments in order."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    model = model or train(labelled_sample(docs, labels, train_docs))
+    model = model or train(labelled_sample(docs, labels, train_docs, lang), lang=lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a matrix of fixed size
     return docs.mapInArrow(_detected(shared), FOUND)
 
 
-def wrong_labels(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, model: Model | None = None) -> DataFrame:
+def wrong_labels(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, model: Model | None = None, lang: Languages = DEFAULT) -> DataFrame:
     """`(doc_id, language)`: the languages of each document whose label is missing or wrong, or that mixes languages."""
     names = {r.label: r.lang_code for r in labels.where("label is not null and lang_code is not null").collect()}
+    (model.languages if model else lang).check(names.values())
     code = F.coalesce(*[F.when(F.col("lang").isin([k for k, v in names.items() if v == x]), F.lit(x)) for x in sorted(set(names.values()))], F.lit(None).cast("string")) if names else F.lit(None).cast("string")
-    found = detect(docs, labels, train_docs, model).where(F.size("languages") > 0)
+    found = detect(docs, labels, train_docs, model, lang).where(F.size("languages") > 0)
     case = code.isNull() | (F.size("languages") > 1) | (F.col("languages")[0]["language"] != code)
     return found.where(case).select("doc_id", F.explode("languages.language").alias("language")).distinct()

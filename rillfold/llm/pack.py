@@ -2,10 +2,10 @@
 
 Each document becomes a point: the sum of hashed directions of its tokens in a few dimensions. Its place
 on the Hilbert curve through that space orders the documents so that similar ones are neighbours. The order
-is a range partitioning by (budget, curve key), and each partition packs neighbouring documents: a window
-of the curve is packed best fit by falling size, and containers that still have room stay open for the
-next window, so what is left over at the end of a partition is a few containers, however many documents
-there are. No step depends on groups: a third of all documents at one point of the curve are cut
+is a range partitioning by (budget, curve key), and each partition packs neighbouring documents: a stretch
+of the curve that fills `SPAN` containers is packed best fit by falling size, and the `OPEN` emptiest of its containers stay open for the
+next stretch. So what shares a container lies within a few stretches of the curve, and what is left over at the end of a
+partition is a few containers, however many documents there are. No step depends on groups: a third of all documents at one point of the curve are cut
 by document id like any others.
 
 Texts are tokenized where they lie; only id, size and curve key travel. An item larger than the capacity
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from rillfold.llm.tokens import TOKENIZER_DIR, encode, encoder
 
 DIMENSIONS, BITS = 3, 10
-#: Documents packed together, and containers kept open between windows.
-WINDOW, OPEN = 8192, 2048
+#: Containers that a stretch packed together fills, and those kept open for the next. Longer stretches fill a little better, of documents less alike.
+SPAN, OPEN = 128, 32
 
 PLACED = "budget_id int, container_id bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint"
 
@@ -138,7 +138,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
     schema = pa.schema([("budget_id", pa.int32()), ("container_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64())])
     packer, budget, window = None, None, []
-    used = base
+    used, total = base, 0
 
     def flush() -> pa.RecordBatch:
         rows = [(budget, *r) for r in packer.place(window)]
@@ -152,7 +152,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if window:
                     yield flush()
                 used = packer.next if packer else base
-                packer, budget = Packer(capacity, used), b
+                packer, budget, total = Packer(capacity, used), b, 0
             full, rest = divmod(size, capacity)
             if full and rest == 0 and full == 1:
                 window.append((size, doc, 0, 0))
@@ -162,8 +162,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     window.append((rest, doc, full, full * capacity))
             else:
                 window.append((size, doc, 0, 0))
-            if len(window) >= WINDOW:
+            total += size
+            if total >= SPAN * capacity:
                 yield flush()
+                total = 0
     if window:
         yield flush()
 
@@ -196,3 +198,17 @@ def _arranged(items: DataFrame, per_partition: int) -> DataFrame:
     ranged = items.where("size > 0").repartitionByRange(n, "budget_id", "curve", "doc_id").sortWithinPartitions("budget_id", "curve", "doc_id")
     nothing = items.where("size = 0").select("budget_id", F.lit(None).cast("bigint").alias("container_id"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first_token"), F.lit(0).cast("bigint").alias("n_tokens"))
     return ranged.select("budget_id", "capacity", "doc_id", "size").mapInArrow(_packed, PLACED).unionByName(nothing)
+
+
+def fill(placed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What can be said of `pack`'s rows without knowing the texts, a row for each budget; sums by container and by document, both small groups.
+
+    little_unused: at most a twentieth of the containers more than their tokens would fill without gaps, and two that the ends leave open.
+    """
+    caps = budgets.select("budget_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    used = placed.where("container_id is not null")
+    by_container = used.groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id").agg(F.max("n").alias("most"), F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("containers"))
+    by_doc = used.groupBy("budget_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    docs = by_doc.join(F.broadcast(caps), "budget_id").groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and((F.col("n") == F.col("end")) & (F.col("pieces") == F.col("last") + 1)).alias("all_whole"), F.bool_and((F.col("pieces") == 1) | (F.col("n") > F.col("capacity"))).alias("cut_only_if_must"))
+    out = caps.join(by_container, "budget_id", "left").join(docs, "budget_id", "left")
+    return out.select("budget_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), (F.col("most") <= F.col("capacity")).alias("none_overfull"), "all_whole", "cut_only_if_must", (F.col("containers") <= F.ceil(F.col("tokens") / F.col("capacity") * 1.05) + 2).alias("little_unused"))

@@ -18,6 +18,7 @@ surrogates can't occur in Spark strings. Repeated rows give repeated results.
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
 import os
 from collections.abc import Iterator
@@ -167,13 +168,18 @@ def _batches(name: str, folder: str, unsplit: int):
 
 
 def token_ids(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, unsplit: int = UNSPLIT_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
-    """`(doc_id bigint, ids array<int>)` for each row of `docs(doc_id, text)`."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """`(doc_id bigint, ids array<int>)` for each row of `docs(doc_id, text)`.
+
+    A column `n_chars`, if there is one, tells which texts are long without reading them; one that is wrong or null costs
+    time, not exactness.
+    """
+    size = F.col("n_chars") if "n_chars" in docs.columns else F.length("text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", size.alias("__size"))
     schema = "doc_id bigint, ids array<int>"
-    long = F.coalesce(F.length("text") > part_chars, F.lit(False))
+    long = F.coalesce(F.col("__size") > part_chars, F.lit(False))
     if docs.where(long).limit(1).count() == 0:
-        return docs.mapInArrow(_batches(tokenizer, folder, unsplit), schema)
-    short = docs.where(~long).mapInArrow(_batches(tokenizer, folder, unsplit), schema)
+        return docs.drop("__size").mapInArrow(_batches(tokenizer, folder, unsplit), schema)
+    short = docs.where(~long).drop("__size").mapInArrow(_batches(tokenizer, folder, unsplit), schema)
     return short.unionByName(_in_parts(docs.where(long), tokenizer, folder, unsplit, part_chars))
 
 
@@ -214,3 +220,21 @@ def _in_parts(docs: DataFrame, name: str, folder: str, unsplit: int, part_chars:
     cuts = numbered.mapInArrow(cut, "row bigint, doc_id bigint, no int, stretch int, text string").repartition("row", "no")
     encoded = cuts.mapInArrow(encode_parts, "row bigint, doc_id bigint, no int, stretch int, ids array<int>")
     return encoded.groupBy("row").applyInArrow(put_together, "doc_id bigint, ids array<int>")
+
+
+def compared(docs: DataFrame, ids: DataFrame, tokenizer: str, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """`(doc_id, text_md5, same)`: the digest of the text that the ids stand for, and whether the tokenizer gives the same ids for the text as a whole; both null for a null text.
+
+    Texts and ids meet by `doc_id`, which must be unique.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, folder)
+        for batch in batches:
+            doc, text, found = (c.to_pylist() for c in batch.columns)
+            digest = [hashlib.md5(enc.decode_bytes(i or [])).hexdigest() if t is not None else None for t, i in zip(text, found)]
+            same = [enc.encode_ordinary(t) == i if t is not None else None for t, i in zip(text, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "text_md5", "same"])
+
+    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left")
+    return both.select("doc_id", "text", "ids").mapInArrow(run, "doc_id bigint, text_md5 string, same boolean")

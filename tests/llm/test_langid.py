@@ -120,3 +120,20 @@ def test_short_chinese_subject(spark, model):
     docs = spark.createDataFrame([(1, f"修正了参数的错误顺序。\n\n{pt}", "pt")], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([("pt", "pt")], "lang_code string, label string")
     assert {r.language for r in li.wrong_labels(docs, labels, model=model).collect()} == {"pt", "zh"}
+
+
+def test_families_from_a_table_and_a_model_kept(spark, tmp_path):
+    rows = spark.createDataFrame([("de", "west"), ("en", "west"), ("ru", "east"), ("ru", "east"), (None, "east")], "lang_code string, family string")
+    lang = li.Languages.read(rows)
+    assert lang.all == ["de", "en", "ru"] and lang.pairs == [("de", "en")]
+    model = li.train([], lang=lang)
+    model.save(spark, str(tmp_path / "model"))
+    again = li.Model.load(spark, str(tmp_path / "model"))
+    some = ["Diese Funktion wurde nicht geprüft.", "This function was never checked.", "Эта функция не проверялась."]
+    assert again.predict(some)[0] == model.predict(some)[0] == ["de", "en", "ru"] and again.languages == lang
+    labels = spark.createDataFrame([("deutsch", "de"), ("suomi", "fi")], "label string, lang_code string")
+    docs = spark.createDataFrame([(1, "x", "deutsch")], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="fi"):
+        li.wrong_labels(docs, labels)
+    with pytest.raises(ValueError, match="fi"):
+        li.labelled_sample(docs, labels, 10)

@@ -29,6 +29,43 @@ def test_packer_fits_and_wastes_little():
     assert sum(sizes) / (100 * len(load)) > 0.98
 
 
+def test_what_shares_a_container_lies_near_on_the_curve():
+    """Fill, and the distance along the curve within containers against that of any two documents: packed along the curve, and all at once."""
+    rng = random.Random(5)
+    sizes = [min(900, int(rng.lognormvariate(4.5, 1)) + 1) for _ in range(20000)]
+
+    def packed(span):
+        p, rows, window, total = pk.Packer(1000, 0), [], [], 0
+        for i, s in enumerate(sizes):
+            window.append((s, i, 0, 0))
+            total += s
+            if total >= span * 1000:
+                rows += p.place(window)
+                window, total = [], 0
+        rows += p.place(window)
+        members = {}
+        for container, i, _, _, _ in rows:
+            members.setdefault(container, []).append(i)
+        apart = [abs(a - b) for m in members.values() for a, b in zip(m, m[1:])]
+        return sum(sizes) / (1000 * len(members)), sum(apart) / len(apart) / (len(sizes) / 3)
+
+    fill, apart = packed(pk.SPAN)
+    best, random_apart = packed(10**9)
+    assert fill > 0.98 and best - fill < 0.02
+    assert apart < 0.1 and random_apart > 2 * apart
+
+
+def test_documents_of_one_kind_share_containers(spark):
+    words = [["alpha beta gamma ", "delta "], ["übung größe straße ", "fünf "], ["文件 测试 修复 ", "代码 "]]
+    texts = [(i, (words[i % 3][0] * (i % 5 + 1)) + words[i % 3][1]) for i in range(1200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = pk.pack(docs, spark.createDataFrame([(1, "byte_bpe_50k", 100)], "budget_id int, tokenizer string, capacity_tokens int")).collect()
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r.container_id, set()).add(r.doc_id % 3)
+    assert sum(len(k) == 1 for k in kinds.values()) > 0.5 * len(kinds)  # at random next to none would be
+
+
 def test_rows(spark):
     texts = [None, "", "word " * 700, "a", "a", " ", "x y z " * 10, "b" * 500] + [f"commit {i} " * (i % 40 + 1) for i in range(300)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, budget_id int")
@@ -55,6 +92,8 @@ def test_rows(spark):
     for r in rows:
         if r.container_id is not None:
             assert seen.setdefault(r.container_id, r.budget_id) == r.budget_id
+    said = {r.budget_id: tuple(r)[1:] for r in pk.fill(pk.pack(docs, budgets, per_partition=200), budgets.where("budget_id < 3")).collect()}
+    assert said == {b: (len(texts) - 2, True, True, True, True) for b in (1, 2)}
     assert pk.pack(docs.limit(0), budgets).count() == 0 and pk.pack(docs, budgets.limit(0)).count() == 0
     same = spark.createDataFrame([(7, "same text")] * 50, "doc_id bigint, text string")
     assert pk.pack(same, budgets).where("budget_id = 1").count() == 50
