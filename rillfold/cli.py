@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillfold.folder import SharedFolder
 from rillfold.functions import streamid as si
 from rillfold.functions import text as tx
 from rillfold.functions import timeuuid as tu
-from rillfold.operators import apply
+from rillfold.operators import apply, schema
+from rillfold.sources.catalog import TableInfo, TableName, problems
 from rillfold.sources.log import distinct_rows
 
 
@@ -24,9 +27,36 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("-d", "--destination", help="folder for the tables")
     p.add_argument("--partition-key", default="pk")
     p.add_argument("--clustering-key", default="ck")
+    p.add_argument("--schema", type=argparse.FileType(), help="JSON of the base tables, {table: {column: [kind, type]}}, instead of the keys above; it also tells lists from maps")
     return p
 
 
+def keyed_of(rows: DataFrame, base: dict[str, tuple[str, str]] | None, partition: str, clustering: str) -> apply.Keyed:
+    """The columns of a log's base table. Without its schema an array is a set, a map a map, a struct a type with fields."""
+    kind = {n: k.upper() for n, (k, _) in (base or {}).items()}
+    keys = ([n for n, k in kind.items() if k == "PARTITION_KEY"], [n for n, k in kind.items() if k == "CLUSTERING_KEY"]) if base else (partition.split(","), [x for x in clustering.split(",") if x])
+    loose, plain = [], []
+    for f in rows.schema:
+        if f"deleted_{f.name}" not in rows.columns:
+            continue
+        if f"deleted_elements_{f.name}" not in rows.columns:
+            plain.append(f.name)
+        elif base and f.name in base and schema.parse(base[f.name][1]).name == "LIST":
+            loose.append((f.name, "list"))
+        else:
+            loose.append((f.name, {"array": "set", "map": "map"}.get(f.dataType.typeName(), "udt")))
+    return apply.Keyed(tuple(keys[0]), tuple(keys[1]), tuple(plain), tuple(loose))
+
+
+def readable(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Refuse tables whose log isn't there, before anything is read."""
+    at = SharedFolder(spark, a.source)
+    names = {n.removesuffix(".parquet") for n in at.names("")}
+    known = [TableInfo(TableName.parse(n), True) for n in names if n.count(".") == 1]
+    if bad := problems([TableName(a.keyspace, t) for t in a.tables], known):
+        raise SystemExit("\n".join(bad))
+
+
 def pretty(rows: DataFrame, width: int = 24) -> DataFrame:
     """Each log row as one line of text: stream, time, operation, key and value columns."""
     known = {"stream_id", "ticks", "low", "batch_seq_no", "operation", "end_of_batch", "ttl"}
@@ -41,16 +71,20 @@ def pretty(rows: DataFrame, width: int = 24) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     a = arguments().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if a.command == "apply" and not a.destination:
+        raise SystemExit("apply needs a destination")
+    readable(spark, a)
+    base = json.load(a.schema) if a.schema else {}
     for name in a.tables:
         rows = distinct_rows(spark.read.parquet(f"{a.source}/{a.keyspace}.{name}.parquet"))
+        out = f"{a.destination}/{a.keyspace}.{name}"
         if a.command == "print":
-            pretty(rows.orderBy("ticks", "batch_seq_no")).write.mode("overwrite").text(f"{a.destination}/{a.keyspace}.{name}.txt") if a.destination else pretty(rows).show(50, truncate=False)
+            pretty(rows.orderBy("ticks", "batch_seq_no")).write.mode("overwrite").text(f"{out}.txt") if a.destination else pretty(rows).show(50, truncate=False)
             continue
-        keys = (tuple(a.partition_key.split(",")), tuple(x for x in a.clustering_key.split(",") if x))
-        regular = tuple(c for c in rows.columns if f"deleted_{c}" in rows.columns)
-        if not a.destination:
-            raise SystemExit("apply needs a destination")
-        apply.state(rows, apply.Keyed(*keys, regular), a.mode).write.mode("overwrite").parquet(f"{a.destination}/{a.keyspace}.{name}.parquet")
+        keyed = keyed_of(rows, base.get(name), a.partition_key, a.clustering_key)
+        if a.mode == "preimage":
+            apply.image_mismatches(rows, keyed).write.mode("overwrite").parquet(f"{out}.mismatches.parquet")
+        apply.state(rows, keyed, a.mode).write.mode("overwrite").parquet(f"{out}.parquet")
 
 
 if __name__ == "__main__":

@@ -20,7 +20,7 @@ class SharedFolder:
         self._gateway = spark._sc._gateway
 
     def path(self, name: str):
-        return self._path(f"{self.folder}/{name}")
+        return self._path(f"{self.folder}/{name}" if name else self.folder)
 
     def names(self, name: str) -> list[str]:
         """What lies in a folder, but for hidden files."""

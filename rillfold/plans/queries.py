@@ -681,15 +681,14 @@ def orphan_images(spark, d):
 @_query("""with k as (select ("cdc$operation")::int as operation, ((('0x' || substr(replace(replace(replace(lower("cdc$time"), '-', ''), '{', ''), '}', ''), 14, 3) || substr(replace(replace(replace(lower("cdc$time"), '-', ''), '{', ''), '}', ''), 9, 4) || substr(replace(replace(replace(lower("cdc$time"), '-', ''), '{', ''), '}', ''), 1, 8))::bigint - 122192928000000000) // 10000) as ms from simple_scylla_cdc_log)
     select ms // 3600000 * 3600000 as window_start_ms, operation, count(*) as n from k group by 1, 2""")
 def stream_window_counts(spark, d):
-    """A stream of delivered copies, counted by hour and operation."""
-    counts = feed.window_counts(feed.stream(spark, f"{d}/{LOG}.parquet"), 3_600_000)
-    out = feed.to_folder(counts, shared_dir(spark, "window-counts"), "update")
-    return feed.latest(out, ["window_start_ms", "operation"], "n")
+    """A stream of delivered copies, counted by hour and operation, two days of arrivals to a micro-batch; late copies count as well."""
+    out, _ = feed.run_by_arrival(spark, f"{d}/{LOG}.parquet", shared_dir(spark, "window-counts"), lambda log: feed.window_counts(log, 3_600_000), "update", 2 * 86400)
+    return feed.totals(out.unionByName(feed.unarrived_counts(table(spark, d, LOG), 3_600_000)))
 
 
 @_query(f"""with {_L} select a.s as stream_id, a.ticks, a.q as start_seq, a.pk, a.ck::bigint as lo, b.ck::bigint as hi, a.op as l_op, b.op as r_op
     from l a join l b on a.pk = b.pk and a.s = b.s and a.u = b.u and b.q = a.q + 1 where a.op in (5, 6) and b.op in (7, 8)""")
 def stream_range_pairs(spark, d):
-    """A stream of range bounds, paired as they arrive."""
-    out = feed.to_folder(feed.range_pairs(feed.stream(spark, f"{d}/{LOG}.parquet")), shared_dir(spark, "range-pairs"), "update")
+    """A stream of range bounds, paired as they arrive, two days of arrivals to a micro-batch."""
+    out, _ = feed.run_by_arrival(spark, f"{d}/{LOG}.parquet", shared_dir(spark, "range-pairs"), feed.range_pairs, "update", 2 * 86400)
     return out.select(_hex(), "ticks", "start_seq", "pk", "lo", "hi", "l_op", "r_op").distinct()

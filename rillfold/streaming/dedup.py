@@ -60,7 +60,7 @@ class DedupRun:
 
 
 @contextlib.contextmanager
-def _conf(spark: SparkSession, **pairs: str):
+def settings(spark: SparkSession, **pairs: str):
     """Session settings for the length of a streaming run."""
     old = {k: spark.conf.get(k, None) for k in pairs}
     for k, v in pairs.items():
@@ -135,8 +135,8 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
         at.make(name)
     last = at.table("runs", RUNS).orderBy(F.col("run").desc()).first()
     broken = bool(at.names("feed"))
-    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.minBatchesToRetain": "2"}
-    with _conf(spark, **settings):
+    conf = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.minBatchesToRetain": "2"}
+    with settings(spark, **conf):
         _lay_out(spark, path, at, period_s or delay_s, max_files)
         if not (broken or at.names("arrived")):
             return DedupRun(at.folder, last["run"] if last else -1, 0, 0, 0)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from rillfold.folder import SharedFolder
+from rillfold.functions import streamid as si
 from rillfold.functions import timeuuid as tu
+from rillfold.functions.text import OPERATIONS
 from rillfold.operators import apply, collections
-from rillfold.sources.log import identified
-from rillfold.streaming.dedup import _pattern
+from rillfold.sources.log import identified, micros_of
+from rillfold.streaming.dedup import LAST, STATE_STORE, _pattern, settings
 
 
 def stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -41,11 +44,68 @@ def to_folder(df: DataFrame, folder: str, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-def window_counts(log: DataFrame, size_ms: int, delay: str = "30 seconds") -> DataFrame:
-    """Delivered copies per operation and tumbling window of event time, late copies included while the window is open."""
-    rows = identified(log, F.col("`cdc$operation`").cast("int").alias("operation")).withColumn("at", F.timestamp_micros(tu.micros(F.col("ticks"))))
-    counted = rows.withWatermark("at", delay).groupBy(F.window("at", f"{size_ms} milliseconds").alias("w"), "operation").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.unix_millis("w.start").alias("window_start_ms"), "operation", "n")
+def run_by_arrival(spark: SparkSession, path: str, folder: str, make: Callable[[DataFrame], DataFrame], mode: str, period_s: int) -> tuple[DataFrame, int]:
+    """Run a stream over the log at `path`, a micro-batch for each period of arrival, in order; a run that broke off goes on where it stopped.
+
+    The log is laid out by period first, in one pass without a shuffle; rows without arrival time come last. Returns what was written, with `batch`, and how many rows the watermark dropped.
+    """
+    at = SharedFolder(spark, folder)
+    at.make("feed")
+    log = spark.read.parquet(path)
+    if at.text("laid-out") is None:
+        period = F.coalesce(tu.int_div(micros_of(F.col("received_at")), period_s * 1_000_000), F.lit(LAST))
+        log.withColumn("rillfold_period", period).write.mode("overwrite").partitionBy("rillfold_period").parquet(f"{folder}/arrived")
+        at.publish("laid-out", "")
+    counted = make(spark.readStream.schema(log.schema).parquet(f"{folder}/feed/*"))
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    with settings(spark, **{"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE}):
+        query = counted.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(save).start()
+        try:
+            query.processAllAvailable()
+            for p in sorted(at.names("arrived"), key=lambda x: int(x.split("=")[1])):
+                at.move(f"arrived/{p}", f"feed/{p.split('=')[1]}")
+                query.processAllAvailable()
+        finally:
+            query.stop()
+    if query.exception():
+        raise query.exception()
+    lost = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    schema = T.StructType([*counted.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{folder}/out") if at.names("out") else spark.createDataFrame([], schema), lost
+
+
+def window_counts(log: DataFrame, size_ms: int, delay_s: int = 30) -> DataFrame:
+    """Delivered copies per operation and tumbling window of event time, in parts: `(window_start_ms, operation, part_ms, n)`.
+
+    A copy counts at its event, but not earlier than `delay_s` before it arrived: a later one goes to a part of its own, so the watermark drops none
+    as long as batches come in order of arrival, and each part's state ends behind it. `totals` adds up the parts of a window.
+    Copies without arrival time have no place in that order; `unarrived_counts` counts them.
+    """
+    event = tu.micros(F.col("ticks"))
+    rows = _by_window(log.where("received_at is not null"), size_ms)
+    horizon = F.least(F.greatest(event, F.col("arrived") - F.lit(delay_s * 1_000_000)), F.col("arrived"))
+    timed = rows.withColumn("at", F.timestamp_micros(horizon)).withWatermark("at", f"{delay_s + 1} seconds")
+    counted = timed.groupBy(F.window("at", f"{size_ms} milliseconds").alias("w"), "window_start_ms", "operation").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("window_start_ms", "operation", F.unix_millis("w.start").alias("part_ms"), "n")
+
+
+def _by_window(log: DataFrame, size_ms: int) -> DataFrame:
+    rows = identified(log, F.col("`cdc$operation`").cast("int").alias("operation"), micros_of(F.col("received_at")).alias("arrived"))
+    return rows.withColumn("window_start_ms", F.floor(tu.millis(F.col("ticks")) / F.lit(size_ms)).cast("bigint") * F.lit(size_ms))
+
+
+def unarrived_counts(log: DataFrame, size_ms: int) -> DataFrame:
+    """The same of a log at rest, for the copies without arrival time, in parts of their own."""
+    rows = _by_window(log.where("received_at is null"), size_ms)
+    return rows.groupBy("window_start_ms", "operation").agg(F.count(F.lit(1)).alias("n")).select("window_start_ms", "operation", F.lit(None).cast("bigint").alias("part_ms"), "n", F.lit(0).cast("bigint").alias("batch"))
+
+
+def totals(updates: DataFrame) -> DataFrame:
+    """`(window_start_ms, operation, n)` from all updates of `window_counts`: the last of each part, added up."""
+    return latest(updates, ["window_start_ms", "operation", "part_ms"], "n").groupBy("window_start_ms", "operation").agg(F.sum("n").alias("n"))
 
 
 def latest(updates: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -53,32 +113,73 @@ def latest(updates: DataFrame, key: list[str], value: str) -> DataFrame:
     return updates.groupBy(*key).agg(F.max_by(value, "batch").alias(value))
 
 
-def range_pairs(log: DataFrame, delay: str = "3 days") -> DataFrame:
+def range_pairs(log: DataFrame, delay: str | None = None) -> DataFrame:
     """Range deletions as soon as both bounds have arrived, in any order and in any number of copies.
 
-    The state is keyed by stream, time and sequence, so a stream with very many changes isn't one unit; it expires behind the watermark.
+    The state is keyed by stream, time and sequence, so a stream with very many changes isn't one unit. Without `delay` a bound waits for its
+    partner for good, as it may come in any later batch; with one, the state expires behind the watermark, and what comes later is dropped.
     """
     op = F.col("`cdc$operation`").cast("int")
     rows = identified(log.where(op.between(5, 8)), op.alias("op"), F.col("pk").alias("pk"), F.col("ck").cast("bigint").alias("ck"))
     left = F.col("op") <= 6
     start = F.when(left, F.col("batch_seq_no")).otherwise(F.col("batch_seq_no") - 1)
-    keyed = rows.withColumns({"start_seq": start, "at": F.timestamp_micros(tu.micros(F.col("ticks")))}).withWatermark("at", delay)
+    keyed = rows.withColumns({"start_seq": start, "at": F.timestamp_micros(tu.micros(F.col("ticks")))})
+    keyed = keyed.withWatermark("at", delay) if delay else keyed
     both = keyed.groupBy("stream_id", "ticks", "low", "start_seq", "pk", "at").agg(F.max(F.when(left, F.col("op"))).alias("l_op"), F.max(F.when(~left, F.col("op"))).alias("r_op"), F.max(F.when(left, F.col("ck"))).alias("lo"), F.max(F.when(~left, F.col("ck"))).alias("hi"))
     return both.where("l_op is not null and r_op is not null").select("stream_id", "ticks", "low", "start_seq", "pk", "lo", "hi", "l_op", "r_op")
 
 
-def consume(changes: DataFrame, handle: Callable[[Row], None], checkpoint: str) -> StreamingQuery:
+def _start(writer: DataStreamWriter, every: str | None) -> StreamingQuery:
+    """Take all that is there and end; or go on, a batch each `every` at most ("30 seconds"), until `stop`."""
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def consume(changes: DataFrame, handle: Callable[[Row], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Hand each change to a callback, on the executors; a failure fails the batch, which is then handed over again."""
-    return changes.writeStream.option("checkpointLocation", checkpoint).foreach(handle).trigger(availableNow=True).start()
+    return _start(changes.writeStream.option("checkpointLocation", checkpoint).foreach(handle), every)
+
+
+def consume_by_task(changes: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, parts: int = 1) -> StreamingQuery:
+    """Hand each micro-batch to a callback, its rows in order of stream (signed bytes) and time within partitions of whole streams.
+
+    parts: into how many partitions the streams of one task may be dealt, so that a hot task is several units of work.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        hi, lo = si.order_keys(si.hex_id(F.col("stream_id")))
+        placed = batch.withColumns({"__part": F.pmod(F.xxhash64("stream_id"), F.lit(parts)), "__hi": hi, "__lo": lo})
+        ordered = placed.repartition("generation_ms", "vnode", "__part").sortWithinPartitions("generation_ms", "vnode", "__part", "__hi", "__lo", "ticks", "batch_seq_no")
+        handle(ordered.drop("__part", "__hi", "__lo"), number)
+
+    return _start(changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run), every)
 
 
-def consume_by_task(changes: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Hand each micro-batch to a callback, its rows ordered by task and time within partitions of whole tasks."""
+def consume_by_operation(changes: DataFrame, handlers: Mapping[int, Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Hand the rows of each operation of a micro-batch to the handler for it, in the order of the operations' codes.
+
+    Operations without a handler are passed over, as in a mode that ignores them; an unknown code fails the batch.
+    """
+    if unknown := set(handlers) - set(range(len(OPERATIONS))):
+        raise ValueError(f"unknown operations {sorted(unknown)}")
 
     def run(batch: DataFrame, number: int) -> None:
-        handle(batch.repartition("generation_ms", "vnode").sortWithinPartitions("generation_ms", "vnode", "stream_id", "ticks", "batch_seq_no"), number)
+        batch = batch.persist()
+        try:
+            known = {r[0] for r in batch.select(F.col("operation").cast("int")).distinct().limit(257).collect()}  # a byte's values at most
+            if bad := {x for x in known if x is not None} - set(range(len(OPERATIONS))):
+                raise ValueError(f"unknown operations {sorted(bad)}")
+            for op in sorted(known & set(handlers)):
+                handlers[op](batch.where(F.col("operation") == op), number)
+        finally:
+            batch.unpersist()
+
+    return _start(changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run), every)
+
 
-    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
+def stop(query: StreamingQuery, timeout_s: int = 60) -> bool:
+    """End a query after the batch at hand is committed or given up; whether it ended in time. Its checkpoint says where to go on."""
+    query.stop()
+    return query.awaitTermination(timeout_s)
 
 
 class StateTable:
@@ -136,15 +237,17 @@ class StateTable:
         return [(c, kind) for c, kind in self.keyed.collections if kind != "udt"]
 
 
-def supervise(start: Callable[[], StreamingQuery], attempts: int, sleep: Callable[[int], None]) -> StreamingQuery:
-    """Run a query to its end, starting it again after failures, with a pause before each new attempt."""
-    for n in range(attempts):
+def supervise(start: Callable[[], StreamingQuery], attempts: int | None, sleep: Callable[[int], None], stopped: Callable[[], bool] = lambda: False) -> StreamingQuery:
+    """Run a query to its end, starting it again after failures, with a pause before each new attempt; without a number of attempts until it is stopped."""
+    n = 0
+    while attempts is None or n < attempts:
         query = start()
         try:
             query.awaitTermination()
             return query
         except Exception:
-            if n + 1 == attempts:
+            n += 1
+            if n == attempts or stopped():
                 raise
-            sleep(n)
+            sleep(n - 1)
     raise ValueError("no attempts")

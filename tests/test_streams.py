@@ -9,7 +9,7 @@ from rillfold.sources import layout
 from rillfold.sources.cdc_source import LogSource
 from rillfold.sources.log import after, base_columns, distinct_rows, meta_columns, window_of
 from rillfold.streaming import feed
-from tests.logs import BASE_MS, Log, stream
+from tests.logs import BASE_MS, Log, at, stream
 from tests.test_replay import KEYED, brute, mess
 
 STREAMS = "generation_start_ms bigint, generation_end_ms bigint, stream_id binary, vnode int"
@@ -63,8 +63,66 @@ def test_stream_equals_batch(spark, tmp_path):
     out = feed.to_folder(feed.range_pairs(feed.stream(spark, path, 1)), str(tmp_path / "pairs"), "update").drop("batch", "low").distinct()
     want = apply.paired(distinct_rows(log.df(spark)), KEYED)
     assert {(r.ticks, r.start_seq, r.pk, r.lo, r.hi) for r in out.collect()} == {(r.ticks, r.start_seq, r.pk, r.l_ck, r.r_ck) for r in want.collect()}
-    counts = feed.to_folder(feed.window_counts(feed.stream(spark, path, 1), 60_000, "1 day"), str(tmp_path / "counts"), "update")
-    assert sum(r.n for r in feed.latest(counts, ["window_start_ms", "operation"], "n").collect()) == sum(r[1] is not None for r in log.rows)
+    want = sum(r[1] is not None for r in log.rows)
+    counts = feed.to_folder(feed.window_counts(feed.stream(spark, path, 1), 60_000, 86400), str(tmp_path / "counts"), "update")
+    assert sum(r.n for r in feed.totals(counts).collect()) == want
+
+
+def test_windows_lose_no_late_copy(spark, tmp_path):
+    """Copies that arrive long after the watermark has passed their window count in it all the same."""
+    log, path = Log(), str(tmp_path / "log.parquet")
+    for i in range(60):
+        log.add(2, 1, i, i, s=i * 60.0, arrived=i * 60.0 + 1)
+        log.again(len(log.rows) - 1, received=at(i * 60.0 + (5000 if i % 3 else 20)))
+    log.again(0, received=None)
+    log.df(spark).coalesce(1).write.parquet(path)
+    out, lost = feed.run_by_arrival(spark, path, str(tmp_path / "run"), lambda df: feed.window_counts(df, 600_000, 30), "update", 1200)
+    assert lost == 0 and out.select("batch").distinct().count() > 4
+    got = {(r.window_start_ms, r.n) for r in feed.totals(out).collect()}
+    assert got == {(BASE_MS + k * 600_000, 20) for k in range(6)}
+    whole = feed.totals(out.unionByName(feed.unarrived_counts(spark.read.parquet(path), 600_000)))
+    assert {(r.window_start_ms, r.n) for r in whole.collect()} == {(BASE_MS + k * 600_000, 20 + (k == 0)) for k in range(6)}
+    again, _ = feed.run_by_arrival(spark, path, str(tmp_path / "run"), lambda df: feed.window_counts(df, 600_000, 30), "update", 1200)
+    assert {(r.window_start_ms, r.n) for r in feed.totals(again).collect()} == got
+
+
+def test_windows_begin_with_their_generation(spark, laid_out):
+    from rillfold.sources import cdc_source as cs
+
+    starts = [0, 100, 250]
+    ends = [0]
+    while ends[-1] < 320:
+        ends.append(cs._next_end(starts, ends[-1], 30))
+    assert ends == [0, 30, 60, 90, 100, 130, 160, 190, 220, 250, 280, 310, 340]
+    assert [cs._safe_end(starts, x, 30) for x in (-5, 29, 30, 99, 100, 129, 131, 249, 250, 1000)] == [0, 0, 30, 90, 100, 100, 130, 220, 250, 1000]
+    s = cs._Stream({"path": laid_out, "nowMs": str(BASE_MS + 10**6), "maxWindows": "2", "minWaitMs": "60000"})
+    assert [s.latestOffset()["ms"] - BASE_MS for _ in range(3)] == [60_000] * 3  # no second step within the minute
+    s = cs._Stream({"path": "file://" + laid_out, "nowMs": str(BASE_MS + 10**6), "maxWindows": "2"})
+    assert [s.latestOffset()["ms"] - BASE_MS for _ in range(4)] == [60_000, 120_000, 180_000, 230_000]  # the second generation begins at 200 s
+
+
+def test_handlers_by_operation_and_stop(spark, tmp_path):
+    path = str(tmp_path / "log.parquet")
+    Log().add(2, 1, 1, 5, s=1).add(1, 1, 1, 6, s=2).add(3, 1, 1, s=3).add(9, 1, 1, 7, s=4).df(spark).coalesce(1).write.parquet(path)
+    rows = lambda: feed.stream(spark, path).selectExpr("`cdc$operation` as operation", "v")
+    seen = {}
+    feed.finish(feed.consume_by_operation(rows(), {op: lambda b, n, op=op: seen.setdefault(op, [r.v for r in b.collect()]) for op in (1, 2, 9, 4)}, str(tmp_path / "cp")))
+    assert seen == {1: [6], 2: [5], 9: [7]}
+    with pytest.raises(ValueError):
+        feed.consume_by_operation(rows(), {77: print}, str(tmp_path / "cp2"))
+    with pytest.raises(Exception, match="unknown operations"):
+        feed.finish(feed.consume_by_operation(rows().selectExpr("operation + 50 as operation", "v"), {1: print}, str(tmp_path / "cp3")))
+    going = feed.consume_by_operation(rows(), {}, str(tmp_path / "cp4"), every="1 second")
+    assert going.isActive and feed.stop(going) and not going.isActive
+    asked = []
+
+    def fail():
+        asked.append(1)
+        return feed.consume_by_operation(rows(), {2: lambda b, n: 1 / 0}, str(tmp_path / f"cp5-{len(asked)}"))
+
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        feed.supervise(fail, None, lambda n: None, stopped=lambda: len(asked) == 3)
+    assert len(asked) == 3
 
 
 def test_state_table_is_idempotent(spark, tmp_path):
@@ -162,5 +220,11 @@ def test_command_line(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "ks.a.parquet")).collect()} == brute(log.rows)
     cli.main(["print", "-k", "ks", "-t", "a", "-s", str(tmp_path / "in"), "-d", str(tmp_path / "out")])
     assert spark.read.text(str(tmp_path / "out" / "ks.a.txt")).count() == distinct_rows(log.df(spark)).count()
+    with pytest.raises(SystemExit, match="no table ks.b"):
+        cli.main(["apply", "-k", "ks", "-t", "a,b", "-s", str(tmp_path / "in"), "-d", str(tmp_path / "out")])
+    (tmp_path / "schema.json").write_text('{"a": {"pk": ["PARTITION_KEY", "INT"], "ck": ["CLUSTERING_KEY", "INT"], "v": ["REGULAR", "INT"]}}')
+    cli.main(["apply", "-m", "preimage", "-k", "ks", "-t", "a", "-s", str(tmp_path / "in"), "-d", str(tmp_path / "out"), "--schema", str(tmp_path / "schema.json")])
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "ks.a.parquet")).collect()} == brute(log.rows)
+    assert {r.expected_v for r in spark.read.parquet(str(tmp_path / "out" / "ks.a.mismatches.parquet")).collect()} == {998}
     with pytest.raises(SystemExit):
         cli.main(["apply", "-m", "nope", "-k", "ks", "-t", "a", "-s", "x"])
