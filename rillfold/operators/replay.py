@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -138,12 +139,39 @@ def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _size(log: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows of each partition key, the most rows of one, and how many rows one unit of work should hold."""
-    counts = log.where("pk is not null").groupBy(F.col("pk").cast("int").alias("pk")).agg(F.count(F.lit(1)).alias("n"))
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+@dataclass(frozen=True)
+class _Hot:
+    """Partition keys with more rows than a unit of work should hold: ends of ranges of their clustering keys, and single rows with so many changes."""
+
+    bounds: DataFrame
+    levels: int
+    rows: DataFrame | None
+
+    def with_bounds(self, df: DataFrame) -> DataFrame:
+        return df.join(self.bounds, "pk", "left")
+
+    def chunk(self, c: str) -> Column:
+        return F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(_bucket(F.col("bounds"), F.col(c), self.levels)).cast("int")
+
+
+def _hot(log: DataFrame) -> _Hot | None:
+    """One pass over the partition keys, and one over the clustering keys of the hot ones; sizes may be those of delivered copies."""
     parallel = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return counts, most or 0, max(LEAST_ROWS, min(UNIT_ROWS, (total or 0) // (4 * parallel)))
+    unit = max(LEAST_ROWS, min(UNIT_ROWS, log.count() // (4 * parallel)))
+    keys = log.where("pk is not null").select(F.col("pk").cast("int").alias("pk"), F.col("ck").cast("bigint").alias("at"))
+    hot = kept(keys.groupBy("pk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit), "replay")
+    n, most = hot.agg(F.count(F.lit(1)), F.max("n")).first()
+    if n == 0:
+        return None
+    levels = next((i for i in (1, 2) if 16**i >= most / unit), 3)
+    few = n * 16**levels <= BROADCAST_BOUNDS
+    fractions = [k / 16**levels for k in range(1, 16**levels)]
+    own = keys.where("at is not null").join(F.broadcast(hot.select("pk")) if few else hot.select("pk"), "pk", "left_semi")
+    bounds = kept(own.groupBy("pk").agg(F.percentile_approx("at", fractions, 4 * 16**levels).alias("bounds")), "replay")
+    # A row with more changes than a range should hold is the end of several ranges.
+    rows = kept(bounds.select("pk", F.explode("bounds").alias("at")).groupBy("pk", "at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pk", "at"), "replay")
+    some = rows.count()
+    return _Hot(F.broadcast(bounds) if few else bounds, levels, (F.broadcast(rows) if some <= BROADCAST_BOUNDS else rows) if some else None)
 
 
 def _bucket(bounds: Column, at: Column, levels: int) -> Column:
@@ -155,25 +183,16 @@ def _bucket(bounds: Column, at: Column, levels: int) -> Column:
     return reduce(lambda base, level: base + below(base, 16**level) * 16**level, reversed(range(levels)), F.lit(0))
 
 
-def _chunked(log: DataFrame, rows: DataFrame, tombs: DataFrame, newest_only: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows and deletions of many rows with `chunk`, a range of clustering keys of a partition key that holds more rows than a unit of work should.
+def _chunked(hot: _Hot | None, rows: DataFrame, tombs: DataFrame, newest_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows and deletions of many rows with `chunk`, a range of clustering keys of a hot partition key.
 
     Chunks end at quantiles of the key's changes. A deletion goes to the chunks where it begins and ends; of those
     that cover a chunk whole just the newest matters for the last state (newest_only), and they are combined before the shuffle.
     """
-    counts, most, unit = _size(log)
-    if most <= unit:
+    if hot is None:
         return rows.withColumn("chunk", F.lit(0)), tombs.withColumn("chunk", F.lit(0))
-    levels = next((i for i in (1, 2) if 16**i >= most / unit), 3)
-    fractions = [k / 16**levels for k in range(1, 16**levels)]
-    hot = counts.where(F.col("n") > unit)
-    few = hot.count() * 16**levels <= BROADCAST_BOUNDS
-    own = rows.join(F.broadcast(hot) if few else hot, "pk", "left_semi")
-    bounds = kept(own.groupBy("pk").agg(F.percentile_approx("at", fractions, 4 * 16**levels).alias("bounds")), "replay")
-    with_bounds = lambda df: df.join(F.broadcast(bounds) if few else bounds, "pk", "left")
-    at = lambda c: F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(_bucket(F.col("bounds"), F.col(c), levels)).cast("int")
-    rows = with_bounds(rows).withColumn("chunk", at("at")).drop("bounds")
-    ends = with_bounds(tombs).withColumns({"first": at("at"), "last": at("until")}).drop("bounds")
+    rows = hot.with_bounds(rows).withColumn("chunk", hot.chunk("at")).drop("bounds")
+    ends = hot.with_bounds(tombs).withColumns({"first": hot.chunk("at"), "last": hot.chunk("until")}).drop("bounds")
     if not newest_only:
         return rows, ends.withColumn("chunk", F.explode(F.sequence("first", "last"))).drop("first", "last")
     partly = ends.withColumn("chunk", F.explode(F.array_distinct(F.array("first", "last"))))
@@ -183,22 +202,16 @@ def _chunked(log: DataFrame, rows: DataFrame, tombs: DataFrame, newest_only: boo
     return rows, partly.drop("first", "last").unionByName(whole)
 
 
-def _without_hot_rows(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """Changes with those of any single row that has more than a unit of work reduced, before the shuffle, to its newest write, insert and deletion."""
-    _, most, unit = _size(log)
-    if most <= unit:
-        return rows
-    hot = kept(rows.groupBy("pk", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select("pk", "at"), "replay")
-    n = hot.count()
-    if n == 0:
+def _without_hot_rows(hot: _Hot | None, rows: DataFrame) -> DataFrame:
+    """Changes with those of any single hot row reduced, before the shuffle, to its newest write, insert and deletion."""
+    if hot is None or hot.rows is None:
         return rows
-    hot = F.broadcast(hot) if n <= BROADCAST_BOUNDS else hot
     what = F.col("what")
     place = F.struct("ticks", "seq", what.bitwiseAND(F.lit(VALUE)).alias("has"), "v", "low", "what")
     bit = lambda b: F.max(F.when(what.bitwiseAND(F.lit(b)) != 0, place))
-    one = rows.join(hot, ["pk", "at"], "left_semi").groupBy("pk", "at").agg(F.array_distinct(F.array_compact(F.array(bit(WRITE), bit(INSERT), bit(DELETE)))).alias("c"))
+    one = rows.join(hot.rows, ["pk", "at"], "left_semi").groupBy("pk", "at").agg(F.array_distinct(F.array_compact(F.array(bit(WRITE), bit(INSERT), bit(DELETE)))).alias("c"))
     one = one.select("pk", "at", F.lit(None).cast("bigint").alias("until"), F.explode("c").alias("c")).select("pk", "at", "until", "c.what", "c.v", "c.ticks", "c.seq", "c.low")
-    return rows.join(hot, ["pk", "at"], "left_anti").unionByName(one)
+    return rows.join(hot.rows, ["pk", "at"], "left_anti").unionByName(one)
 
 
 def _in_order(rows: DataFrame, tombs: DataFrame) -> DataFrame:
@@ -210,7 +223,8 @@ def _in_order(rows: DataFrame, tombs: DataFrame) -> DataFrame:
 
 def replay(log: DataFrame) -> DataFrame:
     """`(pk int, ck int, v int)`: the rows that exist after all changes, `v` null for a row without value."""
-    rows, tombs = _chunked(log, _without_hot_rows(log, row_changes(log)), covers(log), newest_only=True)
+    hot = _hot(log)
+    rows, tombs = _chunked(hot, _without_hot_rows(hot, row_changes(log)), covers(log), newest_only=True)
     parts = _in_order(rows, tombs).mapInArrow(_replayed, SUMMARY)
     return parts.where(F.col("v").isNotNull() | F.col("i_ticks").isNotNull()).select("pk", "ck", "v")
 
@@ -277,5 +291,5 @@ def image_mismatches(log: DataFrame) -> DataFrame:
     op = F.col("`cdc$operation`").cast("int")
     images = identified(log.where((op == 0) & F.col("pk").isNotNull() & F.col("ck").isNotNull()), F.col("pk").cast("int").alias("pk"), F.col("ck").cast("bigint").alias("at"), F.col("v").cast("int").alias("v"))
     probes = images.select("pk", "at", F.lit(None).cast("bigint").alias("until"), F.lit(IMAGE).alias("what"), "v", "ticks", F.col("batch_seq_no").alias("seq"), "low")
-    rows, tombs = _chunked(log, row_changes(log).unionByName(probes), covers(log), newest_only=False)
+    rows, tombs = _chunked(_hot(log), row_changes(log).unionByName(probes), covers(log), newest_only=False)
     return _in_order(rows, tombs).mapInArrow(_compared, MISMATCH)

@@ -179,6 +179,19 @@ def base_columns(spark, d):
     return logs.base_columns(table(spark, d, LOG)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("delivery_id").alias("n_deliveries"), F.count("v").alias("n_values"))
 
 
+@_query("select delivery_id, delivery_batch, received_at, pk, ck, v from simple_scylla_cdc_log")
+def base_rows(spark, d):
+    """Each delivered copy without the log's own columns."""
+    return logs.base_columns(table(spark, d, LOG)).select("delivery_id", "delivery_batch", "received_at", "pk", "ck", "v")
+
+
+@_query("""select lower(hex("cdc$stream_id")) as stream_id, "cdc$time" as time, "cdc$batch_seq_no" as batch_seq_no, ("cdc$operation")::int as operation, "cdc$end_of_batch" as end_of_batch, "cdc$ttl" as ttl, "cdc$deleted_v" as deleted_v from simple_scylla_cdc_log""")
+def meta_rows(spark, d):
+    """The log's own columns of each delivered copy."""
+    own = logs.meta_columns(table(spark, d, LOG)).withColumnsRenamed({f"cdc${c}": c for c in ("stream_id", "time", "batch_seq_no", "operation", "end_of_batch", "ttl", "deleted_v")})
+    return own.select(_hex(), "time", "batch_seq_no", F.col("operation").cast("int").alias("operation"), "end_of_batch", "ttl", "deleted_v")
+
+
 @_query(f"with {_L} select s as stream_id, count(*) as n from l group by 1")
 def dedup_replay(spark, d):
     """The log delivered twice over still has each log row once."""
@@ -471,6 +484,13 @@ def checkpoint_per_task(spark, d):
     return tasks.checkpoints(rows).select(*tasks.TASK, "last_stream", tu.from_parts(F.col("last_ticks"), F.col("last_low")).alias("last_time"))
 
 
+@_query("""select task_id, row_number() over (order by split_part(task_id, ':', 2)::bigint, split_part(task_id, ':', 3)::int, split_part(task_id, ':', 1)) as place from (select distinct task_id from task_runs)""")
+def task_order(spark, d):
+    """Tasks in their order: generation, vnode, table."""
+    named = tasks.from_key(table(spark, d, "task_runs").select("task_id").distinct()).withColumn("all", F.lit(1))
+    return ordered.row_numbers(named, ["all"], ["generation_ms", "vnode", "table_name"], F.struct("generation_ms", F.shiftright("vnode", 10)), "place").select("task_id", "place")
+
+
 @_query("""select distinct task_id, window_start_ms, window_end_ms, case when last_change_time is not null then lower(hex(last_change_stream_id)) end as last_stream, case when last_change_stream_id is not null then lower(last_change_time) end as last_time,
     '{window_start=' || window_start_ms || ', window_end=' || window_end_ms || coalesce(', change_id_stream=' || hex(last_change_stream_id) || ', change_id_time=' || lower(last_change_time), '') || '}' as text from task_runs""")
 def state_codec_roundtrip(spark, d):

@@ -88,8 +88,8 @@ def test_a_unit_of_work_stays_bounded(spark, monkeypatch, times):
     n = 600 * times
     rows = spark.range(n).select(F.lit(1).alias("pk"), (F.col("id") % (n // 2)).alias("at"), F.lit(None).cast("bigint").alias("until"), F.lit(replay.WRITE | replay.VALUE).alias("what"), F.col("id").cast("int").alias("v"), F.col("id").alias("ticks"), F.lit(0).alias("seq"), F.lit(b"").alias("low"))
     wide = spark.range(n // 20).select(F.lit(1).alias("pk"), F.col("id").alias("at"), (n - F.col("id")).alias("until"), F.lit(replay.COVER).alias("what"), F.lit(None).cast("int").alias("v"), F.col("id").alias("ticks"), F.lit(1).alias("seq"), F.lit(b"").alias("low"))
-    log = rows.unionByName(wide).select("pk")
-    r, t = replay._chunked(log, rows, wide, newest_only=True)
+    log = rows.unionByName(wide).select("pk", F.col("at").alias("ck"))
+    r, t = replay._chunked(replay._hot(log), rows, wide, newest_only=True)
     sizes = r.groupBy("pk", "chunk").count().agg(F.max("count")).first()[0]
     assert sizes <= 200
     assert t.count() <= 2 * (n // 20) + 4096  # not one for each deletion and chunk

@@ -213,6 +213,22 @@ def test_reading(spark):
     assert {(r.c_ticks, r.c_operation, r.operation) for r in clash.collect()} == {("x", "y", 2)} and clash.count() == 4
 
 
+def test_windows_of_the_ingested_log_prune(spark, tmp_path):
+    log = Log()
+    for h in range(30):
+        log.add(2, 1, h, h, s=h * 3600.0 + 5).again(len(log.rows) - 1)
+    log.df(spark).write.parquet(str(tmp_path / "log.parquet"))
+    spark.createDataFrame([(BASE_MS, BASE_MS + 10**9, stream(1), 1)], STREAMS).write.parquet(str(tmp_path / "streams.parquet"))
+    rows = layout.ingested(spark, str(tmp_path / "log.parquet"), str(tmp_path / "streams.parquet"))
+    hour = window_of(rows, BASE_MS + 3 * 3_600_000, BASE_MS + 4 * 3_600_000)
+    plan = hour._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ticks" in plan and "LessThan(ticks" in plan
+    assert [(r.v, r.generation_ms, r.vnode) for r in hour.collect()] == [(3, BASE_MS, 1)] and rows.count() == 30
+    assert layout.ingested(spark, str(tmp_path / "log.parquet"), str(tmp_path / "streams.parquet")).inputFiles() == rows.inputFiles()
+    Log().add(2, 1, 99, 99, s=9).df(spark).write.mode("append").parquet(str(tmp_path / "log.parquet"))
+    assert layout.ingested(spark, str(tmp_path / "log.parquet"), str(tmp_path / "streams.parquet")).count() == 31  # a changed log is ingested anew
+
+
 def test_command_line(spark, tmp_path):
     log = mess(9, 80)
     log.df(spark).write.parquet(str(tmp_path / "in" / "ks.a.parquet"))
