@@ -59,10 +59,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(_own_folder(spark, base), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    """Remove a folder of intermediate rows that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written(spark: SparkSession, folder: str | None) -> bool:
+    """Whether a table was written to a folder and is still there; someone may have cleared the shared folder."""
+    if folder is None:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def kept(df, purpose: str):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rillfold.functions import streamid as si
 from rillfold.functions import timeuuid as tu
-from rillfold.session import shared_dir
+from rillfold.session import shared_dir, written
 from rillfold.sources.log import distinct_rows
 
 #: Rows within so many ticks (an hour) lie together.
@@ -53,7 +53,7 @@ def ingested(spark: SparkSession, log_path: str, streams_path: str) -> DataFrame
 
     state = table_state(spark, log_path)
     key = (spark.sparkContext.applicationId, log_path, state, streams_path, table_state(spark, streams_path))
-    if key not in _KEPT:
+    if not written(spark, _KEPT.get(key)):
         hi, lo = si.order_keys(si.hex_id(F.col("stream_id")))
         rows = distinct_rows(spark.read.parquet(log_path)).withColumns({"ms": tu.millis(F.col("ticks")), "hi": hi, "lo": lo})
         tasked = with_task(rows, spark.read.parquet(streams_path)).withColumn("bucket", tu.int_div(F.col("ticks"), BUCKET_TICKS))
