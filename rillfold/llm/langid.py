@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillfold.llm import prose
-from rillfold.session import shared_dir
+from rillfold.session import shared_dir, written
 from rillfold.sources.layout import table_state
 
 @dataclass(frozen=True)
@@ -383,7 +383,7 @@ def model_for(docs: DataFrame, labels: DataFrame, path: str, train_docs: int = T
     """The model for the documents at `path`: trained once per application and state of that table, and kept in the shared folder."""
     spark = docs.sparkSession
     key = (spark.sparkContext.applicationId, path, table_state(spark, path), train_docs, lang)
-    if key not in _TRAINED:
+    if not written(spark, _TRAINED.get(key)):
         where = shared_dir(spark, "languages")
         train(labelled_sample(docs, labels, train_docs, lang), lang=lang).save(spark, where)
         _TRAINED[key] = where
