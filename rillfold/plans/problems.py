@@ -82,6 +82,21 @@ def p3_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("table_name", "file_id", "record_no", "row_key", text.alias("row"))
 
 
+def typed_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of records as Spark values of their promoted types: whole numbers, reals, moments, bytes, and the size of collections."""
+    v = drift.unified_values(table(spark, d, "change_schema"), table(spark, d, "raw_records")).where("not refused")
+    kind, text = F.col("type"), F.col("value")
+    typed = v.select(
+        "table_name", "file_id", "row_key", "column_name", "type",
+        F.when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), text.try_cast("bigint")).alias("as_long"),
+        F.when(kind.isin("FLOAT", "DOUBLE", "DECIMAL"), text.try_cast("double")).alias("as_double"),
+        F.when(kind.isin("DATE", "TIMESTAMP"), F.unix_micros(text.try_cast("timestamp"))).alias("as_micros"),
+        F.when((kind == "BLOB") & text.rlike("^0x([0-9a-fA-F]{2})*$"), F.length(F.unhex(F.substring(text, 3, 1 << 30)))).alias("n_bytes"),
+        F.when(kind.rlike("LIST<|SET<|TUPLE<"), F.json_array_length(text)).alias("n_elements"),
+    )
+    return typed.groupBy("table_name", "column_name", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("as_long").alias("sum_long"), F.round(F.max("as_double"), 6).alias("max_double"), F.min("as_micros").alias("min_micros"), F.sum("n_bytes").cast("bigint").alias("n_bytes"), F.sum("n_elements").cast("bigint").alias("n_elements"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return replaying.replay(table(spark, d, LOG)).select("pk", "ck", F.coalesce(F.col("v").cast("string"), F.lit("null")).alias("v"))
 
@@ -107,7 +122,7 @@ def p5_ledger(spark: SparkSession, d: str) -> DataFrame:
     return ledger.from_attempts(table(spark, d, "task_runs"), LEDGER_NOW_MS, LEASE_MS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p2_kept, p3_found, p3_union_schema, p3_changelog, p3_unified, p3_rows, p4_found, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_stream_profile, p1_pk_profile, p2_found, p2_kept, p3_found, p3_union_schema, p3_changelog, p3_unified, p3_rows, typed_values, p4_found, p5_found, p5_ledger)}
 
 _UUID = 'replace(replace(replace(lower("cdc$time"), \'-\', \'\'), \'{\', \'\'), \'}\', \'\')'
 _TICKS = f"(('0x' || substr({_UUID}, 14, 3) || substr({_UUID}, 9, 4) || substr({_UUID}, 1, 8))::bigint)"
@@ -188,6 +203,10 @@ SQL = {
           one as (select file_id, row_key, coalesce(min(record_no) filter (json_valid(body)), min(record_no)) as record_no from raw_records group by 1, 2)
         select types.table_name, one.file_id, one.record_no, one.row_key, string_agg(types.column_name || ':' || types.type || '=' || coalesce(value, 'null'), ', ' order by types.column_name) as row
         from one join (select distinct table_name, file_id from named) k using (file_id) join types using (table_name) left join vals on vals.file_id = one.file_id and vals.row_key = one.row_key and vals.column_name = types.column_name group by all""",
+    "typed_values": f"""{_UNIFIED}
+        select table_name, column_name, type, count(*) as n, sum(case when type in ('TINYINT', 'SMALLINT', 'INT', 'BIGINT') then try_cast(value as bigint) end)::bigint as sum_long, round(max(case when type in ('FLOAT', 'DOUBLE', 'DECIMAL') then try_cast(value as double) end), 6) as max_double,
+          min(case when type in ('DATE', 'TIMESTAMP') then epoch_us(try_cast(value as timestamp)) end) as min_micros, sum(case when type = 'BLOB' and regexp_full_match(value, '0x([0-9a-fA-F]{{2}})*') then (length(value) - 2) // 2 end)::bigint as n_bytes,
+          sum(case when regexp_matches(type, 'LIST<|SET<|TUPLE<') and json_valid(value) and json_type(value) = 'ARRAY' then json_array_length(value) end)::bigint as n_elements from vals where value is not null group by 1, 2, 3""",
     "p4_found": f"""
         with l as (select distinct pk, ck, v, "cdc$deleted_v" as dv, "cdc$operation" as op, "cdc$stream_id" as s, {_UUID} as u, {_TICKS} as ticks, "cdc$batch_seq_no" as q from simple_scylla_cdc_log),
           d as (select pk, null::bigint as lo, null::bigint as hi, ticks, q from l where op = 4

@@ -14,6 +14,7 @@ from rillfold.plans import ledger
 from rillfold.session import shared_dir, table
 from rillfold.sources import catalog, layout
 from rillfold.sources import log as logs
+from rillfold.sources.cdc_source import LogSource
 from rillfold.sources.log import IDENTITY
 from rillfold.streaming import feed
 
@@ -698,6 +699,23 @@ def orphan_images(spark, d):
 # Streams.
 
 
+@_query(f"with {_L}, {_TASKED} select gen as generation_ms, vnode, s as stream_id, count(*) as n, min({_MS}) as first_ms, max({_MS}) as last_ms from t where gen is not null group by 1, 2, 3")
+def consumed_by_task(spark, d):
+    """The log laid out by task, read window by window as the source gives it, each micro-batch handed to a consumer in order of stream and time."""
+    where = shared_dir(spark, "by-task")
+    layout.write(_tasked(spark, d).where("generation_ms is not null"), f"{where}/log")
+    spark.dataSource.register(LogSource)
+    source = spark.readStream.format("rillfold_log").option("path", f"{where}/log").option("windowMs", 86_400_000).option("confidenceMs", CONFIDENCE_MS).option("nowMs", NOW_MS + 30 * 86_400_000).load()
+
+    def consume(batch: DataFrame, number: int) -> None:
+        batch.groupBy("generation_ms", "vnode", "stream_id").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")).write.mode("overwrite").parquet(f"{where}/seen/batch={number}")
+
+    tasked = ledger.with_task(source, table(spark, d, "cdc_streams"))
+    feed.finish(feed.consume_by_task(tasked, consume, f"{where}/checkpoint"))
+    seen = spark.read.parquet(f"{where}/seen").groupBy("generation_ms", "vnode", "stream_id").agg(F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+    return seen.select("generation_ms", "vnode", _hex(), "n", "first_ms", "last_ms")
+
+
 @_query("""with k as (select ("cdc$operation")::int as operation, ((('0x' || substr(replace(replace(replace(lower("cdc$time"), '-', ''), '{', ''), '}', ''), 14, 3) || substr(replace(replace(replace(lower("cdc$time"), '-', ''), '{', ''), '}', ''), 9, 4) || substr(replace(replace(replace(lower("cdc$time"), '-', ''), '{', ''), '}', ''), 1, 8))::bigint - 122192928000000000) // 10000) as ms from simple_scylla_cdc_log)
     select ms // 3600000 * 3600000 as window_start_ms, operation, count(*) as n from k group by 1, 2""")
 def stream_window_counts(spark, d):
