@@ -67,7 +67,7 @@ class SharedFolder:
             self._context.rename(new, self.path(name), options)
         except Exception as e:
             self._fs.delete(new, False)
-            if not replace and "exist" in str(e).lower():
+            if not replace and ("FileAlreadyExists" in str(e) or "already exists" in str(e)):
                 return False
             raise
         return True

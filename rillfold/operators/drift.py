@@ -284,13 +284,19 @@ def unified_rows(headers: DataFrame, records: DataFrame) -> DataFrame:
 
     columns: an array of `(name, type, value)` in order of names, the same names and types for each record of a table; a missing or refused value is null.
     """
+    return _rows(headers, records)[0]
+
+
+def _rows(headers: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`unified_rows`, and the columns of each table with their types."""
     per_file, union = _named(headers, records)
     whole = union.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct(F.col("column_name").alias("name"), F.col("union_type").alias("type")))).alias("whole"))
     rows = first_records(records).join(per_file.join(whole, "table_name"), "file_id")
     known = F.filter(F.transform(F.coalesce(F.map_entries("m"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.try_element_at("names", norm_name(e["key"]))["column_name"].alias("name"), e["value"].alias("value"))), lambda e: e["name"].isNotNull())
     rows = rows.select("table_name", "file_id", "record_no", "row_key", "whole", known.alias("known"))
     value = lambda c: F.filter("known", lambda e: e["name"] == c["name"])
-    return rows.select("table_name", "file_id", "record_no", "row_key", F.transform("whole", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), held(F.get(value(c), F.lit(0))["value"], c["type"]).alias("value"))).alias("columns"))
+    columns = F.transform("whole", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type"), held(F.get(value(c), F.lit(0))["value"], c["type"]).alias("value")))
+    return rows.select("table_name", "file_id", "record_no", "row_key", columns.alias("columns")), union
 
 
 def unified(headers: DataFrame, records: DataFrame, table_name: str) -> DataFrame:
@@ -299,10 +305,8 @@ def unified(headers: DataFrame, records: DataFrame, table_name: str) -> DataFram
     The schema of one table is small and known to the driver. A value that its Spark type can't hold is null (of decimals, what exceeds
     `decimal(38,10)`; `unified_rows` keeps those); a record without values is a row of nulls. Repeated records of a row count once.
     """
-    mine = headers.where(F.col("table_name") == table_name)
-    rows = unified_rows(mine, records)
-    first = kept(_named(mine, records)[1], "drift")
-    schema = sorted((r.column_name, r.union_type) for r in first.collect())
+    rows, union = _rows(headers.where(F.col("table_name") == table_name), records)
+    schema = sorted((r.column_name, r.union_type) for r in union.collect())
     value = lambda i, t: F.col("columns")[i]["value"]
     typed = lambda i, t: value(i, t).try_cast(SPARK_TYPES[t]) if t in SPARK_TYPES else value(i, t)
     exact = lambda i, t: F.when(value(i, t).try_cast("decimal(38,18)") == typed(i, t), typed(i, t)) if t == "DECIMAL" else typed(i, t)

@@ -123,6 +123,10 @@ class WorkLedger:
             if self._at.publish(f"versions/{n + 1}", json.dumps(after)):
                 self._clean(n + 1)
                 return
+            for k, parts in after.items():  # what was written upon the version that lost
+                for p in parts:
+                    if p not in now[k]:
+                        self._at.delete(p["path"])
         raise RuntimeError("the ledger is too contended")
 
     def _clean(self, newest: int) -> None:

@@ -81,7 +81,6 @@ def check(wanted: DataFrame, known: DataFrame) -> DataFrame:
     name = F.col("table_name")
     problem = F.when(F.instr("table_name", ".") <= 1, F.concat(F.lit("not keyspace.table: "), name)).when(F.col("__has_space").isNull(), F.concat(F.lit("no keyspace "), F.col("__space"))).when(F.col("__cdc").isNull(), F.concat(F.lit("no table "), name)).when(~F.col("__cdc"), F.concat(name, F.lit(" keeps no log")))
     if has_tablets:
-        modes = asked.agg(F.bool_or("__tablets").alias("__some"), F.bool_and("__tablets").alias("__all"))
-        asked = asked.crossJoin(F.broadcast(modes))  # one row
-        problem = F.coalesce(problem, F.when(F.col("__some") & ~F.col("__all") & F.col("__tablets"), F.concat(name, F.lit(" has tablets, others don't"))))
+        some, every = asked.agg(F.bool_or("__tablets"), F.bool_and("__tablets")).first()
+        problem = F.coalesce(problem, F.when(F.lit(bool(some and not every)) & F.col("__tablets"), F.concat(name, F.lit(" has tablets, others don't"))))
     return asked.select("table_name", problem.alias("problem"))

@@ -51,3 +51,16 @@ def test_texts(spark):
     assert one(spark, tx.operation_name(F.lit(2)), tx.operation_name(F.lit(None).cast("int"))) == ("ROW_INSERT", None)
     with pytest.raises(Exception, match="unknown operation 10"):
         one(spark, tx.operation_name(F.lit(10)))
+
+
+def test_moments_and_bytes(spark):
+    df = spark.createDataFrame([(1000, 3, -2, "ä", bytes([255]), True, "00000000-0000-1000-8080-808080808080"), (None,) * 7], "ms bigint, n int, i int, s string, b binary, f boolean, u string")
+    r = df.select(tu.plus(F.col("ms"), F.col("n"), "minutes"), tu.plus(F.col("ms"), -1, "days")).collect()
+    assert [tuple(x) for x in r] == [(181_000, 1000 - 86_400_000), (None, None)]
+    with pytest.raises(ValueError):
+        tu.plus(F.col("ms"), 1, "weeks")
+    kinds = {"ms": "bigint", "i": "int", "s": "string", "b": "binary", "f": "boolean", "u": "uuid"}
+    got = df.select(*[F.hex(tx.raw(F.col(c), k)) for c, k in kinds.items()]).collect()
+    assert tuple(got[0]) == ("00000000000003E8", "FFFFFFFE", "C3A4", "FF", "01", "00000000000010008080808080808080") and set(got[1]) == {None}
+    with pytest.raises(ValueError):
+        tx.raw(F.col("b"), "duration")

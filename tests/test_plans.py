@@ -9,6 +9,7 @@ from rillfold.operators import ordered, tasks
 from rillfold.plans import ledger
 from rillfold.plans import store as st
 from rillfold.plans.ledger import StaleLease, WorkLedger
+from rillfold.sources import catalog
 from tests.logs import BASE_MS, Log, at, stream, time_uuid
 
 RUNS = "run_id bigint, task_id string, window_start_ms bigint, window_end_ms bigint, read_at timestamp_ntz, finished_at timestamp_ntz, status string, last_change_stream_id binary, last_change_time string"
@@ -188,6 +189,43 @@ def test_generations(spark):
     assert [bytes(r.stream_id) for r in g.streams_of(tablets, "tablets").collect()] == [b"a"]
 
 
+def test_generations_of_several_tables(spark):
+    rows = spark.createDataFrame([("a", 5), ("a", 30), ("b", 10), ("b", 20), ("b", None), ("b", 20)], "table_name string, generation_start_ms bigint")
+    by = ["table_name"]
+    b = g.bounds(g.timestamps(rows, "tablets", by), by)
+    assert sorted(tuple(r) for r in b.collect()) == [("a", 5, 30), ("a", 30, None), ("b", 10, 20), ("b", 20, None)]
+    assert {tuple(r) for r in g.next_to_read(b, 5, 0, by).collect()} == {("a", 30, None), ("b", 10, 20)}
+    done = spark.createDataFrame([("a", 5, True), ("b", 10, False), ("b", 20, True)], "table_name string, generation_start_ms bigint, done boolean")
+    assert {tuple(r) for r in g.current(b, done, 0, by).collect()} == {("a", 30, None), ("b", 10, 20)}
+    assert {tuple(r) for r in g.current(b, done, 25, by).collect()} == {("a", 30, None), ("b", 20, None)}  # b's first has expired, its last is open
+    assert g.current(b.limit(0), done, 0, by).count() == 0
+    with pytest.raises(ValueError):
+        g.timestamps(rows, "v3")
+    v1 = spark.createDataFrame([(5, [b"a"]), (6, None), (None, [b"a"])], "generation_start_ms bigint, streams array<binary>")
+    assert [r[0] for r in g.timestamps(v1, "v1").collect()] == [5] and sorted(r[0] for r in g.timestamps(v1).collect()) == [5, 6]
+
+
+def test_catalogs(spark):
+    wanted = spark.createDataFrame([("ks.a",), ("ks.b",), ("ks.c",), ("x.a",), ("nodot",), ("ks.a",), ("ks.t",)], "table_name string")
+    known = spark.createDataFrame([("ks.a", True, False), ("ks.b", False, False), ("ks.t", True, True)], "table_name string, cdc_enabled boolean, uses_tablets boolean")
+    said = {r.table_name: r.problem for r in catalog.check(wanted, known.drop("uses_tablets")).collect()}
+    assert said == {"ks.a": None, "ks.b": "ks.b keeps no log", "ks.c": "no table ks.c", "x.a": "no keyspace x", "nodot": "not keyspace.table: nodot", "ks.t": None}
+    assert {r.table_name: r.problem for r in catalog.check(wanted, known).collect()}["ks.t"] == "ks.t has tablets, others don't"
+    assert catalog.check(wanted.limit(0), known).count() == 0
+    ttl = lambda x: spark.createDataFrame([(x,)], "t string").select(catalog.ttl_of(F.col("t"))).first()[0]
+    assert (ttl("0"), ttl("86400")) == (None, 86400)
+    for bad in (None, "x", "-1"):
+        with pytest.raises(Exception, match="not a TTL"):
+            ttl(bad)
+
+
+def test_neighbours_across_pieces(spark):
+    rows = [("a", t, t * 10) for t in (1, 2, 11, 12, 35)] + [("b", 3, 7), (None, 1, 1), (None, 20, 2)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    got = {(r.k, r.t): (r.p, r.n) for r in ordered.neighbours(df, ["k"], ["t"], F.floor(F.col("t") / 10).cast("int"), "v", "p", "n").collect()}
+    assert got == {("a", 1): (None, 20), ("a", 2): (10, 110), ("a", 11): (20, 120), ("a", 12): (110, 350), ("a", 35): (120, None), ("b", 3): (None, None), (None, 1): (None, 2), (None, 20): (1, None)}
+
+
 def test_tasks(spark):
     all_streams = spark.createDataFrame([(5, 10, stream(n), n % 2) for n in (7, 1, 3, 2)] + [(5, 10, stream(1), 1), (5, 10, None, 1)], STREAMS)
     t = tasks.tasks(all_streams, ["ks.b", "ks.a", "ks.a"])

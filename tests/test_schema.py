@@ -63,3 +63,17 @@ def test_catalog():
     with pytest.raises(ValueError):
         ct.TableName.parse("none")
     assert sorted([ct.TableName("b", "a"), ct.TableName("a", "z")])[0].keyspace == "a"
+
+
+def test_headers_as_rows(spark):
+    head = "table_name string, file_id bigint, column_index int, column_name string, cdc_log_data_type string, base_table_data_type string, base_table_column_kind string"
+    rows = [
+        ("a", 1, 0, "cdc$time", "timeuuid", None, None), ("a", 1, 1, "cdc$deleted_l", "boolean", None, None), ("a", 1, 2, "cdc$deleted_elements_l", "frozen<set<timeuuid>>", None, None), ("a", 1, 3, '"PK"', "int", "int", "partition_key"),
+        ("a", 1, 4, "l", "frozen<map<timeuuid,int>>", "list<int>", "regular"), ("a", 1, 4, "l", "frozen<map<timeuuid,int>>", "list<int>", "regular"),
+        ("a", 2, 0, "cdc$deleted_elements_l", "frozen<set<timeuuid>>", None, None), ("a", 2, 1, "l", "frozen<map<timeuuid,int>>", None, None), ("b", 3, 0, "x", "strange", None, None), (None, 4, 0, "x", "int", None, None), ("b", 5, 0, None, "int", None, None),
+    ]
+    got = {(r.file_id, r.column_name): (r.base_type, r.kind, r.deleted, r.deleted_elements, r.problem is not None) for r in sc.inferred(spark.createDataFrame(rows, head)).collect()}
+    assert got[(1, "pk")] == ("INT", "PARTITION_KEY", None, None, False) and got[(1, "l")] == ("LIST<INT>", "REGULAR", 1, 2, False) and got[(1, "cdc$time")][:2] == (None, None)
+    assert got[(2, None)][-1] and got[(3, None)][-1] and {k[0] for k in got} == {1, 2, 3}  # list or map can't be told; an unknown type
+    texts = {r.spelling: r.text for r in sc.type_texts(spark.createDataFrame([("frozen <set <int>>",), ("nope",), (None,)], "t string")).collect()}
+    assert texts == {"frozen <set <int>>": "FROZEN<SET<INT>>", "nope": None, None: None}
