@@ -82,12 +82,12 @@ def keyed_copies(log: DataFrame) -> DataFrame:
     return identified(log, F.coalesce(micros_of(F.col("received_at")), F.lit(LAST)).alias("arrived"), F.coalesce(F.col("delivery_id"), F.lit(LAST)).alias("delivery_id"))
 
 
-def _expiry(delay_s: int) -> dict[str, Column]:
-    """Whether a copy is late, and its event-time column: not the time of the event for a late copy."""
+def _expiry(delay_s: int) -> Column:
+    """The event-time column of a copy: not the time of the event for a late one."""
     event = tu.micros(F.col("ticks"))
     horizon = F.col("arrived") - F.lit(delay_s * 1_000_000)
     late = (F.col("arrived") != LAST) & (horizon > event)
-    return {"late": late, "expires_at": F.timestamp_micros(F.when(late, horizon).otherwise(event))}
+    return F.timestamp_micros(F.when(late, horizon).otherwise(event))
 
 
 def _lay_out(spark: SparkSession, path: str, at: SharedFolder, period_s: int, max_files: int | None) -> None:
@@ -104,11 +104,11 @@ def _lay_out(spark: SparkSession, path: str, at: SharedFolder, period_s: int, ma
 
 def _feed(spark: SparkSession, at: SharedFolder, delay_s: int) -> tuple[int, int, int]:
     """Step 2: one micro-batch for each period. Rows that the watermark dropped, the last watermark in ms, and the number of micro-batches."""
-    rows = spark.readStream.schema(COPY).parquet(f"{at.folder}/feed/*").withColumns(_expiry(delay_s))
-    seen = rows.withWatermark("expires_at", f"{delay_s + 1} seconds").groupBy(*IDENTITY, "expires_at", "late").agg(F.min(F.struct("arrived", "delivery_id")).alias("copy"))
+    rows = spark.readStream.schema(COPY).parquet(f"{at.folder}/feed/*").withColumn("expires_at", _expiry(delay_s))
+    seen = rows.withWatermark("expires_at", f"{delay_s + 1} seconds").groupBy(*IDENTITY, "expires_at").agg(F.min(F.struct("arrived", "delivery_id")).alias("copy"))
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.select(*IDENTITY, "late", "copy.arrived", "copy.delivery_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{at.folder}/ledger/batch={number}")
+        batch.select(*IDENTITY, (F.unix_micros("expires_at") != tu.micros(F.col("ticks"))).alias("late"), "copy.arrived", "copy.delivery_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{at.folder}/ledger/batch={number}")
 
     query = seen.writeStream.outputMode("update").option("checkpointLocation", f"{at.folder}/checkpoint").foreachBatch(save).start()
     try:
@@ -135,7 +135,7 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
         at.make(name)
     last = at.table("runs", RUNS).orderBy(F.col("run").desc()).first()
     broken = bool(at.names("feed"))
-    conf = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.minBatchesToRetain": "2"}
+    conf = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.numRecentProgressUpdates": "100000", "spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.minBatchesToRetain": "2", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
     with settings(spark, **conf):
         _lay_out(spark, path, at, period_s or delay_s, max_files)
         if not (broken or at.names("arrived")):
@@ -148,7 +148,7 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
     mine = ledger.where(F.col("batch") > F.lit(last["batch"] if last else -1))
     straggling = None
     if lost or broken:  # compared exactly: whatever the watermark may have dropped
-        maybe = F.lit(True) if broken else _expiry(delay_s)["expires_at"] <= F.timestamp_millis(F.lit(mark))
+        maybe = F.lit(True) if broken else _expiry(delay_s) <= F.timestamp_millis(F.lit(mark))
         straggling = copies.where(maybe).select(*IDENTITY, F.lit(True).alias("late"), "arrived", "delivery_id")
     entries = mine.drop("batch") if straggling is None else mine.drop("batch").unionByName(straggling)
     unnamed = copies.where(F.col("delivery_id") != LAST).select("delivery_id").join(entries.select("delivery_id"), "delivery_id", "left_anti")
@@ -160,6 +160,9 @@ def run_dedup(spark: SparkSession, path: str, *, folder: str | None = None, dela
     spark.createDataFrame([done], RUNS).coalesce(1).write.mode("append").parquet(f"{at.folder}/runs")
     for name in at.names("feed"):
         at.delete(f"feed/{name}")
+    if folder is None:  # no other run will go on from here
+        for name in ("checkpoint", "laid-out"):
+            at.delete(name)
     return DedupRun(at.folder, number, batches, lost, looked_up)
 
 
